@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cpdspark.operators.cumulative import CHUNKS, totals_at, with_previous
 
 DIGITS = 6
+FRAME_POINTS = 1024
 MOMENTS = {"n": "sum", "s1": "sum", "s2": "sum", "lo": "min", "hi": "max"}
 
 
@@ -117,13 +118,56 @@ def band_moments(
     return parts.groupBy(*keys, F.col("_origin").alias(pos)).agg(*merge_moments())
 
 
-def band_moments_by_frame(
-    points: DataFrame, keys: list[str], pos: str, radius: int
+def frames_are_small(points: DataFrame, keys: list[str]) -> bool:
+    """Whether no key has more than :data:`FRAME_POINTS` points, so that sliding frames stay short."""
+    largest = points.groupBy(*keys).count().agg(F.max("count")).first()[0]
+    return largest is None or largest <= FRAME_POINTS
+
+
+def _frame(keys: list[str], pos: str, radius: int):
+    return Window.partitionBy(*keys).orderBy(pos).rangeBetween(-radius, radius)
+
+
+def _with_queries(
+    points: DataFrame, queries: DataFrame | None, keys: list[str], pos: str, carried: list[str] = ()
+) -> DataFrame:
+    """Points, and asked positions as points without content."""
+    marked = points.withColumn("_asked", F.lit(queries is None))
+    if queries is None:
+        return marked
+    asked = queries.select(*keys, pos, *carried, F.lit(True).alias("_asked"))
+    return marked.unionByName(asked, allowMissingColumns=True)
+
+
+def frame_moments(
+    points: DataFrame, keys: list[str], pos: str, radius: int, queries: DataFrame | None = None
 ) -> DataFrame:
-    """Same result for self queries by a sliding frame; good if a band holds few distinct positions."""
-    w = Window.partitionBy(*keys).orderBy(pos).rangeBetween(-radius, radius)
+    """Same result as :func:`band_moments` by a sliding frame, for keys with few positions."""
+    w = _frame(keys, pos, radius)
     fns = {"sum": F.sum, "min": F.min, "max": F.max}
-    return points.select(*keys, pos, *[fns[k](m).over(w).alias(m) for m, k in MOMENTS.items()])
+    out = _with_queries(points, queries, keys, pos).select(
+        *keys, pos, "_asked", *[fns[k](m).over(w).alias(m) for m, k in MOMENTS.items()]
+    )
+    return out.filter("_asked").drop("_asked").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def frame_value_counts(
+    points: DataFrame, keys: list[str], value: str, pos: str, radius: int, queries: DataFrame | None = None
+) -> DataFrame:
+    """Counts ``c`` (value), ``total`` and ``seen`` (distinct values) by sliding frames."""
+    every = _with_queries(points, queries, keys, pos, [value])
+    w, wv = _frame(keys, pos, radius), _frame([*keys, value], pos, radius)
+    present = F.collect_set(F.when(F.col("n") > 0, F.col(value))).over(w)
+    out = every.select(
+        *keys,
+        pos,
+        value,
+        "_asked",
+        F.coalesce(F.sum("n").over(wv), F.lit(0)).alias("c"),
+        F.coalesce(F.sum("n").over(w), F.lit(0)).alias("total"),
+        F.size(present).cast("long").alias("seen"),
+    )
+    return out.filter("_asked").drop("_asked")
 
 
 def band_pairs(left: DataFrame, right: DataFrame, keys: list[str], x_left: str, x_right: str, radius: float) -> DataFrame:

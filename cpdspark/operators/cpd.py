@@ -16,11 +16,15 @@ from cpdspark.operators.bands import (
     band_counts,
     band_distinct,
     band_moments,
+    frame_moments,
+    frame_value_counts,
+    frames_are_small,
     grid,
     grid_radius,
     mean_std,
     moment_points,
 )
+from cpdspark.operators.cumulative import chunks_for
 from cpdspark.operators.counts import domain, domain_size
 from cpdspark.plans.spec import Kind, Node, Role
 
@@ -80,12 +84,15 @@ def band_value_counts(
     """Per asked (parents, position, value): matches with the value, matches, distinct values seen."""
     v, r = node.attr, grid_radius(node.band.radius)
     points = cut(with_position(obs, node).groupBy(*left, POS, v).agg(F.count(F.lit(1)).alias("n")))
+    if frames_are_small(points, left):
+        return frame_value_counts(points, left, v, POS, r, asked)
+    chunks = chunks_for(points)
     asked = points.select(*left, POS, v) if asked is None else asked
     places = asked.select(*left, POS).distinct()
     by_place = points.groupBy(*left, POS).agg(F.sum("n").alias("n"))
-    with_value = band_counts(points, asked, [*left, v], POS, r).withColumnRenamed("n", "c")
-    total = band_counts(by_place, places, left, POS, r).withColumnRenamed("n", "total")
-    seen = band_distinct(points, places, left, v, POS, r).withColumnRenamed("n_values", "seen")
+    with_value = band_counts(points, asked, [*left, v], POS, r, chunks).withColumnRenamed("n", "c")
+    total = band_counts(by_place, places, left, POS, r, chunks).withColumnRenamed("n", "total")
+    seen = band_distinct(points, places, left, v, POS, r, chunks).withColumnRenamed("n_values", "seen")
     return with_value.join(total.join(seen, [*left, POS]), [*left, POS])
 
 
@@ -125,8 +132,14 @@ def numerical_matches(obs: DataFrame, node: Node, left: list[str], asked: DataFr
     centre = global_moments(obs, node.attr)
     placed = with_position(obs, node).withColumn("_g", centre)
     points = cut(moment_points(placed, left, POS, node.attr, F.col("_g.m")))
-    places = points.select(*left, POS) if asked is None else asked.select(*left, POS).distinct()
-    merged = band_moments(points, places, left, POS, grid_radius(node.band.radius)).withColumn("_g", centre)
+    places = None if asked is None else asked.select(*left, POS).distinct()
+    radius = grid_radius(node.band.radius)
+    if frames_are_small(points, left):
+        merged = frame_moments(points, left, POS, radius, places)
+    else:
+        places = points.select(*left, POS) if places is None else places
+        merged = band_moments(points, places, left, POS, radius, chunks_for(points))
+    merged = merged.withColumn("_g", centre)
     mean, std = mean_std(F.col("_g.m"))
     return merged.select(*left, POS, "n", mean.alias("mean"), std.alias("std"))
 

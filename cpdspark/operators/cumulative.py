@@ -10,7 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-CHUNKS = 32
+CHUNKS = 32  # where the number of points is not known
+MAX_CHUNKS = 512
+POINTS_PER_CHUNK = 250_000
 _SAMPLE_PER_CHUNK = 16
 
 _AGG = {"sum": F.sum, "min": F.min, "max": F.max}
@@ -43,6 +45,11 @@ def with_chunk(df: DataFrame, points: DataFrame, keys: list[str], pos: str, chun
     )
 
 
+def chunks_for(points: DataFrame) -> int:
+    """Chunks for a table that is cheap to count, such as a checkpointed one."""
+    return max(1, min(MAX_CHUNKS, -(-points.count() // POINTS_PER_CHUNK)))
+
+
 def _combine(kind: str, a: Column, b: Column) -> Column:
     if kind == "sum":
         return F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
