@@ -225,12 +225,12 @@ def q29(spark, sf):
     "q30_cond_moments",
     """WITH g AS (SELECT avg(l_extendedprice) AS m, stddev_samp(l_extendedprice) AS s FROM lineitem)
     SELECT l_suppkey, l_quantity, count(*)::BIGINT AS n,
-      round(CASE WHEN count(*) <= 1 THEN any_value(g.m) ELSE avg(l_extendedprice) END, 4) AS mean,
-      round(CASE WHEN count(*) <= 1 THEN any_value(g.s) ELSE stddev_samp(l_extendedprice) END, 4) AS std
+      round(CASE WHEN count(*) <= 1 THEN any_value(g.m) ELSE avg(l_extendedprice) END, 7) AS mean,
+      round(CASE WHEN count(*) <= 1 THEN any_value(g.s) ELSE stddev_samp(l_extendedprice) END, 7) AS std
     FROM lineitem, g GROUP BY 1, 2""",
 )
 def q30(spark, sf):
-    return rounded(counts.conditional_moments(table(spark, sf, "lineitem"), ["l_suppkey", "l_quantity"], "l_extendedprice"), 4)
+    return rounded(counts.conditional_moments(table(spark, sf, "lineitem"), ["l_suppkey", "l_quantity"], "l_extendedprice"), 7)
 
 
 @register("q31_support", "SELECT min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders")
