@@ -127,12 +127,12 @@ _LINE_BAND = f"""WITH p AS (SELECT {_LINE_KEYS}, l_quantity, count(*) AS n, sum(
       CASE WHEN n <= 1 THEN gs ELSE sqrt(greatest(s2 - s1 * s1 / n, 0) / (n - 1)) END AS std FROM m, g)"""
 
 
-@register("q48_cpd_num_band", f"{_LINE_BAND} SELECT {_LINE_KEYS}, l_quantity, n, round(mean, 4) AS mean, round(std, 4) AS std FROM st")
+@register("q48_cpd_num_band", f"{_LINE_BAND} SELECT {_LINE_KEYS}, l_quantity, n, round(mean * n, 4) AS total, round(std, 4) AS std FROM st")
 def q48_band(spark, sf):
     node = num("l_extendedprice", "l_suppkey", "l_returnflag", "l_linestatus", band("l_quantity", 4))
     out = cpd.numerical(table(spark, sf, "lineitem"), node)
     quantity = (F.col(cpd.POS) / 10.0**DIGITS).alias("l_quantity")
-    return rounded(out.select(*_LINE_KEYS.split(", "), quantity, "n", "mean", "std"), 4)
+    return rounded(out.select(*_LINE_KEYS.split(", "), quantity, "n", (F.col("mean") * F.col("n")).alias("total"), "std"), 4)
 
 
 _EMB_BAND = f"""WITH {_EMB},

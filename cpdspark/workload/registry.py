@@ -7,7 +7,7 @@ import importlib
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for _name in ("relational", "models"):
+for _name in ("relational", "models", "generated"):
     _module = importlib.import_module(f"cpdspark.workload.{_name}")
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
