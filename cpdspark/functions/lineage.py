@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
+
+
+BROADCAST_ROWS = 500_000
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -23,3 +26,13 @@ def cut(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="cpdspark-checkpoint-")
         sc.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def sized(table: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Materialise a lookup table; hint a broadcast if its counted rows are few.
+
+    The rows that look it up are then not shuffled. A larger table is left to a shuffle join,
+    where Spark's adaptive execution splits skewed keys.
+    """
+    done = cut(table)
+    return F.broadcast(done) if done.count() <= limit else done

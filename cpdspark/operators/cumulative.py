@@ -11,9 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 CHUNKS = 32  # where the number of points is not known
-MAX_CHUNKS = 512
+MAX_CHUNKS = 16_384
 POINTS_PER_CHUNK = 250_000
 _SAMPLE_PER_CHUNK = 16
+_COARSE = 128  # borders looked at per step of the two-step search
 
 _AGG = {"sum": F.sum, "min": F.min, "max": F.max}
 
@@ -22,7 +23,7 @@ def _split_points(points: DataFrame, keys: list[str], pos: str, chunks: int) ->
     """One row with the sorted inner borders of the chunks; the size is fixed by ``chunks``."""
     if isinstance(points.schema[pos].dataType, T.NumericType):
         shares = [i / chunks for i in range(1, chunks)]
-        return points.agg(F.percentile_approx(pos, shares, 100 * chunks).alias("_splits"))
+        return points.agg(F.percentile_approx(pos, shares, 20 * max(chunks, 64)).alias("_splits"))
     sample = (
         points.select(pos, *keys)
         .orderBy(F.xxhash64(pos, *keys))
@@ -38,11 +39,14 @@ def with_chunk(df: DataFrame, points: DataFrame, keys: list[str], pos: str, chun
     if chunks <= 1:
         return df.withColumn("_chunk", F.lit(0))
     borders = _split_points(points, keys, pos, chunks).scalar()
-    return (
-        df.withColumn("_splits", borders)
-        .withColumn("_chunk", F.coalesce(F.size(F.filter("_splits", lambda s: s < F.col(pos))), F.lit(0)))
-        .drop("_splits")
-    )
+    below = lambda a: F.coalesce(F.size(F.filter(a, lambda s: s < F.col(pos))), F.lit(0))
+    searched = df.withColumn("_splits", borders)
+    if chunks <= 2 * _COARSE:
+        return searched.withColumn("_chunk", below(F.col("_splits"))).drop("_splits")
+    every = F.filter("_splits", lambda _, i: i % _COARSE == _COARSE - 1)
+    searched = searched.withColumn("_every", every).withColumn("_first", below(F.col("_every")) * _COARSE)
+    fine = below(F.slice("_splits", F.col("_first") + 1, _COARSE))
+    return searched.withColumn("_chunk", F.col("_first") + fine).drop("_splits", "_every", "_first")
 
 
 def chunks_for(points: DataFrame) -> int:

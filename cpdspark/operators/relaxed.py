@@ -8,74 +8,134 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cpdspark.functions import distributions as dist
-from cpdspark.operators.bands import mean_std, merge_moments, moment_points
+from cpdspark.functions.lineage import cut
+from cpdspark.operators import cpd
+from cpdspark.operators.bands import band_counts, grid_radius, mean_std, merge_moments, moment_points
 from cpdspark.operators.counts import domain_size
-from cpdspark.operators.cpd import fallback_to_whole, global_moments
+from cpdspark.operators.cpd import POS, fallback_to_whole, global_moments, lookup_keys, with_position
 from cpdspark.plans.spec import Node
 
 KEY = "_relaxed"
+MASK = "_mask"
 
 
-def _key(mask: Column, parents: list[str]) -> Column:
-    """One text key for the parents kept by a bit mask."""
-    kept = [F.when(mask.bitwiseAND(1 << i) != 0, F.col(p).cast("string")).alias(str(i)) for i, p in enumerate(parents)]
-    return F.to_json(F.struct(mask.alias("m"), *kept))
+class _Order:
+    """Parents in the order of the model; bit i of a mask keeps parent i."""
 
+    def __init__(self, node: Node):
+        self.names = [p.attr for p in node.parents]
+        self.band = next((i for i, p in enumerate(node.parents) if p is node.band), None)
+        self.band_bit = 0 if self.band is None else 1 << self.band
+        self.pos = [] if self.band is None else [POS]
 
-def keep_matching(obs: DataFrame, node: Node, asked: DataFrame) -> DataFrame:
-    """Asked tuples with ``_relaxed``, the key of the parents that are kept for them.
+    def columns(self, upto: int) -> list[str]:
+        return [c for i, c in enumerate(self.names[:upto]) if i != self.band]
+
+    def key(self, mask: Column, upto: int | None = None) -> Column:
+        """One text key for the equality parents kept by a mask; the band goes by its position."""
+        upto = len(self.names) if upto is None else upto
+        kept = [
+            F.when(mask.bitwiseAND(1 << i) != 0, F.col(c).cast("string")).alias(str(i))
+            for i, c in enumerate(self.names[:upto])
+            if i != self.band
+        ]
+        return F.to_json(F.struct(mask.alias("m"), *kept))
 
-    The existence of a combination is looked up among the observed combinations of the parents
-    so far; those of a kept mask are formed only for masks that some asked tuple has.
-    """
-    parents = [p.attr for p in node.parents]
-    tuples = obs.select(*parents).distinct()
-    state = asked.withColumn("_mask", F.lit(0))
-    for i in range(len(parents)):
-        trial = F.col("_mask").bitwiseOR(F.lit(1 << i))
-        state = state.withColumn("_trial", trial).withColumn(KEY, _key(F.col("_trial"), parents))
-        masks = F.array(*[F.lit(m | 1 << i) for m in range(1 << i)])
-        known = (
-            tuples.select(*parents[: i + 1])
-            .distinct()
-            .withColumn("_m", F.explode(masks))
-            .select(_key(F.col("_m"), parents[: i + 1]).alias(KEY), F.lit(True).alias("_known"))
-            .distinct()
-        )
-        state = state.withColumn(KEY, _key(F.col("_trial"), parents[: i + 1])).join(known, KEY, "left")
-        kept = F.when(F.col("_known"), F.col("_trial")).otherwise(F.col("_mask"))
-        state = state.withColumn("_mask", kept).drop("_trial", "_known", KEY)
-    return state.withColumn(KEY, _key(F.col("_mask"), parents))
 
+def keep_matching(obs: DataFrame, node: Node, asked: DataFrame) -> DataFrame:
+    """Asked tuples with ``_mask`` and ``_relaxed``, the kept parents and their key.
 
-def _expanded(obs: DataFrame, node: Node, state: DataFrame) -> DataFrame:
-    """Observed rows once per mask in use; at most 2^m masks, reduced to distinct tuples by the caller."""
-    parents = [p.attr for p in node.parents]
-    masks = state.select("_mask").distinct().agg(F.collect_list("_mask")).scalar()
-    return obs.withColumn("_masks", masks).withColumn("_m", F.explode("_masks")).withColumn(
-        KEY, _key(F.col("_m"), parents)
-    )
+    ``obs`` and ``asked`` have the parents, and the position of a band. Whether a combination
+    exists is looked up among the observed combinations of the parents so far.
+    """
+    order = _Order(node)
+    tuples = cut(obs.select(*order.columns(len(order.names)), *order.pos).distinct())
+    state = asked.withColumn(MASK, F.lit(0))
+    for i in range(len(order.names)):
+        state = state.withColumn("_trial", F.col(MASK).bitwiseOR(F.lit(1 << i)))
+        state = state.withColumn(KEY, order.key(F.col("_trial"), i + 1))
+        masks = [m | 1 << i for m in range(1 << i)]
+        plain = [m for m in masks if not m & order.band_bit]
+        banded = [m for m in masks if m & order.band_bit]
+        found = []
+        if plain:
+            known = _observed_keys(tuples, order, plain, i + 1).select(KEY).distinct()
+            found.append(("_plain", known.withColumn("_plain", F.lit(True)), [KEY]))
+        if banded:
+            places = _observed_keys(tuples, order, banded, i + 1).select(KEY, POS).distinct()
+            wanted = state.filter(F.col("_trial").bitwiseAND(F.lit(order.band_bit)) != 0).select(KEY, POS).distinct()
+            near = band_counts(
+                places.withColumn("n", F.lit(1).cast("long")), wanted, [KEY], POS, grid_radius(node.band.radius)
+            )
+            found.append(("_banded", near.select(KEY, POS, (F.col("n") > 0).alias("_banded")), [KEY, POS]))
+        ok = F.lit(False)
+        for flag, table, on in found:
+            state = state.join(table, on, "left")
+            ok = ok | F.coalesce(F.col(flag), F.lit(False))
+        kept = F.when(ok, F.col("_trial")).otherwise(F.col(MASK))
+        state = state.withColumn(MASK, kept).drop("_trial", KEY, *[f[0] for f in found])
+        state = cut(state) if banded else state
+    return cut(state.withColumn(KEY, order.key(F.col(MASK))))
+
+
+def _observed_keys(tuples: DataFrame, order: _Order, masks: list[int], upto: int) -> DataFrame:
+    part = tuples.select(*order.columns(upto), *order.pos).distinct()
+    unfolded = part.withColumn("_m", F.explode(F.array(*[F.lit(m) for m in masks])))
+    return unfolded.withColumn(KEY, order.key(F.col("_m"), upto))
+
+
+def _expanded(df: DataFrame, node: Node, places: DataFrame) -> DataFrame:
+    """Observed tuples once per mask that some asked tuple kept."""
+    masks = places.select(MASK).distinct().agg(F.collect_list(MASK)).scalar()
+    unfolded = df.withColumn("_masks", masks).withColumn("_m", F.explode("_masks")).drop("_masks")
+    return unfolded.withColumn(KEY, _Order(node).key(F.col("_m"))).drop("_m")
+
+
+def _split(places: DataFrame, node: Node) -> tuple[DataFrame, DataFrame]:
+    """Places that kept the band, and the others."""
+    bit = F.lit(_Order(node).band_bit)
+    kept = F.col(MASK).bitwiseAND(bit) != 0
+    return places.filter(kept), places.filter(~kept)
 
 
 def categorical(obs: DataFrame, node: Node, asked: DataFrame) -> DataFrame:
-    parents = [p.attr for p in node.parents]
-    places = keep_matching(obs, node, asked.select(*parents).distinct())
-    joint = obs.groupBy(*parents, node.attr).agg(F.count(F.lit(1)).alias("c"))
-    counted = _expanded(joint, node, places).groupBy(KEY, node.attr).agg(F.sum("c").alias("c"))
+    """As :func:`cpdspark.operators.cpd.categorical`, on the parents that can be kept."""
+    keys, v = lookup_keys(node), node.attr
+    rows = with_position(obs, node)
+    places = keep_matching(rows, node, asked.select(*keys).distinct())
+    banded, plain = _split(places, node)
+    joint = rows.groupBy(*keys, v).agg(F.count(F.lit(1)).alias("c"))
+    counted = _expanded(joint, node, plain).groupBy(KEY, v).agg(F.sum("c").alias("c"))
     total = counted.groupBy(KEY).agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("seen"))
-    base = asked.join(places, parents).join(counted, [KEY, node.attr], "left").join(total, KEY, "left")
-    base = base.withColumn("_d", domain_size(obs, node.attr))
-    p = dist.smoothed_categorical(F.coalesce(F.col("c"), F.lit(0)), F.col("total"), F.col("seen"), F.col("_d"))
-    return base.select(*parents, node.attr, dist.safe_ln(p).alias("lp"), F.lit(True).alias("support"))
+    base = asked.join(plain, keys).join(counted, [KEY, v], "left").join(total, KEY, "left")
+    base = base.select(*keys, v, "c", "total", "seen")
+    if node.band:
+        columns = [*[k for k in keys if k != POS], node.band.attr, v]
+        wanted = asked.join(banded, keys)
+        counts = cpd.band_value_counts(
+            _expanded(obs.select(*columns), node, banded), node, [KEY], wanted.select(KEY, POS, v).distinct()
+        )
+        near = wanted.join(counts, [KEY, POS, v]).select(*keys, v, "c", "total", "seen")
+        base = base.unionByName(near)
+    return cpd.smoothed(base, [*keys, v], domain_size(obs, v))
 
 
 def numerical(obs: DataFrame, node: Node, asked: DataFrame) -> DataFrame:
-    parents = [p.attr for p in node.parents]
-    places = keep_matching(obs, node, asked.select(*parents).distinct())
-    centre = global_moments(obs, node.attr)
-    points = moment_points(obs.withColumn("_g", centre), parents[:-1], parents[-1], node.attr, F.col("_g.m"))
-    merged = _expanded(points, node, places).groupBy(KEY).agg(*merge_moments()).withColumn("_g", centre)
+    """As :func:`cpdspark.operators.cpd.numerical`, on the parents that can be kept."""
+    keys, y = lookup_keys(node), node.attr
+    rows = with_position(obs, node)
+    places = keep_matching(rows, node, asked.select(*keys).distinct())
+    banded, plain = _split(places, node)
+    centre = global_moments(obs, y)
+    points = moment_points(rows.withColumn("_g", centre), keys[:-1], keys[-1], y, F.col("_g.m"))
+    merged = _expanded(points, node, plain).groupBy(KEY).agg(*merge_moments()).withColumn("_g", centre)
     mean, std = mean_std(F.col("_g.m"))
-    stats = merged.select(KEY, "n", mean.alias("mean"), std.alias("std"))
-    return fallback_to_whole(places.join(stats, KEY, "left"), parents, centre)
+    stats = plain.join(merged.select(KEY, "n", mean.alias("mean"), std.alias("std")), KEY, "left")
+    stats = stats.select(*keys, "n", "mean", "std")
+    if node.band:
+        columns = [*[k for k in keys if k != POS], node.band.attr, y]
+        near = cpd.numerical_matches(
+            _expanded(obs.select(*columns), node, banded), node, [KEY], banded.select(KEY, POS).distinct()
+        )
+        stats = stats.unionByName(banded.join(near, [KEY, POS]).select(*keys, "n", "mean", "std"))
+    return fallback_to_whole(stats, keys, centre)

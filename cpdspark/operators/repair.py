@@ -8,7 +8,7 @@ from cpdspark.functions.distributions import softmax_weights
 from cpdspark.functions.lineage import cut
 from cpdspark.functions.rng import gumbel, pick_index, tagged
 from cpdspark.operators.counts import domain
-from cpdspark.operators.cumulative import global_rank
+from cpdspark.operators.cumulative import global_rank, rank_in
 from cpdspark.operators.knn import value_neighbours
 from cpdspark.operators.score import lp, score
 from cpdspark.plans.spec import ModelSpec
@@ -72,8 +72,12 @@ def proposal(values: DataFrame, k: int, sources: DataFrame | None = None) -> Dat
     """
     near = value_neighbours(values, k, sources).select("attr", "value", F.col("neighbour").alias("candidate"), "rank")
     asked = values.select("attr", "value") if sources is None else sources.select("attr", "value").distinct()
-    others = values.select("attr", F.col("value").alias("candidate"))
-    full = asked.join(others, "attr").join(near, ["attr", "value", "candidate"], "left")
+    numbered = cut(rank_in(values.select("attr", F.col("value").alias("candidate")), ["attr"], "candidate", "_rank"))
+    sizes = numbered.groupBy("attr").agg(F.count(F.lit(1)).alias("_size"))
+    unfolded = asked.join(sizes, "attr").withColumn(
+        "_rank", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_size") - 1))
+    )
+    full = unfolded.join(numbered, ["attr", "_rank"]).join(near, ["attr", "value", "candidate"], "left")
     weight = F.when(F.col("rank").isNotNull(), F.lit(NEAR_WEIGHT)).otherwise(F.lit(1.0))
     weighted = full.withColumn("weight", weight)
     total = F.sum("weight").over(Window.partitionBy("attr", "value"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cpdspark.functions import distributions as dist
+from cpdspark.functions.lineage import sized
 from cpdspark.operators import cpd, cpd_embedding, relaxed
 from cpdspark.operators.cpd import POS, lookup_keys, with_position
 from cpdspark.plans.spec import EMBEDDED, Kind, ModelSpec, Node, ROOTS
@@ -39,18 +40,14 @@ def score(
     for old, new in (rename or {}).items():
         source = source.withColumnRenamed(old, new)
     source = source.select(id_col, *spec.attrs, *[c for c in keep if c not in spec.attrs and c != id_col])
-    complete = source.dropna(subset=list(spec.attrs))
-    scored = complete
+    asking = None if rows is None else source.dropna(subset=list(spec.attrs))
+    scored = source
     for node in nodes:
-        scored = attach(scored, observed, node, id_col, emb, None if rows is None else complete)
+        scored = attach(scored, observed, node, id_col, emb, asking)
+    present = _all_present(spec.attrs)
+    lps = [F.when(present, F.col(lp(n.attr))).alias(lp(n.attr)) for n in nodes]
     total = sum((F.col(lp(n.attr)) for n in nodes[1:]), F.col(lp(nodes[0].attr)))
-    scored = scored.select(*source.columns, *[lp(n.attr) for n in nodes], total.alias("score"), F.lit(False).alias("skipped"))
-    has_null = ~_all_present(spec.attrs)
-    null = F.lit(None).cast("double")
-    skipped = source.filter(has_null).select(
-        "*", *[null.alias(lp(n.attr)) for n in nodes], null.alias("score"), F.lit(True).alias("skipped")
-    )
-    return scored.unionByName(skipped)
+    return scored.select(*source.columns, *lps).select("*", total.alias("score"), (~present).alias("skipped"))
 
 
 def _all_present(attrs) -> Column:
@@ -80,14 +77,16 @@ def attach(
     keys = lookup_keys(node)
     if node.numeric:
         asked = None if asking is None else with_position(asking, node).select(*keys).distinct()
-        stats = _estimate(obs, node, asked, emb, id_col).select(
-            *keys, F.col("mean").alias("_mean"), F.col("std").alias("_std")
+        stats = sized(
+            _estimate(obs, node, asked, emb, id_col).select(
+                *keys, F.col("mean").alias("_mean"), F.col("std").alias("_std")
+            )
         )
         found = placed.join(stats, keys, "left")
         density = cpd.numeric_density(node, F.col(node.attr), F.col("_mean"), F.col("_std"))
         return found.withColumn(name, density).drop("_mean", "_std", POS)
     asked = None if asking is None else with_position(asking, node).select(*keys, node.attr).distinct()
-    table = _estimate(obs, node, asked, emb, id_col).select(*keys, node.attr, F.col("lp").alias(name))
+    table = sized(_estimate(obs, node, asked, emb, id_col).select(*keys, node.attr, F.col("lp").alias(name)))
     return placed.join(table, [*keys, node.attr], "left").drop(POS)
 
 
@@ -115,7 +114,7 @@ def _attach_root(rows: DataFrame, obs: DataFrame, node: Node, self_scoring: bool
     root = cpd.roots(obs, node, self_scoring)
     if isinstance(root, Column):
         return rows.withColumn(name, root)
-    joined = rows.join(root.select(node.attr, F.col("lp").alias(name)), node.attr, "left")
+    joined = rows.join(sized(root.select(node.attr, F.col("lp").alias(name))), node.attr, "left")
     return joined.withColumn(name, F.coalesce(name, dist.neg_inf()))
 
 

@@ -74,30 +74,48 @@ def neo_rent(embedded: bool = False, neighbours: int = 15) -> ModelSpec:
 
 
 def simple_rent(form: str = "plain") -> ModelSpec:
-    """``plain``: rent given city; ``embedding``: rent given zip; ``neighbours``: given all three."""
-    rent = {
-        "plain": num("rent", "city"),
-        "embedding": emb_num("rent", "zip", k=5),
-        "neighbours": emb_num("rent", "state", "city", "zip", k=5),
-    }[form]
-    return ModelSpec((uniform("state"), cat("city", "state"), cat("zip", "city"), rent), f"simple_rent_{form}")
+    """``plain``: rent given city; ``embedding``: rent given zip, with neighbours; the two
+    ``no_rules`` forms have uniform roots and rent given state, city and zip.
+    """
+    if form.startswith("no_rules"):
+        where = ("state", "city", "zip")
+        rent = emb_num("rent", *where, k=5) if form == "no_rules_embedding" else num("rent", *where)
+        return ModelSpec((*[uniform(a) for a in where], rent), f"simple_rent_{form}")
+    if form == "embedding":
+        city, zip_code, rent = emb_cat("city", "state", k=1), emb_cat("zip", "city", k=1), emb_num("rent", "zip", k=5)
+    else:
+        city, zip_code, rent = cat("city", "state"), cat("zip", "city"), num("rent", "city")
+    return ModelSpec((uniform("state"), city, zip_code, rent), f"simple_rent_{form}")
 
 
 def enriched_rent(embedded: bool = False) -> ModelSpec:
     parents = (band("living_space", 10), "state", "city", band("has_parking", 0), band("has_balcony", 0), "heating_type")
-    rent = emb_num("rent", *parents, k=15) if embedded else num("rent", *parents)
     heating = ("construct_year", "city")
+    if embedded:
+        nodes = {
+            "city": emb_cat("city", "state", k=1),
+            "zip": emb_cat("zip", "state", "city", k=1),
+            "heating": emb_cat("heating_type", *heating, k=15),
+            "rent": emb_num("rent", *parents, k=15),
+        }
+    else:
+        nodes = {
+            "city": cat("city", "state", strict=False),
+            "zip": cat("zip", "state", "city", strict=False),
+            "heating": cat("heating_type", *heating, strict=False),
+            "rent": num("rent", *parents, strict=False),
+        }
     return ModelSpec(
         (
             freq("state"),
-            emb_cat("city", "state", k=1) if embedded else cat("city", "state"),
-            emb_cat("zip", "state", "city", k=1) if embedded else cat("zip", "state", "city"),
+            nodes["city"],
+            nodes["zip"],
             uniform_cont("living_space"),
             freq("construct_year"),
-            emb_cat("heating_type", *heating, k=15) if embedded else cat("heating_type", *heating),
+            nodes["heating"],
             bernoulli("has_parking"),
             bernoulli("has_balcony"),
-            rent,
+            nodes["rent"],
         ),
         "enriched_rent_embedding" if embedded else "enriched_rent_plain",
     )
@@ -158,7 +176,8 @@ CATALOGUE = {
     "neo_rent_embedding_30": lambda: neo_rent(True, 30),
     "simple_rent_plain": simple_rent,
     "simple_rent_embedding": lambda: simple_rent("embedding"),
-    "simple_rent_neighbours": lambda: simple_rent("neighbours"),
+    "simple_rent_no_rules": lambda: simple_rent("no_rules"),
+    "simple_rent_no_rules_embedding": lambda: simple_rent("no_rules_embedding"),
     "enriched_rent_plain": enriched_rent,
     "enriched_rent_embedding": lambda: enriched_rent(True),
     "article_plain": article_plain,

@@ -68,8 +68,6 @@ class Node:
                 raise ValueError(f"{self.attr}: parent {p.attr} cannot be {p.role.value} here")
         if sum(p.role is Role.BAND and p.radius > 0 for p in self.parents) > 1:
             raise ValueError(f"{self.attr}: one band with a radius per node")
-        if not self.strict and any(p.role is not Role.CAT for p in self.parents):
-            raise ValueError(f"{self.attr}: relaxed matching works on equality parents")
         if self.kind in EMBEDDED and not any(p.role is Role.SOFT for p in self.parents):
             raise ValueError(f"{self.attr}: an embedded node needs a soft parent")
 

@@ -25,7 +25,7 @@ def mask(df, parents, row):
 def relaxed_mask(df, parents, row):
     m = np.ones(len(df), bool)
     for p in parents:
-        trial = m & (df[p.attr] == row[p.attr]).to_numpy()
+        trial = m & mask(df, [p], row)
         if trial.sum():
             m = trial
     return m

@@ -92,7 +92,7 @@ def test_new_rows_and_relaxed(spark):
             cat("year", "state", "city", strict=False),
             uniform_cont("space"),
             bernoulli("flag"),
-            num("rent", "state", "city", "year", strict=False, greater_zero=True),
+            num("rent", "state", "city", band("space", 3), "year", strict=False, greater_zero=True),
         )
     )
     o, n = spark.createDataFrame(obs), spark.createDataFrame(new)
