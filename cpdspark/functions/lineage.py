@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 
 BROADCAST_ROWS = 500_000
+VECTOR_ROWS = 50_000  # rows with a vector are larger
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from cpdspark.operators import cpd
 from cpdspark.operators.bands import grid_radius
 from cpdspark.operators.counts import domain_size
 from cpdspark.operators.cpd import POS, with_position
+from cpdspark.operators.cumulative import chunks_for, running_totals, totals_at
 from cpdspark.operators.knn import nearest, with_vectors
 from cpdspark.plans.spec import Node, Role
 
@@ -47,16 +48,7 @@ def members_of_rare(obs: DataFrame, rare: DataFrame, node: Node, emb: DataFrame,
 
     with_hits = asked.filter("n > 0")
     if node.band:
-        hits = nearest(
-            with_hits.withColumn("qid", F.col(PLACE)),
-            few,
-            [],
-            block=p.soft + p.exact,
-            k=node.k,
-            pos=POS,
-            radius=radius,
-            payload=["_target"],
-        ).select(F.col("qid").alias(PLACE), "cid", "_target")
+        hits = _hits_in_band(few, with_hits, p.soft + p.exact, radius)
     else:
         hits = with_hits.select(*p.hit, PLACE).join(few, p.hit).select(PLACE, "cid", "_target")
 
@@ -74,6 +66,22 @@ def members_of_rare(obs: DataFrame, rare: DataFrame, node: Node, emb: DataFrame,
     return cut(hits.unionByName(borrowed))
 
 
+def _hits_in_band(few: DataFrame, places: DataFrame, keys: list[str], radius: int) -> DataFrame:
+    """Rows inside the band of each place: in band order they are ``n`` neighbouring numbers.
+
+    The first number is the count of rows below the band, so that places and rows meet by number
+    and never as all pairs of a key.
+    """
+    chunks = chunks_for(few)
+    rows = few.select(*keys, F.struct(POS, "cid").alias("_at"), "cid", "_target", F.lit(1).cast("long").alias("_i"))
+    numbered = running_totals(rows, keys, "_at", {"_i": "sum"}, chunks).select(*keys, "_i", "cid", "_target")
+    counts = few.groupBy(*keys, POS).agg(F.count(F.lit(1)).alias("_below"))
+    lower = places.select(*keys, PLACE, "n", (F.col(POS) - radius - 1).alias(POS))
+    first = totals_at(counts, lower, keys, POS, {"_below": "sum"}, chunks)
+    wanted = first.select(*keys, PLACE, F.explode(F.sequence(F.col("_below") + 1, F.col("_below") + F.col("n"))).alias("_i"))
+    return wanted.join(numbered, [*keys, "_i"]).select(PLACE, "cid", "_target")
+
+
 def numerical(
     obs: DataFrame, node: Node, emb: DataFrame, id_col: str, asked: DataFrame | None = None
 ) -> DataFrame:

@@ -51,7 +51,11 @@ def with_chunk(df: DataFrame, points: DataFrame, keys: list[str], pos: str, chun
 
 def chunks_for(points: DataFrame) -> int:
     """Chunks for a table that is cheap to count, such as a checkpointed one."""
-    return max(1, min(MAX_CHUNKS, -(-points.count() // POINTS_PER_CHUNK)))
+    return chunks_of(points.count())
+
+
+def chunks_of(n_points: int) -> int:
+    return max(1, min(MAX_CHUNKS, -(-n_points // POINTS_PER_CHUNK)))
 
 
 def _combine(kind: str, a: Column, b: Column) -> Column:

@@ -7,18 +7,17 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cpdspark.functions.rng import pick_index, tagged
-from cpdspark.operators.cumulative import global_rank
+from cpdspark.operators.cumulative import chunks_of, global_rank
 from cpdspark.operators.draws import NEVER, ROW, SEEN, draw, pairs_of, seen_values, widen
 
 LABEL = "negative_sample"
 
 
-def pick_rows(df: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
-    """``n`` rows drawn with replacement; ``draw`` numbers the draws."""
-    numbered = global_rank(df.select(id_col), id_col, "_rank")
-    size = df.agg(F.count(F.lit(1))).scalar()
-    picks = df.sparkSession.range(n).withColumnRenamed("id", "draw").withColumn("_size", size)
-    picks = picks.select("draw", pick_index(tagged(seed, "row", "draw"), F.col("_size")).alias("_rank"))
+def pick_rows(df: DataFrame, id_col: str, n: int, n_rows: int, seed: int) -> DataFrame:
+    """``n`` of the table's ``n_rows`` rows, drawn with replacement; ``draw`` numbers the draws."""
+    numbered = global_rank(df.select(id_col), id_col, "_rank", chunks_of(n_rows))
+    picks = df.sparkSession.range(n).withColumnRenamed("id", "draw")
+    picks = picks.select("draw", pick_index(tagged(seed, "row", "draw"), F.lit(n_rows)).alias("_rank"))
     return picks.join(numbered, "_rank").drop("_rank").join(df, id_col)
 
 
@@ -47,8 +46,9 @@ def inject_errors(
         raise ValueError("give either share or n")
     if force not in ("random", "last"):
         raise ValueError("force must be 'random' or 'last'")
-    n = math.ceil(share * df.count()) if n is None else n
-    copies = pick_rows(df, id_col, n, seed)
+    n_rows = df.count()
+    n = math.ceil(share * n_rows) if n is None else n
+    copies = pick_rows(df, id_col, n, n_rows, seed)
     flags = _flags(attrs, p, seed, force)
     cells = copies.select("draw", F.col(pivot).cast("string").alias("key"), F.explode(F.array(*flags)).alias("_c"))
     cells = cells.filter("_c.hit").select(

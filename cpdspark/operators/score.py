@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cpdspark.functions import distributions as dist
-from cpdspark.functions.lineage import sized
+from cpdspark.functions.lineage import VECTOR_ROWS, sized
 from cpdspark.operators import cpd, cpd_embedding, relaxed
 from cpdspark.operators.cpd import POS, lookup_keys, with_position
 from cpdspark.plans.spec import EMBEDDED, Kind, ModelSpec, Node, ROOTS
@@ -35,6 +35,8 @@ def score(
     if emb is None and any(n.kind in EMBEDDED for n in spec.nodes):
         raise ValueError("the model has embedded nodes, but no vectors were given")
     nodes = [n for n in spec.nodes if only is None or n.attr in only]
+    if emb is not None and any(n.kind in EMBEDDED for n in nodes):
+        emb = sized(emb, VECTOR_ROWS)
     observed = obs.select(id_col, *spec.attrs).dropna(subset=list(spec.attrs))
     source = obs if rows is None else rows
     for old, new in (rename or {}).items():

@@ -10,7 +10,7 @@ from cpdspark.functions.rng import gumbel, pick_index, standard_normal, tagged
 from cpdspark.operators import cpd, cpd_embedding
 from cpdspark.operators.bands import band_counts, grid_radius
 from cpdspark.operators.cpd import POS, lookup_keys, with_position
-from cpdspark.operators.cumulative import chunks_for, global_rank, running_totals, totals_at
+from cpdspark.operators.cumulative import chunks_for, chunks_of, global_rank, running_totals, totals_at
 from cpdspark.operators.draws import NEVER, ROW, SEEN, draw, seen_values
 from cpdspark.operators.score import score
 from cpdspark.plans.spec import EMBEDDED, Kind, ModelSpec, Node, Role
@@ -239,10 +239,10 @@ def facts_from_dimension(
     keep: list[str] = (),
 ) -> DataFrame:
     """``n`` fact rows: a random dimension row, a code in its range, a size, and the price by rule."""
-    numbered = global_rank(dim.select(key), key, "_rank")
-    size = dim.agg(F.count(F.lit(1))).scalar()
-    picks = dim.sparkSession.range(n).withColumnRenamed("id", "fact").withColumn("_size", size)
-    picks = picks.select("fact", pick_index(tagged(seed, "dim", "fact"), F.col("_size")).alias("_rank"))
+    size = dim.count()
+    numbered = global_rank(dim.select(key), key, "_rank", chunks_of(size))
+    picks = dim.sparkSession.range(n).withColumnRenamed("id", "fact")
+    picks = picks.select("fact", pick_index(tagged(seed, "dim", "fact"), F.lit(size)).alias("_rank"))
     rows = picks.join(numbered, "_rank").join(dim, key)
     low, high = space
     code = F.col(code_low) + pick_index(tagged(seed, "code", "fact"), F.col(code_high) - F.col(code_low) + 1)

@@ -13,7 +13,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
-from cpdspark.functions.lineage import cut
+from cpdspark.functions.lineage import VECTOR_ROWS, cut
 from cpdspark.functions.rng import tagged
 from cpdspark.functions.vectors import cosine_similarity, dot
 from cpdspark.operators.cumulative import rank_in, global_rank
@@ -121,6 +121,7 @@ def learn_embeddings(
         .agg(F.sum("_w").alias("_n"))
     )
     emb = cut(occurrences.withColumn("vec", init))
+    small = emb.count() <= VECTOR_ROWS
     pairs = list(combinations(range(len(attrs)), 2))
     weights = np.zeros(len(pairs) + len(nums) + 1)
     weights[: len(pairs)] = 1.0
@@ -150,7 +151,7 @@ def learn_embeddings(
         return task
 
     for _ in range(epochs):
-        wide = with_vectors(tuples, emb, attrs)
+        wide = with_vectors(tuples, F.broadcast(emb) if small else emb, attrs)
         partial = wide.mapInPandas(gradients(weights), out_schema)
         summed = cut(
             partial.groupBy("attr", "value").agg(
