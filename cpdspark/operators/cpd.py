@@ -65,10 +65,10 @@ def categorical(obs: DataFrame, node: Node, asked: DataFrame | None = None) -> D
     left = node.by_role(Role.CAT, Role.SOFT)
     if node.band:
         return _categorical_band(obs, node, left, asked)
-    joint = obs.groupBy(*left, node.attr).agg(F.count(F.lit(1)).alias("c"))
+    joint = cut(obs.groupBy(*left, node.attr).agg(F.count(F.lit(1)).alias("c")))
     total = joint.groupBy(*left).agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("seen"))
     base = joint if asked is None else asked.join(joint, [*left, node.attr], "left")
-    return smoothed(base.join(total, left, "left"), [*left, node.attr], domain_size(obs, node.attr))
+    return smoothed(base.join(total, left, "left"), [*left, node.attr], domain_size(joint, node.attr))
 
 
 def smoothed(df: DataFrame, keys: list[str], size: Column) -> DataFrame:
@@ -78,12 +78,14 @@ def smoothed(df: DataFrame, keys: list[str], size: Column) -> DataFrame:
     return counted.select(*keys, dist.safe_ln(p).alias("lp"), (zero("total") > 0).alias("support"))
 
 
-def band_value_counts(
-    obs: DataFrame, node: Node, left: list[str], asked: DataFrame | None
-) -> DataFrame:
+def band_points(obs: DataFrame, node: Node, left: list[str]) -> DataFrame:
+    """Rows per distinct (parents, position, value)."""
+    return cut(with_position(obs, node).groupBy(*left, POS, node.attr).agg(F.count(F.lit(1)).alias("n")))
+
+
+def band_value_counts(points: DataFrame, node: Node, left: list[str], asked: DataFrame | None) -> DataFrame:
     """Per asked (parents, position, value): matches with the value, matches, distinct values seen."""
     v, r = node.attr, grid_radius(node.band.radius)
-    points = cut(with_position(obs, node).groupBy(*left, POS, v).agg(F.count(F.lit(1)).alias("n")))
     if frames_are_small(points, left):
         return frame_value_counts(points, left, v, POS, r, asked)
     chunks = chunks_for(points)
@@ -97,8 +99,9 @@ def band_value_counts(
 
 
 def _categorical_band(obs: DataFrame, node: Node, left: list[str], asked: DataFrame | None) -> DataFrame:
-    counts = band_value_counts(obs, node, left, asked)
-    return smoothed(counts, [*left, POS, node.attr], domain_size(obs, node.attr))
+    points = band_points(obs, node, left)
+    counts = band_value_counts(points, node, left, asked)
+    return smoothed(counts, [*left, POS, node.attr], domain_size(points, node.attr))
 
 
 def numerical(obs: DataFrame, node: Node, asked: DataFrame | None = None) -> DataFrame:

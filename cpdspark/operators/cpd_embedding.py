@@ -115,13 +115,14 @@ def categorical(
     tuples = (with_position(obs, node) if asked is None else asked).select(*p.all, v).distinct()
     hit_tuples = tuples.select(*p.hit, v).distinct()
     if node.band:
-        counts = cpd.band_value_counts(obs, node, p.soft + p.exact, hit_tuples)
+        joint = cpd.band_points(obs, node, p.soft + p.exact)
+        counts = cpd.band_value_counts(joint, node, p.soft + p.exact, hit_tuples)
     else:
-        joint = obs.groupBy(*p.hit, v).agg(F.count(F.lit(1)).alias("c"))
+        joint = cut(obs.groupBy(*p.hit, v).agg(F.count(F.lit(1)).alias("c")))
         total = joint.groupBy(*p.hit).agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("seen"))
         counts = hit_tuples.join(joint, [*p.hit, v], "left").join(total, p.hit, "left")
     counted = tuples.join(counts, [*p.hit, v], "left").withColumn("total", F.coalesce("total", F.lit(0)))
-    size = domain_size(obs, v)
+    size = domain_size(joint, v)
     if _never_rare(node, asked):
         return cpd.smoothed(counted, [*p.all, v], size)
     counted = cut(counted)

@@ -112,9 +112,8 @@ def categorical(obs: DataFrame, node: Node, asked: DataFrame) -> DataFrame:
     if node.band:
         columns = [*[k for k in keys if k != POS], node.band.attr, v]
         wanted = asked.join(banded, keys)
-        counts = cpd.band_value_counts(
-            _expanded(obs.select(*columns), node, banded), node, [KEY], wanted.select(KEY, POS, v).distinct()
-        )
+        points = cpd.band_points(_expanded(obs.select(*columns), node, banded), node, [KEY])
+        counts = cpd.band_value_counts(points, node, [KEY], wanted.select(KEY, POS, v).distinct())
         near = wanted.join(counts, [KEY, POS, v]).select(*keys, v, "c", "total", "seen")
         base = base.unionByName(near)
     return cpd.smoothed(base, [*keys, v], domain_size(obs, v))

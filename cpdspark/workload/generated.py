@@ -59,23 +59,25 @@ def _sql_values(pivot: str, attrs: list[str]) -> str:
     seen AS (SELECT attr, key, value, {num_} FROM pairs), byrow AS (SELECT attr, key, value, {num_} FROM long)"""
 
 
-def _sql_injected(seed: int, p: float, force: str) -> str:
-    m = len(_ATTRS)
-    flips = [f"{sql_unit(seed, chr(39) + 'flip' + chr(39), chr(39) + a + chr(39), 'draw')} < {p}" for a in _ATTRS]
+def _sql_injected(seed: int, p: float, force: str, attrs: list[str] = _ATTRS, share: float = 0.05) -> str:
+    m = len(attrs)
+    flips = [f"{sql_unit(seed, chr(39) + 'flip' + chr(39), chr(39) + a + chr(39), 'draw')} < {p}" for a in attrs]
     none = "NOT (" + " OR ".join(flips) + ")"
     forced = sql_index(sql_unit(seed, "'forced'", "draw"), str(m)) if force == "random" else str(m - 1)
     cells = " UNION ALL ".join(
         f"SELECT draw, p_brand AS key, '{a}' AS attr FROM copies WHERE ({flips[i]}) OR ({none} AND {forced} = {i})"
-        for i, a in enumerate(_ATTRS)
+        for i, a in enumerate(attrs)
     )
     pick = sql_index(sql_unit(seed, "'value'", "c.attr", "c.draw"), "n.sz")
-    new = ", ".join(f"max(value) FILTER (attr = '{a}') AS new_{a}" for a in _ATTRS)
+    new = ", ".join(f"max(value) FILTER (attr = '{a}') AS new_{a}" for a in attrs)
     cols = ", ".join(
-        f"CAST(coalesce(new_{a}, CAST({a} AS VARCHAR)) AS {'INTEGER' if a == 'p_size' else 'VARCHAR'}) AS {a}" for a in _ATTRS
+        f"CAST(coalesce({'new_' + a if a in attrs else 'NULL'}, CAST({a} AS VARCHAR)) AS "
+        f"{'INTEGER' if a == 'p_size' else 'VARCHAR'}) AS {a}"
+        for a in _ATTRS
     )
-    return f"""WITH {_sql_values('p_brand', _ATTRS)},
+    return f"""WITH {_sql_values('p_brand', attrs)},
     ranked AS (SELECT *, row_number() OVER (ORDER BY p_partkey) - 1 AS rank, count(*) OVER () AS total FROM part),
-    copies AS (SELECT t.draw, r.* FROM range(CAST((SELECT ceil(0.05 * count(*)) FROM part) AS BIGINT)) t(draw) JOIN ranked r
+    copies AS (SELECT t.draw, r.* FROM range(CAST((SELECT ceil({share}::DOUBLE * count(*)) FROM part) AS BIGINT)) t(draw) JOIN ranked r
       ON r.rank = {sql_index(sql_unit(seed, "'row'", 't.draw'), 'r.total')}),
     cells AS ({cells}),
     drawn AS (SELECT c.draw, c.attr, n.value FROM cells c JOIN never n ON n.attr = c.attr AND n.key = c.key AND n.i = {pick}),
@@ -141,22 +143,35 @@ def q72(spark, sf):
     return inject.training_negatives(p, "p_brand", ["p_size"], 4, 10)
 
 
-@register("q67_training_set")
+_NEGATIVES = _sql_per_pivot(10, 4, {"p_type": "'never'", "p_name": "'never'", "p_size": "'row'"}, "0 AS good")
+
+
+@register(
+    "q67_training_set",
+    f"""SELECT p_brand, p_type, p_name, p_size, 1 AS good FROM part
+    UNION ALL SELECT p_brand, p_type, p_name, p_size, good FROM ({_NEGATIVES})""",
+)
 def q67(spark, sf):
     p = table(spark, sf, "part").select("p_brand", "p_type", "p_name", "p_size")
     return inject.training_set(p, "p_brand", ["p_size"], 4, 10)
 
 
-def _sql_typos(seed: int) -> str:
+def _sql_typos(seed: int, prob: float | None = None) -> str:
     total = sum(EDIT_ERROR_BASE**i for i in range(EDIT_ERROR_TERMS))
     acc, steps = 0.0, []
     for i in range(12):
         acc += EDIT_ERROR_BASE**i / total
         steps.append(f"(CASE WHEN u >= {acc!r}::DOUBLE THEN 1 ELSE 0 END)")
+    count = " + ".join(steps)
+    if prob is not None:
+        count = "0"
+        for i in reversed(range(12)):
+            more = sql_unit(seed, f"'more{i}'", "p_partkey")
+            count = f"(CASE WHEN {more} < {prob / 2**i!r}::DOUBLE THEN 1 + {count} ELSE 0 END)"
     draw = lambda tag: sql_unit(seed, f"'{tag}'", "i + 1", "id")
     action = sql_index(draw("action"), "3")
     at = f"CASE WHEN a = 0 THEN {sql_index(draw('pos'), '(length(word) + 1)')} ELSE {sql_index(draw('pos'), 'length(word)')} END"
-    return f"""WITH RECURSIVE n AS (SELECT p_partkey AS id, p_name AS word, {' + '.join(steps)} AS cnt
+    return f"""WITH RECURSIVE n AS (SELECT p_partkey AS id, p_name AS word, {count} AS cnt
       FROM (SELECT *, {sql_unit(seed, "'typos'", 'p_partkey')} AS u FROM part)),
     t AS (SELECT id, word, 0 AS i, cnt FROM n UNION ALL
       SELECT id, CASE WHEN a = 0 THEN substr(word, 1, ps) || ch || substr(word, ps + 1)
@@ -172,13 +187,20 @@ def q73(spark, sf):
     return out.select("p_partkey", "dirty", "n_typos")
 
 
-@register("q73_typos_halving")
+@register("q73_typos_halving", _sql_typos(13, 0.5))
 def q73_halving(spark, sf):
     out = typos.inject_typos(table(spark, sf, "part"), "p_partkey", "p_name", 13, prob=0.5)
-    return out.select("p_partkey", "p_name", "dirty", "n_typos")
+    return out.select("p_partkey", "dirty", "n_typos")
 
 
-@register("q76_scenarios")
+@register(
+    "q76_scenarios",
+    " UNION ALL ".join(
+        f"SELECT *, 'k={k},p={p}' AS scenario FROM ({_sql_injected(14, p, 'random', ['p_name', 'p_size'], k)})"
+        for k in (0.01, 0.05)
+        for p in (0.2, 1.0)
+    ),
+)
 def q76(spark, sf):
     p = table(spark, sf, "part").select(*_COLS)
     return inject.scenarios(p, "p_partkey", "p_brand", ["p_name", "p_size"], [0.01, 0.05], [0.2, 1.0], 14)

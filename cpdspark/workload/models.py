@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from cpdspark.functions.vectors import cosine_similarity
 from cpdspark.operators import beta, counts, cpd, cpd_embedding, knn, metrics, relaxed
 from cpdspark.operators.bands import DIGITS
-from cpdspark.operators.score import explain, most_improbable, score
+from cpdspark.operators.score import explain, most_improbable, score, score_row
 from cpdspark.operators.vocabulary import (
     adaptive_dimension,
     encoded,
@@ -335,6 +335,17 @@ def q62(spark, sf):
     return rounded(scored.select("p_partkey", "worst_attr", "worst_lp"))
 
 
+@register(
+    "q61_score_row",
+    f"""WITH {_PART_SCORE} SELECT p_partkey, round(lp_p_brand + lp_p_type + lp_p_retailprice, 6) AS score
+    FROM sc ORDER BY p_retailprice DESC, p_partkey LIMIT 1""",
+)
+def q61(spark, sf):
+    p = table(spark, sf, "part")
+    row = p.orderBy(F.desc("p_retailprice"), "p_partkey").first().asDict()
+    return rounded(score_row(p, PART_SPEC, "p_partkey", row).select("p_partkey", "score"))
+
+
 LINE_SPEC = ModelSpec(
     (
         uniform("l_returnflag"),
