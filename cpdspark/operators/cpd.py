@@ -29,6 +29,22 @@ from cpdspark.operators.counts import domain, domain_size
 from cpdspark.plans.spec import Kind, Node, Role
 
 POS = "_pos"
+WEIGHT = "_weight"  # rows behind a tuple, in tables that were reduced beforehand
+
+
+def row_count(obs: DataFrame) -> Column:
+    return F.sum(WEIGHT) if WEIGHT in obs.columns else F.count(F.lit(1))
+
+
+def reduced(obs: DataFrame, attrs: list[str], share: float = 0.1) -> DataFrame | None:
+    """Distinct tuples of ``attrs`` with their rows, from which several nodes can be counted.
+
+    None if a distinct-count sketch says that there are more than ``share`` as many as rows.
+    """
+    n, d = obs.agg(F.count(F.lit(1)), F.approx_count_distinct(F.struct(*attrs), 0.05)).first()
+    if d > share * n:
+        return None
+    return cut(obs.groupBy(*attrs).agg(F.count(F.lit(1)).alias(WEIGHT)))
 
 
 def with_position(df: DataFrame, node: Node, digits: int = DIGITS) -> DataFrame:
@@ -52,8 +68,8 @@ def roots(obs: DataFrame, node: Node, self_scoring: bool) -> DataFrame | Column:
         if self_scoring:
             return dist.uniform_categorical(domain_size(obs, node.attr))
         return domain(obs, node.attr).withColumn("lp", dist.uniform_categorical(domain_size(obs, node.attr)))
-    total = obs.agg(F.count(node.attr)).scalar()
-    counts = obs.groupBy(node.attr).agg(F.count(F.lit(1)).alias("n"))
+    total = obs.agg(row_count(obs)).scalar()
+    counts = obs.groupBy(node.attr).agg(row_count(obs).alias("n"))
     return counts.select(node.attr, dist.named_categorical(F.col("n"), total).alias("lp"))
 
 
@@ -65,7 +81,7 @@ def categorical(obs: DataFrame, node: Node, asked: DataFrame | None = None) -> D
     left = node.by_role(Role.CAT, Role.SOFT)
     if node.band:
         return _categorical_band(obs, node, left, asked)
-    joint = cut(obs.groupBy(*left, node.attr).agg(F.count(F.lit(1)).alias("c")))
+    joint = cut(obs.groupBy(*left, node.attr).agg(row_count(obs).alias("c")))
     total = joint.groupBy(*left).agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("seen"))
     base = joint if asked is None else asked.join(joint, [*left, node.attr], "left")
     return smoothed(base.join(total, left, "left"), [*left, node.attr], domain_size(joint, node.attr))

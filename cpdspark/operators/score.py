@@ -11,6 +11,9 @@ from cpdspark.operators.cpd import POS, lookup_keys, with_position
 from cpdspark.plans.spec import EMBEDDED, Kind, ModelSpec, Node, ROOTS
 
 
+SHARED_NODES = 3  # so many counted nodes are worth a common reduction of the table
+
+
 def lp(attr: str) -> str:
     return f"lp_{attr}"
 
@@ -43,15 +46,25 @@ def score(
         source = source.withColumnRenamed(old, new)
     source = source.select(id_col, *spec.attrs, *[c for c in keep if c not in spec.attrs and c != id_col])
     asking = None if rows is None else source.dropna(subset=list(spec.attrs))
+    counted = [n for n in nodes if _counts_only(n)]
+    attrs = sorted({a for n in counted for a in (n.attr, *[p.attr for p in n.parents])})
+    tuples = cpd.reduced(observed, attrs) if len(counted) >= SHARED_NODES else None
     scored = source
     for node in nodes:
-        scored = attach(scored, observed, node, id_col, emb, asking)
+        base = tuples if tuples is not None and node in counted else observed
+        scored = attach(scored, base, node, id_col, emb, asking)
     present = _all_present(spec.attrs)
     lps = [F.when(present, F.col(lp(n.attr))).alias(lp(n.attr)) for n in nodes]
     total = sum((F.col(lp(n.attr)) for n in nodes[1:]), F.col(lp(nodes[0].attr)))
     return scored.select(*source.columns, *lps).select("*", total.alias("score"), (~present).alias("skipped"))
 
 
+def _counts_only(node: Node) -> bool:
+    """Nodes that need nothing but the counts of category tuples."""
+    plain = node.kind is Kind.CAT and node.strict and not node.band
+    return plain or node.kind in (Kind.UNIFORM, Kind.FREQ)
+
+
 def _all_present(attrs) -> Column:
     ok = F.lit(True)
     for a in attrs:
