@@ -13,7 +13,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cpdspark.functions import distributions as dist
-from cpdspark.functions.rng import tagged
 from cpdspark.operators.counts import domain_size
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from cpdspark.functions.distributions import softmax_weights
 from cpdspark.functions.lineage import cut
-from cpdspark.functions.rng import gumbel, pick_index, tagged
+from cpdspark.functions.rng import gumbel, tagged
 from cpdspark.operators.counts import domain
 from cpdspark.operators.cumulative import global_rank, rank_in
 from cpdspark.operators.knn import value_neighbours
