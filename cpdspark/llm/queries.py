@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cpdspark.llm import chat, line_quality, secrets
+from cpdspark.llm import byte_bpe, chat, decontaminate, line_quality, secrets
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,17 +27,31 @@ def op1_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.layout(table.unionByName(own.select("conv_id", "t.*"))))
 
 
+def bpe_vocabulary(spark: SparkSession) -> byte_bpe.Vocabulary:
+    return byte_bpe.vocabulary(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digest(_read(spark, sf_dir, "documents"), bpe_vocabulary(spark))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(_read(spark, sf_dir, "documents"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.measure(_read(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_prefix_targets": op1_prefix_targets,
+    "op4_byte_bpe": op4_byte_bpe,
     "op5_secrets": op5_secrets,
+    "op7_decontaminate": op7_decontaminate,
     "op8_line_quality": op8_line_quality,
 }
 

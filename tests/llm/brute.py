@@ -42,3 +42,48 @@ def line_figures(text: str | None) -> dict:
         "n_repeat_words": len(inside),
         "base_failed": len(words) < 10 or 100 * len(inside) > 20 * len(words),
     }
+
+
+def tokens(text: str | None, ranks: dict[bytes, int], pattern: str) -> list[int]:
+    """Merge the pair of least rank, again and again, within every match of the pattern."""
+    import regex
+
+    out = []
+    for m in regex.finditer(pattern, text or ""):
+        parts = [bytes([b]) for b in m[0].encode()]
+        while True:
+            pairs = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+            if not pairs:
+                break
+            _, i = min(pairs)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        out += [ranks[p] for p in parts]
+    return out
+
+
+ITEM_WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def ascii_lower(text: str) -> str:
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text)
+
+
+def benchmark_hits(text: str | None, windows: dict[tuple, set[str]]) -> tuple[int, int, list[str]]:
+    words = ITEM_WORDS.findall(ascii_lower(text or ""))
+    hit, items = set(), set()
+    for n in {len(w) for w in windows}:
+        for i in range(len(words) - n + 1):
+            if found := windows.get(tuple(words[i : i + n])):
+                hit.update(range(i, i + n))
+                items |= found
+    return len(words), len(hit), sorted(items)
+
+
+def benchmark_windows(items: list[tuple]) -> dict[tuple, set[str]]:
+    out: dict[tuple, set[str]] = {}
+    for item, text in items:
+        words = ITEM_WORDS.findall(ascii_lower(text or ""))
+        if item is not None and words:
+            for i in range(max(1, len(words) - 9)):
+                out.setdefault(tuple(words[i : i + 10]), set()).add(str(item))
+    return out
