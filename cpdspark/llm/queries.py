@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cpdspark.llm import byte_bpe, chat, decontaminate, line_quality, secrets
+from cpdspark.llm import byte_bpe, chat, decontaminate, line_quality, quality_pu, secrets, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,24 @@ def op1_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.layout(table.unionByName(own.select("conv_id", "t.*"))))
 
 
+def toxicity_chain(spark: SparkSession, sf_dir: str) -> list[toxicity.Link]:
+    """Low quality first, then toxic: the chain of the labels at hand."""
+    labels = _read(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    return toxicity.fit(_read(spark, sf_dir, "documents"), labels, ["low_quality", "toxic"])
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(documents, toxicity_chain(spark, sf_dir))
+    return scored.select(
+        "doc_id",
+        (~toxicity.learnable()).alias("held_out"),
+        "p_low_quality",
+        "p_toxic",
+        (F.col("p_toxic") >= toxicity.THRESHOLD).alias("toxic"),
+    )
+
+
 def bpe_vocabulary(spark: SparkSession) -> byte_bpe.Vocabulary:
     return byte_bpe.vocabulary(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -47,12 +65,25 @@ def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.measure(_read(spark, sf_dir, "documents"))
 
 
+def op9_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _read(spark, sf_dir, "documents")
+    model = quality_pu.fit(documents, _read(spark, sf_dir, "labels"))
+    return quality_pu.score(documents.select("doc_id", "text"), model).select(
+        "doc_id",
+        (~toxicity.learnable()).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 QUERIES = {
     "op1_prefix_targets": op1_prefix_targets,
+    "op3_toxicity": op3_toxicity,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_secrets": op5_secrets,
     "op7_decontaminate": op7_decontaminate,
     "op8_line_quality": op8_line_quality,
+    "op9_quality_pu": op9_quality_pu,
 }
 
 _ESCAPED = "replace(replace(replace(replace({0}, '~', '~0'), '</s>', '~1'), '[INST]', '~2'), '[/INST]', '~3')"
