@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cpdspark.llm import byte_bpe, chat, decontaminate, line_quality, quality_pu, secrets, toxicity
+from cpdspark.llm import byte_bpe, chat, decontaminate, line_quality, near_dedup, quality_pu, secrets, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(_read(spark, sf_dir, "documents"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.report(_read(spark, sf_dir, "documents"), width=4)
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -81,6 +85,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_secrets": op5_secrets,
+    "op6_near_dedup": op6_near_dedup,
     "op7_decontaminate": op7_decontaminate,
     "op8_line_quality": op8_line_quality,
     "op9_quality_pu": op9_quality_pu,

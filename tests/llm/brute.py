@@ -87,3 +87,34 @@ def benchmark_windows(items: list[tuple]) -> dict[tuple, set[str]]:
             for i in range(max(1, len(words) - 9)):
                 out.setdefault(tuple(words[i : i + 10]), set()).add(str(item))
     return out
+
+
+def shingles(text: str | None, width: int) -> set[tuple]:
+    words = SPACE_WORDS.findall(ascii_lower(text or ""))
+    if not words:
+        return set()
+    return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+
+
+def near_components(rows: list[tuple], width: int, percent: int = 80) -> dict[int, tuple[int, int]]:
+    """doc_id -> (set size, least doc_id reachable); candidates by shared shingles."""
+    sets = {i: shingles(t, width) for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    having: dict[tuple, list[int]] = {}
+    for i in sorted(sets):
+        shared: dict[int, int] = {}
+        for s in sets[i]:
+            for j in having.setdefault(s, []):
+                shared[j] = shared.get(j, 0) + 1
+            having[s].append(i)
+        for j, both in shared.items():
+            if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    return {i: (len(s), root(i)) for i, s in sets.items()}
