@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cpdspark.llm import byte_bpe, chat, decontaminate, line_quality, near_dedup, quality_pu, secrets, toxicity
+from cpdspark.llm import byte_bpe, chat, decontaminate, html_text, line_quality, near_dedup, quality_pu, secrets, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +80,11 @@ def op9_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rendered = html_text.extract(_read(spark, sf_dir, "pages").select("page_id", "html"))
+    return rendered.select("page_id", F.length("text").cast("long").alias("n_chars"), "text")
+
+
 QUERIES = {
     "op1_prefix_targets": op1_prefix_targets,
     "op3_toxicity": op3_toxicity,
@@ -89,6 +94,7 @@ QUERIES = {
     "op7_decontaminate": op7_decontaminate,
     "op8_line_quality": op8_line_quality,
     "op9_quality_pu": op9_quality_pu,
+    "op10_html_text": op10_html_text,
 }
 
 _ESCAPED = "replace(replace(replace(replace({0}, '~', '~0'), '</s>', '~1'), '[INST]', '~2'), '[/INST]', '~3')"
