@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cpdspark.llm import byte_bpe, chat, decontaminate, html_text, line_quality, near_dedup, quality_pu, secrets, toxicity
+from cpdspark.llm import byte_bpe, chat, decontaminate, html_text, line_quality, near_dedup, quality_pu, secrets, substring_dedup, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op1_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.layout(table.unionByName(own.select("conv_id", "t.*"))))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(_read(spark, sf_dir, "documents"))
+
+
 def toxicity_chain(spark: SparkSession, sf_dir: str) -> list[toxicity.Link]:
     """Low quality first, then toxic: the chain of the labels at hand."""
     labels = _read(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
@@ -87,6 +91,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_prefix_targets": op1_prefix_targets,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_secrets": op5_secrets,

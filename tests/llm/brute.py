@@ -118,3 +118,20 @@ def near_components(rows: list[tuple], width: int, percent: int = 80) -> dict[in
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
     return {i: (len(s), root(i)) for i, s in sets.items()}
+
+
+def without_repeats(rows: list[tuple], length: int = 100) -> dict[int, tuple[int, int, int, str]]:
+    """doc_id -> bytes, bytes removed, runs removed, digest of the rest; doc_ids differ."""
+    seen: set[bytes] = set()
+    out = {}
+    for doc, text in sorted(rows):
+        data = (text or "").encode()
+        gone = bytearray(len(data))
+        for i in range(len(data) - length + 1):
+            window = data[i : i + length]
+            if window in seen:
+                gone[i : i + length] = b"\1" * length
+            seen.add(window)
+        runs = sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1]))
+        out[doc] = len(data), sum(gone), runs, sha(bytes(b for b, g in zip(data, gone) if not g))
+    return out
