@@ -31,15 +31,15 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(_read(spark, sf_dir, "documents"))
 
 
-def toxicity_chain(spark: SparkSession, sf_dir: str) -> list[toxicity.Link]:
+def toxicity_chain(spark: SparkSession, sf_dir: str, documents: DataFrame) -> list[toxicity.Link]:
     """Low quality first, then toxic: the chain of the labels at hand."""
     labels = _read(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
-    return toxicity.fit(_read(spark, sf_dir, "documents"), labels, ["low_quality", "toxic"])
+    return toxicity.fit(documents, labels, ["low_quality", "toxic"])
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = toxicity.score(documents, toxicity_chain(spark, sf_dir))
+    scored = toxicity.score(documents, toxicity_chain(spark, sf_dir, documents))
     return scored.select(
         "doc_id",
         (~toxicity.learnable()).alias("held_out"),
