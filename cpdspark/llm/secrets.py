@@ -41,7 +41,7 @@ class EntropyRule:
     letters: float = 9.9  # never: long words
     mixed: float = 3.6
     base64: float = 3.8
-    allow: str = r"(?i)example|sample|dummy|placeholder|test|https?|www\.|/[a-z]+/|^(.)\1+$|^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$|^[a-z]+([_-][a-z]+)+$"
+    allow: str = r"(?i)example|sample|dummy|placeholder|test|https?|www\.|^/{0,2}[a-z]+/|/[a-z]+/|^(.)\1+$|^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$|^[a-z]+([_-][a-z]+)+$"
 
 
 @dataclass(frozen=True)
@@ -175,7 +175,8 @@ def spans(documents: DataFrame, rule: EntropyRule = EntropyRule()) -> DataFrame:
 
 def _least(pattern: str, least: int) -> str:
     """Whether a text can have a match that does not fail: cheap to refute."""
-    return pattern[: pattern.rindex("+)")] + "{" + str(least) + "})"
+    fixed = len("AKIA") if pattern == ACCESS else 0  # what group 2 has before its repeated class
+    return pattern[: pattern.rindex("+)")] + "{" + str(least - fixed) + "})"
 
 
 def find(documents: DataFrame, rule: EntropyRule = EntropyRule()) -> DataFrame:
