@@ -224,7 +224,7 @@ def fit(documents: DataFrame, labels: DataFrame, good: str = "quality", sample:
         x = np.array([np.frombuffer(r) for r in frame.x]).reshape(len(frame), len(FEATURES))
         mask = frame.trusted.to_numpy(bool)
         if not mask.any() or mask.all():
-            return pd.DataFrame({"borders": [], "weights": [], "prior": []})
+            return pd.DataFrame({"borders": [], "weights": [], "prior": []}, dtype=object)
         m = fit_pu(x[mask], x[~mask])
         return pd.DataFrame({"borders": [[b.tolist() for b in m.borders]], "weights": [m.weights.tolist()], "prior": [m.prior]})
 
