@@ -9,12 +9,11 @@ block after.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from cpdspark.operators.cumulative import CHUNKS, totals_at, with_previous
+from cpdspark.operators.cumulative import totals_at, with_previous
 
 DIGITS = 6
-FRAME_POINTS = 1024
 MOMENTS = {"n": "sum", "s1": "sum", "s2": "sum", "lo": "min", "hi": "max"}
 
 
@@ -27,7 +26,7 @@ def grid_radius(radius: float, digits: int = DIGITS) -> int:
 
 
 def band_counts(
-    points: DataFrame, queries: DataFrame, keys: list[str], pos: str, radius: int, chunks: int = CHUNKS
+    points: DataFrame, queries: DataFrame, keys: list[str], pos: str, radius: int, chunks: int | None = None
 ) -> DataFrame:
     """``queries`` (distinct keys, pos) with ``n``, the sum of ``points.n`` within the radius."""
     ends = F.array(
@@ -48,7 +47,7 @@ def band_distinct(
     value: str,
     pos: str,
     radius: int,
-    chunks: int = CHUNKS,
+    chunks: int | None = None,
 ) -> DataFrame:
     """``queries`` with ``n_values``, how many distinct values occur within the radius.
 
@@ -88,7 +87,7 @@ def moment_points(df: DataFrame, keys: list[str], pos: str, target: str, centre:
 
 
 def band_moments(
-    points: DataFrame, queries: DataFrame, keys: list[str], pos: str, radius: int, chunks: int = CHUNKS
+    points: DataFrame, queries: DataFrame, keys: list[str], pos: str, radius: int, chunks: int | None = None
 ) -> DataFrame:
     """``queries`` (distinct keys, pos) with the :data:`MOMENTS` of all points within the radius."""
     block = F.floor(F.col(pos) / F.lit(radius)).cast("long")
@@ -118,72 +117,6 @@ def band_moments(
     return parts.groupBy(*keys, F.col("_origin").alias(pos)).agg(*merge_moments())
 
 
-def frames_are_small(points: DataFrame, keys: list[str]) -> bool:
-    """Whether no key has more than :data:`FRAME_POINTS` points, so that sliding frames stay short."""
-    largest = points.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    return largest is None or largest <= FRAME_POINTS
-
-
-def _frame(keys: list[str], pos: str, radius: int):
-    return Window.partitionBy(*keys).orderBy(pos).rangeBetween(-radius, radius)
-
-
-def _with_queries(
-    points: DataFrame, queries: DataFrame | None, keys: list[str], pos: str, carried: list[str] = ()
-) -> DataFrame:
-    """Points, and asked positions as points without content."""
-    marked = points.withColumn("_asked", F.lit(queries is None))
-    if queries is None:
-        return marked
-    asked = queries.select(*keys, pos, *carried, F.lit(True).alias("_asked"))
-    return marked.unionByName(asked, allowMissingColumns=True)
-
-
-def frame_moments(
-    points: DataFrame, keys: list[str], pos: str, radius: int, queries: DataFrame | None = None
-) -> DataFrame:
-    """Same result as :func:`band_moments` by a sliding frame, for keys with few positions."""
-    w = _frame(keys, pos, radius)
-    fns = {"sum": F.sum, "min": F.min, "max": F.max}
-    out = _with_queries(points, queries, keys, pos).select(
-        *keys, pos, "_asked", *[fns[k](m).over(w).alias(m) for m, k in MOMENTS.items()]
-    )
-    return out.filter("_asked").drop("_asked").withColumn("n", F.coalesce("n", F.lit(0)))
-
-
-def frame_value_counts(
-    points: DataFrame, keys: list[str], value: str, pos: str, radius: int, queries: DataFrame | None = None
-) -> DataFrame:
-    """Counts ``c`` (value), ``total`` and ``seen`` (distinct values) by sliding frames."""
-    every = _with_queries(points, queries, keys, pos, [value])
-    w, wv = _frame(keys, pos, radius), _frame([*keys, value], pos, radius)
-    present = F.collect_set(F.when(F.col("n") > 0, F.col(value))).over(w)
-    out = every.select(
-        *keys,
-        pos,
-        value,
-        "_asked",
-        F.coalesce(F.sum("n").over(wv), F.lit(0)).alias("c"),
-        F.coalesce(F.sum("n").over(w), F.lit(0)).alias("total"),
-        F.size(present).cast("long").alias("seen"),
-    )
-    return out.filter("_asked").drop("_asked")
-
-
-def band_pairs(left: DataFrame, right: DataFrame, keys: list[str], x_left: str, x_right: str, radius: float) -> DataFrame:
-    """Band self-join as rows: each left row is sent to three blocks, then filtered exactly.
-
-    The output itself is as large as the number of matching pairs; statistics over a band should
-    use :func:`band_counts` or :func:`band_moments`, which never form the pairs.
-    """
-    r = grid_radius(radius)
-    home = lambda c: F.floor(grid(F.col(c)) / F.lit(r)).cast("long")
-    l = left.withColumn("_block", F.explode(F.array(*[home(x_left) + d for d in (-1, 0, 1)])))
-    rr = right.withColumn("_block", home(x_right))
-    near = F.abs(grid(F.col(x_left)) - grid(F.col(x_right))) <= r
-    return l.join(rr, [*keys, "_block"]).filter(near).drop("_block")
-
-
 def mean_std(centre: Column) -> tuple[Column, Column]:
     """Mean and sample deviation out of merged :data:`MOMENTS`; equal values give exactly 0."""
     n = F.col("n")

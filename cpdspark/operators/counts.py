@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cpdspark.functions.distributions import safe_div
+from cpdspark.functions.lineage import cut
 from cpdspark.operators.cumulative import global_rank, with_previous
 
 
@@ -31,25 +32,11 @@ def collected(df: DataFrame, key: str, attr: str) -> DataFrame:
     """Co-occurring values per key with their multiplicity, one row per (key, value).
 
     The list with duplicates of a frequent key would not fit a task; the counted form holds the
-    same content. ``collected_lists`` builds the list where a list is wanted.
+    same content for keys of any size.
     """
     return co_occurrence(df, [key], attr)
 
 
-def collected_lists(df: DataFrame, key: str, attr: str, max_items: int) -> DataFrame:
-    """Sorted lists with duplicates per key, for keys of up to ``max_items`` rows.
-
-    Larger keys keep ``values`` null; their content is in :func:`collected`. Counts are taken
-    first, so no task ever holds a list above the limit.
-    """
-    pairs = collected(df, key, attr)
-    sizes = pairs.groupBy(key).agg(F.sum("n").alias("n_rows"))
-    small = pairs.join(sizes.filter(F.col("n_rows") <= max_items).select(key), key, "left_semi")
-    repeated = small.select(key, F.array_repeat(attr, F.col("n").cast("int")).alias("_r"))
-    lists = repeated.groupBy(key).agg(F.array_sort(F.flatten(F.collect_list("_r"))).alias("values"))
-    return sizes.join(lists, key, "left")
-
-
 def conditional_moments(df: DataFrame, left: list[str], target: str) -> DataFrame:
     """Mean and sample deviation per combination; the whole table's where only one row matches."""
     whole = df.agg(F.struct(F.avg(target).alias("m"), F.stddev_samp(target).alias("s"))).scalar()
@@ -79,19 +66,34 @@ def boolean_rate(df: DataFrame, flag: Column, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.avg(flag.cast("double")).alias("rate"))
 
 
-def l1_normalise(weight: str, *by: str) -> Column:
-    """Weight as a share of its group's total."""
-    return safe_div(F.col(weight), F.sum(weight).over(Window.partitionBy(*by)))
+def l1_normalise(df: DataFrame, weight: str, by: list[str], name: str = "share") -> DataFrame:
+    """Add each row's weight as a share of its group's total, or of the table's without a group."""
+    w = F.col(weight).cast("double")
+    if not by:
+        return df.withColumn("_t", df.agg(F.sum(w)).scalar()).withColumn(name, safe_div(w, F.col("_t"))).drop("_t")
+    totals = df.groupBy(*by).agg(F.sum(w).alias("_t"))
+    return df.join(totals, by).withColumn(name, safe_div(w, F.col("_t"))).drop("_t")
+
+
+def equi_matches(df: DataFrame, keys: list[str], name: str = "matches") -> DataFrame:
+    """Add how many rows, itself included, equal each row in all keys."""
+    return df.join(df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)), keys)
+
+
+def value_difference(df: DataFrame, attr: str, other: DataFrame) -> DataFrame:
+    """Values of a column that the other table's column of the same name does not have."""
+    return domain(df, attr).join(other.select(attr), attr, "left_anti")
 
 
 def never_together(df: DataFrame, pivot: str, attr: str) -> DataFrame:
-    """Pairs of a pivot value and a domain value that no row has.
+    """Stretches of neighbouring domain values that no row has with a pivot value.
 
-    Values are numbered, and only the number ranges between the values seen with a pivot are
-    unfolded, so that nothing beyond the result itself is formed. To draw from the result use
-    :mod:`cpdspark.operators.inject`, which finds the n-th missing value without listing any.
+    ``pivot, first, last, n``: from ``first`` to ``last`` in the order of the domain lie ``n`` values that
+    never occur with the pivot. There are at most as many stretches as distinct pairs plus pivots,
+    so the result stays as small as what was seen, whatever the size of the domain. To draw from it
+    use :mod:`cpdspark.operators.inject`, which finds the n-th missing value without listing any.
     """
-    numbered = global_rank(domain(df, attr), attr, "_rank")
+    numbered = cut(global_rank(domain(df, attr), attr, "_rank"))
     seen = df.select(pivot, attr).dropna().distinct().join(numbered, attr).select(pivot, "_rank")
     gaps = with_previous(seen, [pivot], "_rank", "_prev").select(
         pivot, (F.coalesce(F.col("_prev"), F.lit(-1)) + 1).alias("_from"), (F.col("_rank") - 1).alias("_to")
@@ -103,9 +105,7 @@ def never_together(df: DataFrame, pivot: str, attr: str) -> DataFrame:
         .withColumn("_size", size)
         .select(pivot, "_from", (F.col("_size") - 1).alias("_to"))
     )
-    missing = gaps.unionByName(tail).filter("_from <= _to")
-    return (
-        missing.select(pivot, F.explode(F.sequence("_from", "_to")).alias("_rank"))
-        .join(numbered, "_rank")
-        .select(pivot, attr)
-    )
+    missing = gaps.unionByName(tail).filter("_from <= _to").withColumn("n", F.col("_to") - F.col("_from") + 1)
+    first = numbered.select(F.col("_rank").alias("_from"), F.col(attr).alias("first"))
+    last = numbered.select(F.col("_rank").alias("_to"), F.col(attr).alias("last"))
+    return missing.join(first, "_from").join(last, "_to").select(pivot, "first", "last", "n")

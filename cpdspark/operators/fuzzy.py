@@ -69,17 +69,6 @@ def nearest_words(df: DataFrame, attr: str, words: DataFrame, max_distance: int)
     return pairs.withColumn("distance", F.levenshtein("word", "listed")).filter(F.col("distance") <= d)
 
 
-def word_distances(df: DataFrame, attr: str, words: DataFrame) -> DataFrame:
-    """Edit distance of every distinct word to every listed word: ``word, listed, distance``.
-
-    The output is words times list by definition; the list is the small side.
-    """
-    own = df.select(F.col(attr).alias("word")).dropna().distinct()
-    listed = words.select(F.col(words.columns[0]).alias("listed")).dropna().distinct()
-    close = F.levenshtein("word", "listed")
-    return own.join(_listed(listed), close >= 0).withColumn("distance", close)
-
-
 def first_synonym(df: DataFrame, id_col: str, keywords: str, synonyms: DataFrame, separator: str = ", ") -> DataFrame:
     """``id, keyword, synonym``: the first keyword of the list that has a synonym; null if none has."""
     long = df.select(id_col, F.posexplode(F.split(keywords, separator)).alias("_pos", "keyword"))
@@ -91,30 +80,24 @@ def first_synonym(df: DataFrame, id_col: str, keywords: str, synonyms: DataFrame
     )
 
 
-def first_keyword(df: DataFrame, keywords: str, separator: str = ", ") -> DataFrame:
-    return df.withColumn(keywords, F.split(keywords, separator)[0])
-
-
 def dictionary_prior(
     observed: DataFrame,
     word: str,
     dictionary: DataFrame,
     entry: str,
-    parent: tuple[str, str] | None = None,
+    parent: tuple[str, str],
     code: tuple[str, str] | None = None,
     weighting: str = "boosted",
 ) -> DataFrame:
     """Probability of each dictionary entry as the intended word, per distinct observation.
 
     Weight is the edit score, raised for good matches (``boosted``) or exponential. ``parent``
-    (column, dictionary column) keeps entries of the observed parent only; ``code`` multiplies by the
-    edit score of a second field.
+    (column, dictionary column) names what an observation and its entries must share, so that no word
+    meets the whole dictionary; ``code`` multiplies by the edit score of a second field.
     """
-    keys = [word] + ([parent[0]] if parent else []) + ([code[0]] if code else [])
+    keys = [word, parent[0]] + ([code[0]] if code else [])
     asked = observed.select(*keys).dropna().distinct()
-    listed = _listed(dictionary)
-    match = F.col(parent[0]) == F.col(parent[1]) if parent else edit_score(F.col(word), F.col(entry)) >= 0
-    joined = asked.join(listed, match)
+    joined = asked.join(_listed(dictionary), F.col(parent[0]) == F.col(parent[1]))
     score = edit_score(F.col(word), F.col(entry))
     weight: Column = boosted_score(score) if weighting == "boosted" else exponential_score(score)
     if code:

@@ -72,10 +72,6 @@ def roc_auc(points: DataFrame, by: list[str] = ()) -> DataFrame:
     return _area(points, "fpr", "recall", by)
 
 
-def pr_auc(points: DataFrame, by: list[str] = ()) -> DataFrame:
-    return _area(points, "recall", "precision", by)
-
-
 def _area(points: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     step = (F.col(x) - F.col(f"prev_{x}")) * (F.col(y) + F.col(f"prev_{y}")) / 2
     first = F.col("tp") + F.col("fp") == 1
@@ -103,3 +99,8 @@ def shuffled(df: DataFrame, id_col: str, seed: int) -> DataFrame:
     """Rows in a random order that depends on the seed and the ids only."""
     return df.orderBy(unit(seed, id_col), id_col)
 
+
+def shuffled_places(df: DataFrame, id_col: str, seed: int) -> DataFrame:
+    """``id, place``: where each row stands in :func:`shuffled`, from 1; counted in chunks, not in one task."""
+    rows = df.select(id_col, F.struct(unit(seed, id_col).alias("u"), F.col(id_col)).alias("_at"), F.lit(1).cast("long").alias("place"))
+    return running_totals(rows, [], "_at", {"place": "sum"}).select(id_col, "place")

@@ -74,9 +74,17 @@ def q47(spark, sf):
     return rounded(cpd.categorical(table(spark, sf, "lineitem"), node).drop("support"), 9)
 
 
+def _with_next(p: DataFrame, own: str, others: dict[str, int]) -> DataFrame:
+    """Rows' own value with values of the parts some places further on: tuples that were mostly never seen."""
+    out = p.select("p_partkey", own)
+    for column, step in others.items():
+        out = out.join(p.select((F.col("p_partkey") - step).alias("p_partkey"), column), "p_partkey")
+    return out.drop("p_partkey")
+
+
 @register(
     "q47_cpd_cat_unseen",
-    f"""WITH asked AS (SELECT * FROM (SELECT DISTINCT p_brand FROM part), (SELECT DISTINCT p_name FROM part)),
+    f"""WITH asked AS (SELECT DISTINCT a.p_brand, b.p_name FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1),
     c AS (SELECT p_brand, p_name, count(*) AS c FROM part GROUP BY 1, 2),
     t AS (SELECT p_brand, sum(c) AS n, count(*) AS seen FROM c GROUP BY 1),
     d AS (SELECT count(DISTINCT p_name) AS d FROM part)
@@ -85,7 +93,7 @@ def q47(spark, sf):
 )
 def q47_unseen(spark, sf):
     p = table(spark, sf, "part")
-    asked = counts.never_together(p, "p_brand", "p_name").unionByName(p.select("p_brand", "p_name").distinct())
+    asked = _with_next(p, "p_brand", {"p_name": 1}).distinct()
     return rounded(cpd.categorical(p, cat("p_name", "p_brand"), asked).drop("support"), 9)
 
 
@@ -185,10 +193,9 @@ def q49_cat(spark, sf):
 
 @register(
     "q11_relaxed_cpd",
-    f"""WITH b AS (SELECT DISTINCT p_brand FROM part), n AS (SELECT DISTINCT p_name FROM part),
-    ty AS (SELECT DISTINCT p_type FROM part),
-    asked AS (SELECT p_brand, p_name, p_type, EXISTS (SELECT 1 FROM part p WHERE p.p_brand = b.p_brand AND p.p_name = n.p_name) AS both
-      FROM b, n, ty),
+    f"""WITH x AS (SELECT DISTINCT a.p_brand, b.p_name, c.p_type FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1
+      JOIN part c ON c.p_partkey = a.p_partkey + 2),
+    asked AS (SELECT *, EXISTS (SELECT 1 FROM part p WHERE p.p_brand = x.p_brand AND p.p_name = x.p_name) AS both FROM x),
     m AS (SELECT a.p_brand, a.p_name, a.p_type, count(*) AS n, count(*) FILTER (p.p_type = a.p_type) AS c,
       count(DISTINCT p.p_type) AS seen FROM asked a JOIN part p ON p.p_brand = a.p_brand AND (NOT a.both OR p.p_name = a.p_name)
       GROUP BY 1, 2, 3), d AS (SELECT count(DISTINCT p_type) AS d FROM part)
@@ -196,9 +203,7 @@ def q49_cat(spark, sf):
 )
 def q11_cpd(spark, sf):
     p = table(spark, sf, "part")
-    pairs = counts.never_together(p, "p_brand", "p_name").unionByName(p.select("p_brand", "p_name").distinct())
-    types = p.agg(F.collect_set("p_type")).scalar()
-    asked = pairs.withColumn("_t", types).select("p_brand", "p_name", F.explode("_t").alias("p_type"))
+    asked = _with_next(p, "p_brand", {"p_name": 1, "p_type": 2}).distinct()
     node = cat("p_type", "p_brand", "p_name", strict=False)
     return rounded(relaxed.categorical(p, node, asked).drop("support"), 9)
 
@@ -208,13 +213,15 @@ def q11_cpd(spark, sf):
 
 @register(
     "q18_lookup_vector",
-    f"""WITH {sql_embeddings(SOFT)} SELECT p_partkey, len(x.vec)::INTEGER AS dim, round(x.vec[1] + z.vec[1], 9) AS first_sum
+    f"""WITH {sql_embeddings(SOFT)} SELECT p_partkey, len(x.vec)::INTEGER AS dim,
+      round(list_sum(list_transform(range(1, len(x.vec) + 1), lambda i: i * (x.vec[i] + 2 * z.vec[i]))), 6) AS weighted
     FROM part JOIN emb x ON x.attr = 'p_brand' AND x.value = p_brand JOIN emb z ON z.attr = 'p_type' AND z.value = p_type""",
 )
 def q18(spark, sf):
     wide = knn.replace_with_vectors(table(spark, sf, "part"), part_embeddings(spark, sf, SOFT), SOFT, ["p_partkey"])
-    first = F.round(F.col("p_brand")[0] + F.col("p_type")[0], 9)
-    return wide.select("p_partkey", F.size("p_brand").alias("dim"), first.alias("first_sum"))
+    terms = F.zip_with("p_brand", "p_type", lambda x, z: x + 2 * z)
+    weighted = F.aggregate(F.transform(terms, lambda t, i: t * (i + 1)), F.lit(0.0), lambda total, t: total + t)
+    return wide.select("p_partkey", F.size("p_brand").alias("dim"), F.round(weighted, 6).alias("weighted"))
 
 
 def _places(p: DataFrame) -> DataFrame:
@@ -537,27 +544,28 @@ def _sql_dependency(care_global: bool, seen_count: str, unseen: str) -> str:
     c AS (SELECT p_brand, p_name, count(*) AS c FROM part GROUP BY 1, 2),
     l AS (SELECT a.p_brand, a.p_name, gn, c, CASE WHEN c IS NULL THEN {unseen} ELSE {seen_count} END AS loc
       FROM a LEFT JOIN c ON a.p_brand = c.p_brand AND a.p_name = c.p_name, d),
-    w AS (SELECT *, loc / sum(loc) OVER (PARTITION BY p_brand) {g} AS w FROM l),
-    pr AS (SELECT *, w / sum(w) OVER (PARTITION BY p_brand) AS prob FROM w)
-    SELECT p_brand, p_name, round(prob, 9) AS prob FROM pr WHERE c IS NOT NULL"""
+    w AS (SELECT *, loc / sum(loc) OVER (PARTITION BY p_brand) AS part, loc / sum(loc) OVER (PARTITION BY p_brand) {g} AS w FROM l),
+    pr AS (SELECT *, w / sum(w) OVER (PARTITION BY p_brand) AS prob, part / sum(w) OVER (PARTITION BY p_brand) AS share FROM w),
+    un AS (SELECT *, max(CASE WHEN c IS NULL THEN share END) OVER (PARTITION BY p_brand) AS unseen FROM pr)
+    SELECT p_brand, p_name, round(prob, 9) AS prob, round(unseen, 9) AS unseen_prob FROM un WHERE c IS NOT NULL"""
 
 
 @register("q51_functional_dependency", _sql_dependency(True, "c::DOUBLE", "1.0::DOUBLE"))
 def q51(spark, sf):
     out = beta.functional_dependency(table(spark, sf, "part"), "p_brand", "p_name", care_global=True)
-    return rounded(out.drop("unseen_prob"), 9)
+    return rounded(out, 9)
 
 
 @register("q52_co_occurrence_beta", _sql_dependency(False, "10 * d * ln(d)", "ln(d)"))
 def q52(spark, sf):
     out = beta.co_occurrence(table(spark, sf, "part"), ["p_brand"], "p_name")
-    return rounded(out.drop("unseen_prob"), 9)
+    return rounded(out, 9)
 
 
 @register("q52_co_occurrence_counted", _sql_dependency(True, "100.0::DOUBLE * c", "1.0::DOUBLE"))
 def q52_counted(spark, sf):
     out = beta.co_occurrence(table(spark, sf, "part"), ["p_brand"], "p_name", care_global=True, counted=True)
-    return rounded(out.drop("unseen_prob"), 9)
+    return rounded(out, 9)
 
 
 @register(
@@ -576,11 +584,12 @@ def q53(spark, sf):
     f"""WITH m AS (SELECT *, avg(p_retailprice) OVER (PARTITION BY p_brand) AS a, avg(p_retailprice) OVER (PARTITION BY p_type) AS b,
       avg(p_retailprice) OVER (PARTITION BY p_brand, p_type) AS c FROM part),
     e AS (SELECT *, (a + b + c) / 3 AS em, greatest(list_stddev_samp([a, b, c]), 0.0001::DOUBLE) AS es FROM m)
-    SELECT p_partkey, round(em, 6) AS ens_mean, round(es, 6) AS ens_std, round(em, 6) AS mean_again FROM e""",
+    SELECT p_partkey, round(em, 6) AS ens_mean, round(es, 6) AS ens_std,
+      round(CASE WHEN p_retailprice < 0 THEN -66 ELSE {sql_normal('p_retailprice', 'em', 'es')} END, 6) AS lp FROM e""",
 )
 def q54(spark, sf):
     out = beta.dependency_ensemble(table(spark, sf, "part"), [["p_brand"], ["p_type"], ["p_brand", "p_type"]], "p_retailprice")
-    return rounded(out.select("p_partkey", "ens_mean", "ens_std", F.col("ens_mean").alias("mean_again")))
+    return rounded(out.select("p_partkey", "ens_mean", "ens_std", "lp"))
 
 
 _MIX = {

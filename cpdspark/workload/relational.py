@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cpdspark.functions import distributions as dist
-from cpdspark.functions.rng import unit
-from cpdspark.operators import bands, counts, filters, fuzzy, synth
+from cpdspark.operators import bands, counts, filters, fuzzy, metrics, synth
 from cpdspark.sources.tables import query
 from cpdspark.workload.common import rounded, sql_normal, sql_unit, table
 
@@ -114,21 +113,26 @@ def q15(spark, sf):
 )
 def q16(spark, sf):
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag")
-    keys = ["l_suppkey", "l_returnflag"]
-    n = li.groupBy(*keys).agg(F.count(F.lit(1)).alias("matches"))
-    return li.join(n, keys).select("l_orderkey", "l_linenumber", "matches")
+    return counts.equi_matches(li, ["l_suppkey", "l_returnflag"]).select("l_orderkey", "l_linenumber", "matches")
 
 
-_PAIRS = """SELECT a.p_partkey AS left_key, b.p_partkey AS right_key FROM part a JOIN part b
-    ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND abs(a.p_size - b.p_size) <= 5"""
-
-
-@register("q17_band_pairs", _PAIRS)
+@register(
+    "q17_band_pairs",
+    """SELECT a.p_partkey AS left_key, count(*)::BIGINT AS pairs, round(avg(b.p_retailprice), 6) AS mean_price,
+      min(b.p_retailprice) AS low, max(b.p_retailprice) AS high FROM part a JOIN part b
+    ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND abs(a.p_size - b.p_size) <= 5 GROUP BY 1""",
+)
 def q17(spark, sf):
-    p = table(spark, sf, "part")
-    a = p.select("p_brand", "p_type", F.col("p_partkey").alias("left_key"), F.col("p_size").alias("a_size"))
-    b = p.select("p_brand", "p_type", F.col("p_partkey").alias("right_key"), F.col("p_size").alias("b_size"))
-    return bands.band_pairs(a, b, ["p_brand", "p_type"], "a_size", "b_size", 5).select("left_key", "right_key")
+    """What each row's partners of the equi and band join come to; the pairs themselves are never formed."""
+    p = table(spark, sf, "part").withColumn("pos", bands.grid(F.col("p_size")))
+    keys, centre = ["p_brand", "p_type"], p.agg(F.avg("p_retailprice")).scalar()
+    placed = p.withColumn("_c", centre)
+    points = bands.moment_points(placed, [*keys, "_c"], "pos", "p_retailprice", F.col("_c"))
+    found = bands.band_moments(points, points.select(*keys, "_c", "pos"), [*keys, "_c"], "pos", bands.grid_radius(5))
+    mean, _ = bands.mean_std(F.col("_c"))
+    stats = found.select(*keys, "pos", F.col("n").alias("pairs"), F.round(mean, 6).alias("mean_price"), "lo", "hi")
+    out = p.join(stats, [*keys, "pos"])
+    return out.select(F.col("p_partkey").alias("left_key"), "pairs", "mean_price", F.col("lo").alias("low"), F.col("hi").alias("high"))
 
 
 @register(
@@ -146,9 +150,11 @@ def q17b(spark, sf):
 
 @register(
     "q22_never_together",
-    """SELECT b.p_brand, n.p_name FROM (SELECT DISTINCT p_brand FROM part) b
-    CROSS JOIN (SELECT DISTINCT p_name FROM part) n
-    WHERE NOT EXISTS (SELECT 1 FROM part p WHERE p.p_brand = b.p_brand AND p.p_name = n.p_name)""",
+    """WITH d AS (SELECT v, row_number() OVER (ORDER BY v) AS i FROM (SELECT DISTINCT p_name AS v FROM part)),
+    missing AS (SELECT b.p_brand, d.v, d.i, d.i - row_number() OVER (PARTITION BY b.p_brand ORDER BY d.i) AS run
+      FROM (SELECT DISTINCT p_brand FROM part) b CROSS JOIN d
+      WHERE NOT EXISTS (SELECT 1 FROM part p WHERE p.p_brand = b.p_brand AND p.p_name = d.v))
+    SELECT p_brand, min(v) AS first, max(v) AS last, count(*)::BIGINT AS n FROM missing GROUP BY p_brand, run""",
 )
 def q22(spark, sf):
     return counts.never_together(table(spark, sf, "part"), "p_brand", "p_name")
@@ -157,11 +163,12 @@ def q22(spark, sf):
 @register(
     "q23_fuzzy_join",
     """SELECT w.word, t.listed, levenshtein(w.word, t.listed)::INTEGER AS distance
-    FROM (SELECT DISTINCT p_name AS word FROM part) w CROSS JOIN (SELECT DISTINCT p_type AS listed FROM part) t""",
+    FROM (SELECT DISTINCT p_name AS word FROM part WHERE p_brand = 'Brand#1') w
+    JOIN (SELECT DISTINCT p_name AS listed FROM part WHERE p_brand <> 'Brand#1') t ON levenshtein(w.word, t.listed) <= 4""",
 )
 def q23(spark, sf):
     p = table(spark, sf, "part")
-    return fuzzy.word_distances(p, "p_name", p.select("p_type"))
+    return fuzzy.nearest_words(p.filter("p_brand = 'Brand#1'"), "p_name", p.filter("p_brand <> 'Brand#1'").select("p_name"), 4)
 
 
 @register(
@@ -211,14 +218,9 @@ def q28(spark, sf):
     return counts.co_occurrence(table(spark, sf, "part"), ["p_brand", "p_type"], "p_name")
 
 
-@register(
-    "q29_collected",
-    """SELECT p_brand, count(*)::BIGINT AS n_rows, array_to_string(list_sort(list(p_name)), ',') AS joined
-    FROM part GROUP BY p_brand""",
-)
+@register("q29_collected", "SELECT p_brand, p_name, count(*)::BIGINT AS n FROM part GROUP BY 1, 2")
 def q29(spark, sf):
-    out = counts.collected_lists(table(spark, sf, "part"), "p_brand", "p_name", max_items=1_000_000)
-    return out.select("p_brand", "n_rows", F.array_join("values", ",").alias("joined"))
+    return counts.collected(table(spark, sf, "part"), "p_brand", "p_name")
 
 
 @register(
@@ -381,10 +383,11 @@ def q64(spark, sf):
 
 @register(
     "q66_shuffle_key",
-    f"SELECT p_partkey, round({sql_unit(11, 'p_partkey')}, 12) AS draw FROM part",
+    f"SELECT p_partkey, row_number() OVER (ORDER BY {sql_unit(11, 'p_partkey')}, p_partkey)::BIGINT AS place FROM part",
 )
 def q66(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", F.round(unit(11, "p_partkey"), 12).alias("draw"))
+    """The place of every row in the shuffled table."""
+    return metrics.shuffled_places(table(spark, sf, "part").select("p_partkey"), "p_partkey", 11)
 
 
 @register(
@@ -394,7 +397,7 @@ def q66(spark, sf):
 )
 def q68(spark, sf):
     p = table(spark, sf, "part")
-    return counts.domain(p, "p_name").join(p.filter("p_brand = 'Brand#1'").select("p_name"), "p_name", "left_anti")
+    return counts.value_difference(p, "p_name", p.filter("p_brand = 'Brand#1'"))
 
 
 @register(
@@ -402,7 +405,5 @@ def q68(spark, sf):
     """SELECT p_partkey, round(p_size::DOUBLE / sum(p_size) OVER (PARTITION BY p_brand), 12) AS w FROM part""",
 )
 def q210(spark, sf):
-    p = table(spark, sf, "part").select("p_partkey", "p_brand", F.col("p_size").cast("double").alias("p_size"))
-    total = p.groupBy("p_brand").agg(F.sum("p_size").alias("_t"))
-    share = dist.safe_div(F.col("p_size"), F.col("_t"))
-    return p.join(total, "p_brand").select("p_partkey", F.round(share, 12).alias("w"))
+    shares = counts.l1_normalise(table(spark, sf, "part"), "p_size", ["p_brand"])
+    return shares.select("p_partkey", F.round("share", 12).alias("w"))
