@@ -35,6 +35,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 CHUNK, OVERLAP = 32_768, 1_024  # code points
+OUTPUT_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -63,12 +64,25 @@ def _token_bytes(ranks: bytes) -> dict[int, bytes]:
     return {rank: token for token, rank in _parsed(ranks).items()}
 
 
+def _slices(values: Iterator[bytes]) -> Iterator[pd.Series]:
+    """Results in series of about ``OUTPUT_BYTES``, so that a task never holds those of a whole batch."""
+    out, size = [], 0
+    for v in values:
+        out.append(v)
+        size += len(v)
+        if size >= OUTPUT_BYTES:
+            yield pd.Series(out, dtype=object)
+            out, size = [], 0
+    if out:
+        yield pd.Series(out, dtype=object)
+
+
 def _encode_text(v: Vocabulary) -> Column:
     @F.pandas_udf("binary")
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bpe = _encoding(v.pattern, v.ranks.value)
         for texts in batches:
-            yield pd.Series([bpe.encode_to_numpy(t, disallowed_special=()).astype("<u4").tobytes() for t in texts], dtype=object)
+            yield from _slices(bpe.encode_to_numpy(t, disallowed_special=()).astype("<u4").tobytes() for t in texts)
 
     return encoded
 
@@ -80,7 +94,7 @@ def decode(ids: str | Column, v: Vocabulary) -> Column:
     def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         token = _token_bytes(v.ranks.value).__getitem__
         for all_ids in batches:
-            yield pd.Series([b"".join(map(token, np.frombuffer(x, "<u4").tolist())) for x in all_ids], dtype=object)
+            yield from _slices(b"".join(map(token, np.frombuffer(x, "<u4").tolist())) for x in all_ids)
 
     return decoded(ids)
 
