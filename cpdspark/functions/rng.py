@@ -10,14 +10,14 @@ import math
 
 from pyspark.sql import Column, functions as F
 
-_BITS = 48
+RESOLUTION_BITS = 48
 
 
 def unit(seed: int, *key: Column | str) -> Column:
     """Uniform draw in [0, 1) for one key."""
     parts = [F.col(k) if isinstance(k, str) else k for k in key]
     text = F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, _BITS // 4), 16, 10).cast("double") / float(2**_BITS)
+    return F.conv(F.substring(F.md5(text), 1, RESOLUTION_BITS // 4), 16, 10).cast("double") / float(2**RESOLUTION_BITS)
 
 
 def tagged(seed: int, tag: str, *key: Column | str) -> Column:
@@ -32,11 +32,11 @@ def pick_index(u: Column, size: Column) -> Column:
 
 def standard_normal(u1: Column, u2: Column) -> Column:
     """Box-Muller transform of two uniform draws."""
-    safe = F.greatest(u1, F.lit(2.0**-_BITS))
+    safe = F.greatest(u1, F.lit(2.0**-RESOLUTION_BITS))
     return F.sqrt(F.lit(-2.0) * F.ln(safe)) * F.cos(F.lit(2.0 * math.pi) * u2)
 
 
 def gumbel(u: Column) -> Column:
     """Standard Gumbel noise: the argmax of ``log weight + gumbel`` is a weighted draw."""
-    safe = F.greatest(u, F.lit(2.0**-_BITS))
+    safe = F.greatest(u, F.lit(2.0**-RESOLUTION_BITS))
     return -F.ln(-F.ln(safe))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from cpdspark.functions.distributions import EDIT_ERROR_BASE, EDIT_ERROR_TERMS
-from cpdspark.functions.rng import pick_index, tagged
+from cpdspark.functions.rng import RESOLUTION_BITS, pick_index, tagged
 
 
 def edit_score(a: Column, b: Column) -> Column:
@@ -35,16 +35,19 @@ def typo_count(u: Column) -> Column:
     total = sum(EDIT_ERROR_BASE**i for i in range(EDIT_ERROR_TERMS))
     out = F.lit(0)
     acc = 0.0
-    for i in range(12):  # the mass beyond twelve typos is below the resolution of a draw
+    for i in range(EDIT_ERROR_TERMS):  # the terms of the distribution itself; none is left out
         acc += EDIT_ERROR_BASE**i / total
         out = F.when(u >= acc, F.lit(i + 1)).otherwise(out)
     return out
 
 
 def halving_typo_count(seed: int, prob: float, *key: Column) -> Column:
-    """Typos added one after the other, each with half the chance of the one before."""
+    """Typos added one after the other, each with half the chance of the one before.
+
+    A draw is a whole number of ``2 ** -RESOLUTION_BITS``: from as many steps on, no draw is below the chance.
+    """
     out = F.lit(0)
-    for i in reversed(range(12)):
+    for i in reversed(range(RESOLUTION_BITS + 1)):
         out = F.when(tagged(seed, f"more{i}", *key) < prob / 2**i, F.lit(1) + out).otherwise(F.lit(0))
     return out
 

@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from cpdspark.functions.lineage import cut
 from cpdspark.functions.rng import pick_index, tagged
 from cpdspark.operators.cumulative import chunks_of, global_rank
 from cpdspark.operators.draws import NEVER, ROW, SEEN, draw, pairs_of, seen_values, widen
@@ -37,10 +38,10 @@ def inject_errors(
     """The table with label 0, and corrupted copies of random rows with label 1.
 
     Each listed attribute of a copy is, with chance ``p``, replaced by a value that never occurs
-    with the copy's pivot value, plus a ``shift`` if one is given. A copy that came out unharmed
-    gets one random attribute replaced (``force="random"``) or its last one (``"last"``). A cell
-    stays as it is where every value of the attribute occurs with the pivot. The number of copies
-    is ``n``, or ``ceil(share * rows)``.
+    with the copy's pivot value, plus a ``shift`` if one is given. Only attributes count of which some
+    value never occurs with the pivot value. A copy that came out unharmed gets one random of these
+    replaced (``force="random"``) or the last of them (``"last"``); a copy that has none of them cannot
+    be harmed and is left out. ``n``, or ``ceil(share * rows)``, copies are drawn.
     """
     if (share is None) == (n is None):
         raise ValueError("give either share or n")
@@ -49,8 +50,10 @@ def inject_errors(
     n_rows = df.count()
     n = math.ceil(share * n_rows) if n is None else n
     copies = pick_rows(df, id_col, n, n_rows, seed)
-    flags = _flags(attrs, p, seed, force)
-    cells = copies.select("draw", F.col(pivot).cast("string").alias("key"), F.explode(F.array(*flags)).alias("_c"))
+    seen = seen_values(pairs_of(df, pivot, attrs))
+    free = seen.sizes.filter("n_never > 0").groupBy("key").agg(F.collect_set("attr").alias("_free"))
+    copies = cut(copies.withColumn("key", F.col(pivot).cast("string")).join(free, "key"))
+    cells = copies.select("draw", "key", F.explode(F.array(*_flags(attrs, p, seed, force))).alias("_c"))
     cells = cells.filter("_c.hit").select(
         "draw",
         "key",
@@ -58,7 +61,7 @@ def inject_errors(
         F.lit(NEVER).alias("mode"),
         tagged(seed, "value", F.col("_c.attr"), "draw").alias("u"),
     )
-    drawn = draw(cells, seen_values(pairs_of(df, pivot, attrs)))
+    drawn = draw(cells, seen)
     new = widen(drawn, ["draw"], df.schema, attrs)
     bad = copies.join(new, "draw", "left")
     for a in attrs:
@@ -80,13 +83,16 @@ def _copy_id(df: DataFrame, id_col: str) -> Column:
 
 
 def _flags(attrs: list[str], p: float, seed: int, force: str) -> list[Column]:
-    own = {a: tagged(seed, "flip", F.lit(a), "draw") < p for a in attrs}
-    none = ~_any(list(own.values()))
-    forced = pick_index(tagged(seed, "forced", "draw"), F.lit(len(attrs)))
-    out = []
-    for i, a in enumerate(attrs):
-        is_forced = forced == i if force == "random" else F.lit(i == len(attrs) - 1)
-        out.append(F.struct(F.lit(a).alias("attr"), (own[a] | (none & is_forced)).alias("hit")))
+    """Which attributes of a copy are replaced; ``_free`` holds those that can be."""
+    free = [F.array_contains("_free", a) for a in attrs]
+    own = [f & (tagged(seed, "flip", F.lit(a), "draw") < p) for a, f in zip(attrs, free)]
+    none = ~_any(own)
+    size = F.size("_free")
+    forced = pick_index(tagged(seed, "forced", "draw"), size) if force == "random" else size - 1
+    before, out = F.lit(0), []
+    for a, f, hit in zip(attrs, free, own):
+        out.append(F.struct(F.lit(a).alias("attr"), (hit | (none & f & (forced == before))).alias("hit")))
+        before = before + f.cast("int")
     return out
 
 

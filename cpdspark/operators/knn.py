@@ -178,14 +178,18 @@ def _shared_codes(q: pd.DataFrame, c: pd.DataFrame, attrs: list[str]) -> tuple[n
 
 
 def _cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """1 - cosine for all rows of a and b; summed along the vectors, so each cell is reproducible."""
+    """1 - cosine for all rows of a and b; summed along the vectors, so each cell is reproducible.
+
+    A zero vector has no direction and is at distance 1 from all.
+    """
     out = np.empty((len(a), len(b)))
     na, nb = np.sqrt((a * a).sum(-1)), np.sqrt((b * b).sum(-1))
     step = max(1, _SLICE_CELLS // max(1, b.size))
     for i in range(0, len(a), step):
         dots = (a[i : i + step, None, :] * b[None, :, :]).sum(-1)
         with np.errstate(divide="ignore", invalid="ignore"):
-            out[i : i + step] = 1.0 - dots / (na[i : i + step, None] * nb[None, :])
+            norms = na[i : i + step, None] * nb[None, :]
+            out[i : i + step] = np.where(norms > 0, 1.0 - dots / norms, 1.0)
     return out
 
 

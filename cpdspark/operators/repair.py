@@ -35,11 +35,12 @@ def _joint(
 ) -> DataFrame:
     """``log_joint`` of candidate rows up to a constant per suspect: only nodes that involve the attribute.
 
-    A NaN density (deviation 0) says nothing about a candidate and counts as 0.
+    Where all matches of a candidate have the same number, only that number has mass (``point_mass``).
+    NaN is left only where the whole table has a single value; it then says nothing and counts as 0.
     """
     touching = [n.attr for n in spec.touching(attr)]
     keyed = rows.withColumn("_suspect", F.col(id_col))
-    scored = score(obs, spec, id_col, emb, rows=keyed, keep=["_suspect", "present"], only=touching)
+    scored = score(obs, spec, id_col, emb, rows=keyed, keep=["_suspect", "present"], only=touching, point_mass=True)
     nan_safe = sum(
         (F.when(F.isnan(lp(a)), F.lit(0.0)).otherwise(F.col(lp(a))) for a in touching), F.lit(0.0)
     )

@@ -27,6 +27,7 @@ def score(
     rename: dict[str, str] | None = None,
     keep: list[str] = (),
     only: list[str] | None = None,
+    point_mass: bool = False,
 ) -> DataFrame:
     """Score ``rows`` (default: the observed table itself) with distributions taken from ``obs``.
 
@@ -34,6 +35,9 @@ def score(
     (their sum) and ``skipped``. Rows with a null in a modelled attribute are not used as
     observations, and get a null score. ``rename`` maps columns of ``rows`` to model attributes.
     ``only`` restricts the nodes that are scored.
+
+    A deviation of 0 gives NaN. With ``point_mass`` it is a point instead: any other value has
+    probability 0, and the value itself the density that the whole table's deviation gives at the mean.
     """
     if emb is None and any(n.kind in EMBEDDED for n in spec.nodes):
         raise ValueError("the model has embedded nodes, but no vectors were given")
@@ -52,7 +56,7 @@ def score(
     scored = source
     for node in nodes:
         base = tuples if tuples is not None and node in counted else observed
-        scored = attach(scored, base, node, id_col, emb, asking)
+        scored = attach(scored, base, node, id_col, emb, asking, point_mass)
     present = _all_present(spec.attrs)
     lps = [F.when(present, F.col(lp(n.attr))).alias(lp(n.attr)) for n in nodes]
     total = sum((F.col(lp(n.attr)) for n in nodes[1:]), F.col(lp(nodes[0].attr)))
@@ -79,6 +83,7 @@ def attach(
     id_col: str,
     emb: DataFrame | None = None,
     asking: DataFrame | None = None,
+    point_mass: bool = False,
 ) -> DataFrame:
     """Add one node's ``lp_<attr>`` to the rows by a lookup on the node's distinct tuples.
 
@@ -98,8 +103,14 @@ def attach(
             )
         )
         found = placed.join(stats, keys, "left")
-        density = cpd.numeric_density(node, F.col(node.attr), F.col("_mean"), F.col("_std"))
-        return found.withColumn(name, density).drop("_mean", "_std", POS)
+        x, mean = F.col(node.attr).cast("double"), F.col("_mean")
+        density = cpd.numeric_density(node, x, mean, F.col("_std"))
+        if point_mass:
+            found = found.withColumn("_g", cpd.global_moments(obs, node.attr))
+            at_mean = cpd.numeric_density(node, mean, mean, F.col("_g.s"))
+            point = F.when(x == mean, at_mean).otherwise(dist.neg_inf())
+            density = F.when(F.col("_std") == 0, point).otherwise(density)
+        return found.withColumn(name, density).drop("_mean", "_std", "_g", POS)
     asked = None if asking is None else with_position(asking, node).select(*keys, node.attr).distinct()
     table = sized(_estimate(obs, node, asked, emb, id_col).select(*keys, node.attr, F.col("lp").alias(name)))
     return placed.join(table, [*keys, node.attr], "left").drop(POS)

@@ -12,7 +12,7 @@ from cpdspark.operators.bands import band_counts, grid_radius
 from cpdspark.operators.cpd import POS, lookup_keys, with_position
 from cpdspark.operators.cumulative import chunks_for, chunks_of, global_rank, running_totals, totals_at
 from cpdspark.operators.draws import NEVER, ROW, SEEN, draw, seen_values
-from cpdspark.operators.score import score
+from cpdspark.operators.score import lp, score
 from cpdspark.plans.spec import EMBEDDED, Kind, ModelSpec, Node, Role
 
 _SEEN_MASS = 1.0 / (1.0 + dist.UNSEEN_SHARE)
@@ -196,8 +196,9 @@ def impute(
     )
     copies = cut(copies.withColumn(id_col, pid))
     full = sample_nodes(copies, obs, spec, missing, seed, id_col, emb)
-    scored = score(obs, spec, id_col, emb, rows=full, keep=["_row"], only=present)
-    weight = F.when(F.isnan("score"), F.lit(0.0)).otherwise(F.col("score"))
+    scored = score(obs, spec, id_col, emb, rows=full, keep=["_row"], only=present, point_mass=True)
+    # NaN is left only where a column has a single value in the whole table: that node says nothing.
+    weight = sum((F.when(F.isnan(lp(a)), F.lit(0.0)).otherwise(F.col(lp(a))) for a in present), F.lit(0.0))
     scored = cut(scored.select("_row", id_col, *spec.attrs, weight.alias("_lw")))
     top = scored.groupBy("_row").agg(F.max("_lw").alias("_top"))
     noise = gumbel(tagged(seed, "resample", id_col))

@@ -60,12 +60,14 @@ def _sql_values(pivot: str, attrs: list[str]) -> str:
 
 
 def _sql_injected(seed: int, p: float, force: str, attrs: list[str] = _ATTRS, share: float = 0.05) -> str:
-    m = len(attrs)
-    flips = [f"{sql_unit(seed, chr(39) + 'flip' + chr(39), chr(39) + a + chr(39), 'draw')} < {p}" for a in attrs]
+    free = [f"EXISTS (SELECT 1 FROM never v WHERE v.key = c.p_brand AND v.attr = '{a}')" for a in attrs]
+    flips = [f"(f{i} AND {sql_unit(seed, chr(39) + 'flip' + chr(39), chr(39) + a + chr(39), 'draw')} < {p})" for i, a in enumerate(attrs)]
     none = "NOT (" + " OR ".join(flips) + ")"
-    forced = sql_index(sql_unit(seed, "'forced'", "draw"), str(m)) if force == "random" else str(m - 1)
+    size = "(" + " + ".join(f"f{i}::INTEGER" for i in range(len(attrs))) + ")"
+    forced = sql_index(sql_unit(seed, "'forced'", "draw"), size) if force == "random" else f"{size} - 1"
+    before = [" + ".join(["0", *(f"f{k}::INTEGER" for k in range(i))]) for i in range(len(attrs))]
     cells = " UNION ALL ".join(
-        f"SELECT draw, p_brand AS key, '{a}' AS attr FROM copies WHERE ({flips[i]}) OR ({none} AND {forced} = {i})"
+        f"SELECT draw, p_brand AS key, '{a}' AS attr FROM copies WHERE {flips[i]} OR ({none} AND f{i} AND {forced} = {before[i]})"
         for i, a in enumerate(attrs)
     )
     pick = sql_index(sql_unit(seed, "'value'", "c.attr", "c.draw"), "n.sz")
@@ -77,8 +79,9 @@ def _sql_injected(seed: int, p: float, force: str, attrs: list[str] = _ATTRS, sh
     )
     return f"""WITH {_sql_values('p_brand', attrs)},
     ranked AS (SELECT *, row_number() OVER (ORDER BY p_partkey) - 1 AS rank, count(*) OVER () AS total FROM part),
-    copies AS (SELECT t.draw, r.* FROM range(CAST((SELECT ceil({share}::DOUBLE * count(*)) FROM part) AS BIGINT)) t(draw) JOIN ranked r
+    drawn_rows AS (SELECT t.draw, r.* FROM range(CAST((SELECT ceil({share}::DOUBLE * count(*)) FROM part) AS BIGINT)) t(draw) JOIN ranked r
       ON r.rank = {sql_index(sql_unit(seed, "'row'", 't.draw'), 'r.total')}),
+    copies AS (SELECT * FROM (SELECT c.*, {", ".join(f"{x} AS f{i}" for i, x in enumerate(free))} FROM drawn_rows c) WHERE {" OR ".join(f"f{i}" for i in range(len(attrs)))}),
     cells AS ({cells}),
     drawn AS (SELECT c.draw, c.attr, n.value FROM cells c JOIN never n ON n.attr = c.attr AND n.key = c.key AND n.i = {pick}),
     wide AS (SELECT draw, {new} FROM drawn GROUP BY draw)

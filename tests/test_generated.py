@@ -142,7 +142,7 @@ def test_sources(spark, tmp_path):
 
 
 def test_scenarios(spark, tmp_path):
-    sdf = spark.createDataFrame(make(80)[["id", "city", "year"]])
+    sdf = spark.createDataFrame(make(80)[["id", "city", "year"]]).withColumn("year", (F.col("id") + 1900).cast("int"))
     out = inject.scenarios(sdf, "id", "city", ["year"], [0.1], [0.5, 1.0], 3)
     assert {r[0]: r[1] for r in out.groupBy("scenario").count().collect()} == {"k=0.1,p=0.5": 88, "k=0.1,p=1.0": 88}
     tables.write_scenarios(out, str(tmp_path / "s"))
@@ -185,3 +185,28 @@ def test_planted_rows_are_found(spark):
     spec = ModelSpec((uniform("state"), cat("city", "state"), num("rent", "city")))
     worst = most_improbable(score(spark.createDataFrame(df), spec, "id"), 3, "id").toPandas()
     assert set(worst.id) == {0, 1, 2}
+
+
+def test_repair_gives_points_no_density(spark):
+    """Where all rows of a candidate have one number, any other number rules the candidate out."""
+    rows = [(i, "a", 11.0 + (i % 4 - 1.5)) for i in range(8)] + [(i, "b", 50.0) for i in (8, 9)]
+    rows += [(i, "c", 22.0 + i) for i in range(10, 13)]
+    obs = spark.createDataFrame(rows, "id long, k string, y double")
+    spec = ModelSpec((uniform("k"), num("y", "k")))
+    suspect = spark.createDataFrame([(99, "a", 30.0), (98, "a", 50.0)], obs.schema)
+    got = {(r.id, r.rank): r for r in repair.repair_exact(suspect, obs, spec, "id", "k", 3).collect()}
+    assert got[99, 1].k == "c" and got[99, 3].k == "b" and got[99, 3].posterior == 0.0
+    assert got[98, 1].k == "b"
+    drawn = synth.impute(suspect, obs, spec, "id", ["k"], 40, 3)
+    assert {r.id: r.k for r in drawn.collect()}[99] == "c"
+
+
+def test_only_harmed_copies_are_labelled(spark):
+    rows = [(i, "p" if i % 2 else "q", ["x", "y"][i // 2 % 2], f"only-{i % 2}-{i % 3}") for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, pivot string, everywhere string, own string")
+    for force in ("random", "last"):
+        out = inject.inject_errors(df, "id", "pivot", ["own", "everywhere"], 0.0, 5, n=30, force=force)
+        bad = out.filter("negative_sample = 1").collect()
+        assert len(bad) == 30 and all(r.own.split("-")[1] != ("1" if r.pivot == "p" else "0") for r in bad)
+    out = inject.inject_errors(df, "id", "pivot", ["everywhere"], 1.0, 5, n=30)
+    assert out.filter("negative_sample = 1").count() == 0
