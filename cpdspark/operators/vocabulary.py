@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import VectorAssembler, Word2Vec
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
@@ -67,21 +67,27 @@ def pair_features(
     return wide.select(*keep, *pairs, *nums)
 
 
-def embeddings_by_context(df: DataFrame, attrs: list[str], dim: int, seed: int, epochs: int = 5) -> DataFrame:
-    """``attr, value, vec`` by skip-gram over rows read as sentences of ``attr=value`` words.
+def embeddings_by_context(df: DataFrame, attrs: list[str], dim: int, seed: int) -> DataFrame:
+    """``attr, value, vec`` from the company that values keep in rows.
 
-    Spark's trainer holds the vocabulary and its vectors on the driver; for columns with many
-    millions of values use :func:`learn_embeddings`.
+    For each pair of values of two columns the positive pointwise mutual information is taken from
+    their counts, and a value's row of these numbers is projected to ``dim`` numbers by random signs,
+    which are hashes of the seed and the other value. Counts, sums and vectors are distributed tables
+    throughout; values with similar company get vectors of similar direction.
     """
-    words = F.array(*[F.concat(F.lit(f"{a}="), F.col(a).cast("string")) for a in attrs])
-    sentences = df.select(*attrs).dropna().select(words.alias("words"))
-    model = Word2Vec(
-        vectorSize=dim, minCount=1, maxIter=epochs, seed=seed, inputCol="words", outputCol="out", windowSize=len(attrs)
-    ).fit(sentences)
-    parts = F.split("word", "=", 2)
-    return model.getVectors().select(
-        parts[0].alias("attr"), parts[1].alias("value"), vector_to_array("vector").alias("vec")
-    )
+    word = lambda a: F.struct(F.lit(a).alias("attr"), F.col(a).cast("string").alias("value"))
+    met = F.array(*[F.struct(word(a).alias("w"), word(c).alias("c")) for a in attrs for c in attrs if a != c])
+    pairs = df.select(*attrs).dropna().select(F.explode(met).alias("p")).groupBy("p.w", "p.c").agg(F.count(F.lit(1)).alias("n"))
+    pairs = cut(pairs)
+    own = pairs.groupBy("w").agg(F.sum("n").alias("n_w"))
+    other = own.select(F.col("w").alias("c"), F.col("n_w").alias("n_c"))  # pairs are symmetric
+    total = pairs.agg(F.sum("n")).scalar()
+    ratio = F.col("n") * F.col("_total") / (F.col("n_w").cast("double") * F.col("n_c"))
+    known = pairs.join(own, "w").join(other, "c").withColumn("_total", total)
+    weighed = known.withColumn("ppmi", F.greatest(F.ln(ratio), F.lit(0.0)))
+    sign = [F.when(tagged(seed, f"sign{i}", "c.attr", "c.value") < 0.5, F.lit(-1.0)).otherwise(F.lit(1.0)) for i in range(dim)]
+    sums = weighed.groupBy("w").agg(*[(F.sum(F.col("ppmi") * s) / math.sqrt(dim)).alias(f"v{i}") for i, s in enumerate(sign)])
+    return sums.select("w.attr", "w.value", F.array(*[f"v{i}" for i in range(dim)]).alias("vec"))
 
 
 def learn_embeddings(

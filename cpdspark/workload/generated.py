@@ -350,10 +350,24 @@ def q85(spark, sf):
     return emb.select("attr", "value", F.size("vec").alias("dim"))
 
 
-@register("q85_embeddings_context")
+_CONTEXT = ["p_brand", "p_type", "p_name"]
+_MET = " UNION ALL ".join(
+    f"SELECT '{a}' AS attr, {a} AS value, '{c}' AS c_attr, {c} AS c_value FROM part" for a in _CONTEXT for c in _CONTEXT if a != c
+)
+_SIGN = f"CASE WHEN {sql_unit(22, chr(39) + 'sign' + chr(39) + ' || i', 'c_attr', 'c_value')} < 0.5 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END"
+
+
+@register(
+    "q85_embeddings_context",
+    f"""WITH m AS ({_MET}), p AS (SELECT attr, value, c_attr, c_value, count(*) AS n FROM m GROUP BY ALL),
+    o AS (SELECT attr, value, sum(n)::DOUBLE AS nw FROM p GROUP BY ALL), t AS (SELECT sum(n)::DOUBLE AS total FROM p),
+    w AS (SELECT p.*, greatest(ln(n * total / (x.nw * y.nw)), 0) AS ppmi FROM p JOIN o x ON x.attr = p.attr AND x.value = p.value
+      JOIN o y ON y.attr = c_attr AND y.value = c_value, t)
+    SELECT attr, value, i::INTEGER AS i, round(sum(ppmi * {_SIGN}) / sqrt(8.0::DOUBLE), 6) AS x FROM w, range(8) r(i) GROUP BY ALL""",
+)
 def q85_context(spark, sf):
-    emb = embeddings_by_context(table(spark, sf, "part"), ["p_brand", "p_type", "p_name"], 8, 22, epochs=1)
-    return emb.select("attr", "value", F.size("vec").alias("dim"))
+    emb = embeddings_by_context(table(spark, sf, "part"), _CONTEXT, 8, 22)
+    return rounded(emb.select("attr", "value", F.posexplode("vec").alias("i", "x")))
 
 
 @register("q86_plausibility")

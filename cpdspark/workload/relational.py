@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cpdspark.functions import distributions as dist
+from cpdspark.functions.lineage import shared_folder
 from cpdspark.operators import bands, counts, filters, fuzzy, metrics, synth
-from cpdspark.sources.tables import query
-from cpdspark.workload.common import rounded, sql_normal, sql_unit, table
+from cpdspark.sources.embeddings import read_pairs, write_pairs
+from cpdspark.sources.tables import query, read_csv, write_csv
+from cpdspark.workload.common import part_embeddings, rounded, sql_embeddings, sql_normal, sql_unit, table
 
 QUERIES = {}
 ORACLES = {}
@@ -23,6 +27,31 @@ def register(name: str, sql: str | None = None):
     return keep
 
 
+def _new_folder(spark) -> str:
+    return f"{shared_folder(spark)}/written-{uuid.uuid4().hex}"
+
+
+@register("q01_csv_round_trip", "SELECT p_partkey, p_name, p_size, p_retailprice FROM part WHERE p_size > 10")
+def q01(spark, sf):
+    """Writes a result as CSV with a header, and reads it with its schema."""
+    out = table(spark, sf, "part").filter("p_size > 10").select("p_partkey", "p_name", "p_size", "p_retailprice")
+    folder = _new_folder(spark)
+    write_csv(out, folder)
+    return read_csv(spark, folder, "p_partkey long, p_name string, p_size int, p_retailprice double")
+
+
+@register(
+    "q02_embedding_pair_round_trip",
+    f"""WITH {sql_embeddings(["p_brand", "p_type"])}
+    SELECT attr, value, i::INTEGER AS i, vec[i + 1] AS x FROM emb, range(64) r(i)""",
+)
+def q02(spark, sf):
+    """Writes value embeddings as pairs of text files, and pairs their lines again."""
+    folder, attrs = _new_folder(spark), ["p_brand", "p_type"]
+    write_pairs(part_embeddings(spark, sf, attrs), attrs, f"{folder}/run_")
+    return read_pairs(spark, attrs, f"{folder}/run_").select("attr", "value", F.posexplode("vec").alias("i", "x"))
+
+
 @register(
     "q05_sql_view",
     "SELECT p_brand, count(*)::BIGINT AS n, round(avg(p_retailprice), 6) AS mean_price FROM part WHERE p_size > 10 GROUP BY p_brand",
