@@ -5,11 +5,13 @@
    of rate ``RATE``. Registers of a union are the greater ones, so sketches merge; equal registers are
    about as likely as the sets are similar.
 2. Documents with equal sets become one class, represented by its least doc_id.
-3. Bands of registers are hashed to buckets. In every bucket all classes are paired with the least one
-   (the hub), so a bucket of g classes gives g - 1 pairs.
-4. For each pair the similarity is estimated by maximum likelihood, jointly from the counts of smaller,
-   equal and greater registers and both set sizes. Pairs far below the threshold are dropped (six
-   standard errors), the others are verified on the full sets of shingles.
+3. Bands of registers are hashed to buckets. In every bucket all classes are paired with one (the hub), so a
+   bucket of g classes gives g - 1 pairs. The hub is chosen by a hash of class and bucket, so members of
+   a large group are paired with other hubs in other bands and soon hang together.
+4. For each pair, bitmaps of both sets first bound their difference from below; a pair whose bound is
+   too large is no link for certain. Then the similarity is estimated by maximum likelihood, jointly from
+   the counts of smaller, equal and greater registers and both set sizes. Pairs far below the threshold
+   are dropped (six standard errors), the others are verified on the full sets of shingles.
 5. Links so far give components. A link between two classes that met in a bucket, and is not known yet,
    can only join two components. Buckets that still hold several components, and more than two
    classes, are cut into blocks; pairs of blocks compare their sketches side by side in a task and
@@ -42,6 +44,7 @@ B, RATE, TOP = 1.001, 20.0, 65_535
 PERCENT = 80  # least similarity of linked sets
 ERRORS = 6.0  # standard errors that an estimate may fall short
 BLOCK = 256  # classes of a bucket compared at a time
+BITS = 4096  # of the bitmap of a set
 BROADCAST_IDS = 1_000_000  # 8 MB; beyond it the join shuffles
 
 _rng = np.random.Generator(np.random.PCG64(20_240_601))
@@ -86,6 +89,20 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(x) / np.log(B)), 0, TOP).astype(np.uint16)
 
 
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """Which of ``BITS`` slots the elements hash to, packed."""
+    slots = np.zeros(BITS, bool)
+    slots[(mixed(hashes) >> np.uint64(40)).astype(np.int64) % BITS] = True
+    return np.packbits(slots)
+
+
+def may_link(bits_a: np.ndarray, bits_b: np.ndarray, size_a, size_b, percent: int) -> np.ndarray:
+    """False where the sets differ too much for certain: every slot that one of them has is an element of
+    their difference, and similar sets differ in at most (1 - s) / (1 + s) of their sizes together."""
+    differ = np.bitwise_count(bits_a ^ bits_b).sum(-1, dtype=np.int64)
+    return differ * (100 + percent) <= (np.asarray(size_a) + np.asarray(size_b)) * (100 - percent)
+
+
 def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The sketch of the union."""
     return np.maximum(a, b)
@@ -129,7 +146,7 @@ def band_keys(sketches: np.ndarray) -> np.ndarray:
 
 
 def _sketched(documents: DataFrame, width: int) -> DataFrame:
-    """``doc_id, n, set_id, sketch`` for every row."""
+    """``doc_id, n, set_id, sketch`` for every row; ``sketch`` is the registers and the bitmap."""
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -137,9 +154,8 @@ def _sketched(documents: DataFrame, width: int) -> DataFrame:
             identity = [
                 np.array([s.sum(dtype=np.uint64), mixed(s).sum(dtype=np.uint64)]).tobytes() if len(s) else None for s in sets
             ]
-            yield pd.DataFrame(
-                {"doc_id": b.doc_id, "n": [len(s) for s in sets], "set_id": identity, "sketch": [registers(s).tobytes() for s in sets]}
-            )
+            sketches = [registers(s).tobytes() + bitmap(s).tobytes() for s in sets]
+            yield pd.DataFrame({"doc_id": b.doc_id, "n": [len(s) for s in sets], "set_id": identity, "sketch": sketches})
 
     return documents.select("doc_id", "text").mapInPandas(sketch, "doc_id long, n long, set_id binary, sketch binary")
 
@@ -158,19 +174,34 @@ def _full_sets(documents: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return cut(named.mapInPandas(shingles, "id long, elements array<long>"))
 
 
+def _parts(sketches) -> tuple[np.ndarray, np.ndarray]:
+    """Registers and bitmaps, a row for each sketch."""
+    raw = np.frombuffer(b"".join(map(bytes, sketches)), np.uint8).reshape(len(sketches), 2 * REGISTERS + BITS // 8)
+    return np.ascontiguousarray(raw[:, : 2 * REGISTERS]).view(np.uint16), raw[:, 2 * REGISTERS :].copy()
+
+
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def _buckets(sketches: pd.Series) -> pd.Series:
-    if not len(sketches):
-        return pd.Series([], dtype=object)
-    return pd.Series(list(band_keys(np.array([np.frombuffer(s, np.uint16) for s in sketches]))))
+    return pd.Series(list(band_keys(_parts(list(sketches))[0])), dtype=object)
+
+
+def _passing(x, x_bits, n, y, y_bits, m, percent: int) -> np.ndarray:
+    """Which pairs of rows may be links, by bitmaps and then by estimate."""
+    ok = may_link(x_bits, y_bits, n, m, percent)
+    k = np.flatnonzero(ok)
+    if len(k):
+        x, y = x[k], y[k]
+        j = estimate((x < y).sum(1), (x == y).sum(1), (x > y).sum(1), np.asarray(n)[k], np.asarray(m)[k])
+        ok[k] = j >= least_estimate(percent)
+    return ok
 
 
-@F.pandas_udf(T.DoubleType())
-def _estimated(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+@F.pandas_udf(T.BooleanType())
+def _pair_passes(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series, percent: pd.Series) -> pd.Series:
     if not len(a):
-        return pd.Series([], dtype=float)
-    x, y = (np.array([np.frombuffer(s, np.uint16) for s in c]) for c in (a, b))
-    return pd.Series(estimate((x < y).sum(1), (x == y).sum(1), (x > y).sum(1), n, m))
+        return pd.Series([], dtype=bool)
+    (x, x_bits), (y, y_bits) = _parts(list(a)), _parts(list(b))
+    return pd.Series(_passing(x, x_bits, n.to_numpy(), y, y_bits, m.to_numpy(), int(percent.iloc[0])))
 
 
 def _alike_sizes(n: str, m: str, percent: int):
@@ -182,13 +213,13 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     left = classes.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
     right = classes.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
     both = pairs.join(left, "a").join(right, "b").filter(_alike_sizes("n_a", "n_b", percent))
-    return both.filter(_estimated("s_a", "s_b", "n_a", "n_b") >= least_estimate(percent)).select("a", "b").distinct()
+    return both.filter(_pair_passes("s_a", "s_b", "n_a", "n_b", F.lit(percent))).select("a", "b")
 
 
 def _verified(pairs: DataFrame, documents: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs that are links, judged on full sets."""
     pairs = cut(pairs)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = pairs.select(F.col("a").alias("id")).distinct().unionByName(pairs.select(F.col("b").alias("id")).distinct()).distinct()
     sets = _full_sets(documents, ids, width)
     left = sets.select(F.col("id").alias("a"), F.col("elements").alias("e_a"))
     right = sets.select(F.col("id").alias("b"), F.col("elements").alias("e_b"))
@@ -208,32 +239,28 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
     other = held.select("key", *[F.col(c).alias(f"{c}2") for c in ("block", "rows", "low", "high")])
     several = (F.col("low") != F.col("high")) | (F.col("low2") != F.col("high2")) | (F.col("low") != F.col("low2"))
     met = held.join(other, "key").filter((F.col("block") <= F.col("block2")) & several)
-    least = least_estimate(percent)
 
     def arrays(rows) -> tuple:
-        return (
-            np.array([r["rep"] for r in rows]),
-            np.array([r["part"] for r in rows]),
-            np.array([r["n"] for r in rows]),
-            np.array([np.frombuffer(r["sketch"], np.uint16) for r in rows]),
-        )
+        return (*(np.array([r[c] for r in rows]) for c in ("rep", "part", "n")), *_parts([r["sketch"] for r in rows]))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for one, two in zip(batch.rows, batch.rows2):
-                rep, part, n, sketch = arrays(one)
-                rep2, part2, n2, sketch2 = arrays(two)
-                found = []
+                rep, part, n, x, x_bits = arrays(one)
+                rep2, part2, n2, y, y_bits = arrays(two)
+                first, second = [], []
                 for i in range(len(rep)):
-                    ok = (part2 != part[i]) & (np.minimum(n2, n[i]) * 100 >= np.maximum(n2, n[i]) * percent)
-                    k = np.flatnonzero(ok)
-                    if len(k):
-                        s = sketch2[k]
-                        j = estimate((sketch[i] < s).sum(1), (sketch[i] == s).sum(1), (sketch[i] > s).sum(1), np.full(len(k), n[i]), n2[k])
-                        found.append(np.column_stack([np.full(len(k), rep[i]), rep2[k]])[j >= least])
-                if found:
-                    pairs = np.vstack(found)
-                    yield pd.DataFrame({"a": pairs.min(1), "b": pairs.max(1)})
+                    other = np.flatnonzero((part2 != part[i]) & (np.minimum(n2, n[i]) * 100 >= np.maximum(n2, n[i]) * percent))
+                    other = other[may_link(x_bits[i], y_bits[other], n[i], n2[other], percent)]
+                    first.append(np.full(len(other), i))
+                    second.append(other)
+                i, k = np.concatenate(first), np.concatenate(second)
+                for at in range(0, len(i), 4096):
+                    a, b = i[at : at + 4096], k[at : at + 4096]
+                    ok = _passing(x[a], x_bits[a], n[a], y[b], y_bits[b], n2[b], percent)
+                    if ok.any():
+                        pairs = np.column_stack([rep[a[ok]], rep2[b[ok]]])
+                        yield pd.DataFrame({"a": pairs.min(1), "b": pairs.max(1)})
 
     return met.select("rows", "rows2").mapInPandas(compare, "a long, b long").distinct()
 
@@ -246,10 +273,11 @@ def cluster(documents: DataFrame, width: int = 5, percent: int = PERCENT) -> Dat
     classes = cut(with_words.groupBy("set_id", "n").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")))
 
     banded = classes.select("rep", F.explode(_buckets("sketch")).alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last"), F.count("*").alias("g"))
-    shared = buckets.filter("hub != last").select("key", "hub", "g")
+    chosen = F.min_by("rep", F.xxhash64("rep", "key"))
+    buckets = banded.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("last"), chosen.alias("hub"), F.count("*").alias("g"))
+    shared = buckets.filter("low != last").select("key", "hub", "g")
     met = cut(banded.join(shared, "key"))
-    hubs = met.filter("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    hubs = met.filter("rep != hub").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
     links = _verified(_likely(hubs, classes, percent), known, width, percent)
 
     rep_of = sketched.join(classes.select("set_id", "n", "rep"), ["set_id", "n"])

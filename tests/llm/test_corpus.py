@@ -71,6 +71,18 @@ def test_sketches():
     assert not near_dedup.registers(np.zeros(0, np.uint64)).any()
 
 
+def test_bitmaps_never_exclude_a_link():
+    for n in (1, 5, 60, 700, 9000):
+        for shared in (0.5, 0.75, 0.88, 0.889, 0.9, 1.0):
+            a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            b = np.unique(np.concatenate([a[: int(len(a) * shared)], rng.integers(0, 1 << 63, len(a) - int(len(a) * shared)).astype(np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            linked = 100 * both >= 80 * (len(a) + len(b) - both)
+            assert near_dedup.may_link(near_dedup.bitmap(a), near_dedup.bitmap(b), len(a), len(b), 80) or not linked
+    half = a[:350]  # large sets fill the bitmap, and then it excludes little
+    assert not near_dedup.may_link(near_dedup.bitmap(a[:700]), near_dedup.bitmap(half), 700, 350, 80)
+
+
 def test_components(spark):
     links = [(5, 4), (4, 9), (9, 20), (7, 7), (30, 31), (31, 30), (40, 41), (41, 42), (42, 43), (43, 44), (44, 45)]
     got = {(r.a, r.b) for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
