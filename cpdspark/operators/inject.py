@@ -175,15 +175,20 @@ def scenarios(
     ps: list[float],
     seed: int,
     shift: dict[str, float] | None = None,
+    sizes: list[int] | None = None,
 ) -> DataFrame:
-    """One evaluation table per (share, p), told apart by ``scenario``; the size is the table's own."""
-    parts = [
-        inject_errors(df, id_col, pivot, attrs, p, seed, share=k, shift=shift).withColumn(
-            "scenario", F.lit(f"k={k},p={p}")
-        )
-        for k in shares
-        for p in ps
-    ]
+    """One evaluation table per (size, share, p), told apart by ``scenario``.
+
+    A size is a number of rows, drawn by a hash of the id; without sizes it is the whole table.
+    """
+    parts = []
+    for size in sizes or [None]:
+        rows = df if size is None else cut(df.orderBy(tagged(seed, "size", id_col), id_col).limit(size))
+        for k in shares:
+            for p in ps:
+                name = f"k={k},p={p}" if size is None else f"s={size},k={k},p={p}"
+                bad = inject_errors(rows, id_col, pivot, attrs, p, seed, share=k, shift=shift)
+                parts.append(bad.withColumn("scenario", F.lit(name)))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

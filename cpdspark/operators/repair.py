@@ -8,7 +8,7 @@ from cpdspark.functions.distributions import softmax_weights
 from cpdspark.functions.lineage import cut
 from cpdspark.functions.rng import gumbel, tagged
 from cpdspark.operators.counts import domain
-from cpdspark.operators.cumulative import global_rank, rank_in
+from cpdspark.operators.cumulative import global_rank
 from cpdspark.operators.knn import value_neighbours
 from cpdspark.operators.score import lp, score
 from cpdspark.plans.spec import ModelSpec
@@ -68,21 +68,22 @@ def repair_exact(
 def proposal(values: DataFrame, k: int, sources: DataFrame | None = None) -> DataFrame:
     """Proposal per source value: its k nearest values weigh five times as much as all others.
 
-    ``values`` is (attr, value, vec) of one or more attributes. Gives ``attr, value, candidate,
-    weight, prob``; as each source has the whole domain, name the ``sources`` (attr, value) wanted.
+    ``values`` is (attr, value, vec) of one or more attributes; ``sources`` (attr, value) are the values
+    asked for, by default all. Gives ``attr, value, candidate, n, weight, prob``: a row for each near value,
+    and one with a null candidate for the ``n`` others together, the source itself among them, which
+    all have the same weight and probability. So a source takes k + 1 rows, whatever its domain.
     """
-    near = value_neighbours(values, k, sources).select("attr", "value", F.col("neighbour").alias("candidate"), "rank")
+    near = value_neighbours(values, k, sources).select("attr", "value", F.col("neighbour").alias("candidate"))
     asked = values.select("attr", "value") if sources is None else sources.select("attr", "value").distinct()
-    numbered = cut(rank_in(values.select("attr", F.col("value").alias("candidate")), ["attr"], "candidate", "_rank"))
-    sizes = numbered.groupBy("attr").agg(F.count(F.lit(1)).alias("_size"))
-    unfolded = asked.join(sizes, "attr").withColumn(
-        "_rank", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_size") - 1))
-    )
-    full = unfolded.join(numbered, ["attr", "_rank"]).join(near, ["attr", "value", "candidate"], "left")
-    weight = F.when(F.col("rank").isNotNull(), F.lit(NEAR_WEIGHT)).otherwise(F.lit(1.0))
-    weighted = full.withColumn("weight", weight)
-    total = F.sum("weight").over(Window.partitionBy("attr", "value"))
-    return weighted.select("attr", "value", "candidate", "weight", (F.col("weight") / total).alias("prob"))
+    sizes = values.groupBy("attr").agg(F.countDistinct("value").alias("_size"))
+    found = near.groupBy("attr", "value").agg(F.count(F.lit(1)).alias("_near"))
+    counted = cut(asked.join(sizes, "attr").join(found, ["attr", "value"], "left").na.fill(0, ["_near"]))
+    one = F.lit(1).cast("long")
+    heavy = near.join(counted, ["attr", "value"]).select("*", one.alias("n"), F.lit(NEAR_WEIGHT).alias("weight"))
+    rest = counted.select("*", F.lit(None).cast("string").alias("candidate"), (F.col("_size") - F.col("_near")).alias("n"), F.lit(1.0).alias("weight"))
+    total = F.col("_near") * NEAR_WEIGHT + (F.col("_size") - F.col("_near"))
+    both = heavy.unionByName(rest.filter("n > 0"))
+    return both.select("attr", "value", "candidate", "n", "weight", (F.col("weight") / total).alias("prob"))
 
 
 def repair_sampled(

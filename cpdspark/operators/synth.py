@@ -13,6 +13,7 @@ from cpdspark.operators.cpd import POS, lookup_keys, with_position
 from cpdspark.operators.cumulative import chunks_for, chunks_of, global_rank, running_totals, totals_at
 from cpdspark.operators.draws import NEVER, ROW, SEEN, draw, seen_values
 from cpdspark.operators.score import lp, score
+from cpdspark.plans.prices import PriceRule
 from cpdspark.plans.spec import EMBEDDED, Kind, ModelSpec, Node, Role
 
 _SEEN_MASS = 1.0 / (1.0 + dist.UNSEEN_SHARE)
@@ -211,20 +212,13 @@ def impute(
     return out.select(F.col("_row").alias(id_col), *[F.col(f"_b.{x}").alias(x) for x in spec.attrs], "log_evidence")
 
 
-# Fixed values of the price rule: age and size surcharges per unit of space.
-PRICE_OFFSET, OLD_YEAR, OLD_EXTRA, MID_YEAR, MID_DISCOUNT = 2.5, 1949, 1.5, 1969, 1.0
-NEW_YEAR, NEW_PER_YEAR, SIZE_PIVOT, SIZE_SLOPE = 1990, 0.25, 100.0, 0.0425
-
-
-def unit_price(base: Column, year: Column, space: Column) -> Column:
-    """Price per unit: offset base, surcharge for old and new, discount for the years between, and size."""
-    age = (
-        F.when(year < OLD_YEAR, F.lit(OLD_EXTRA))
-        .when(year < MID_YEAR, F.lit(-MID_DISCOUNT))
-        .when(year > NEW_YEAR, (year - NEW_YEAR) * NEW_PER_YEAR)
-        .otherwise(F.lit(0.0))
-    )
-    return base + PRICE_OFFSET + age + (SIZE_PIVOT - space) * SIZE_SLOPE
+def unit_price(base: Column, year: Column, space: Column, rule: PriceRule) -> Column:
+    """Price per unit of space by a rule."""
+    age = F.lit(0.0)
+    for step in reversed(rule.years):
+        extra = F.lit(step.extra) + (year - step.start) * step.per_year
+        age = F.when((year >= step.start) & (year < step.until), extra).otherwise(age)
+    return base + rule.offset + age + (rule.pivot - space) * rule.slope
 
 
 def facts_from_dimension(
@@ -236,10 +230,15 @@ def facts_from_dimension(
     year: str,
     n: int,
     seed: int,
+    rule: PriceRule,
+    observed: tuple[str, str] | None = None,
     space: tuple[float, float] = (20.0, 200.0),
     keep: list[str] = (),
 ) -> DataFrame:
-    """``n`` fact rows: a random dimension row, a code in its range, a size, and the price by rule."""
+    """``n`` fact rows: a random dimension row, a code in its range, a size, and the price by rule.
+
+    A price below the rule's least takes the size and price of the columns ``observed`` instead.
+    """
     size = dim.count()
     numbered = global_rank(dim.select(key), key, "_rank", chunks_of(size))
     picks = dim.sparkSession.range(n).withColumnRenamed("id", "fact")
@@ -248,9 +247,14 @@ def facts_from_dimension(
     low, high = space
     code = F.col(code_low) + pick_index(tagged(seed, "code", "fact"), F.col(code_high) - F.col(code_low) + 1)
     area = low + tagged(seed, "space", "fact") * (high - low)
-    out = rows.select("fact", key, *keep, code.alias("code"), area.alias("_a"), F.col(year).alias("year"), base)
-    price = F.col("_a") * unit_price(F.col(base), F.col("year"), F.col("_a"))
-    return out.select("fact", key, *keep, "code", "year", F.round("_a", 2).alias("space"), F.round(price, 2).alias("price"))
+    out = rows.withColumn("_code", code).withColumn("_a", area)
+    out = out.withColumn("_p", F.col("_a") * unit_price(F.col(base), F.col(year), F.col("_a"), rule))
+    a, p = F.col("_a"), F.col("_p")
+    if observed:
+        a, p = (F.when(F.col("_p") < rule.least, F.col(o)).otherwise(c) for o, c in zip(observed, (a, p)))
+    return out.select(
+        "fact", key, *keep, F.col("_code").alias("code"), F.col(year).alias("year"), F.round(a, 2).alias("space"), F.round(p, 2).alias("price")
+    )
 
 
 def first_n_per_key(df: DataFrame, key: str, order: str, n: int, condition: Column) -> DataFrame:

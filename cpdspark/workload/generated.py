@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from cpdspark.functions.text import EDIT_ERROR_BASE, EDIT_ERROR_TERMS
@@ -14,6 +16,7 @@ from cpdspark.operators.vocabulary import (
     plausibility,
     plausibility_model,
 )
+from cpdspark.plans.prices import RENT_PRICES
 from cpdspark.plans.spec import ModelSpec, band, cat, num, uniform, freq
 from cpdspark.workload.common import (
     part_embeddings,
@@ -230,8 +233,9 @@ def q34_injected(spark, sf):
     f"""WITH {sql_embeddings(SOFT)}, {sql_distances(SOFT)},
     a AS (SELECT 'p_brand' AS attr, a AS value, b AS candidate, d FROM dist_p_brand UNION ALL SELECT 'p_type', a, b, d FROM dist_p_type),
     r AS (SELECT *, row_number() OVER (PARTITION BY attr, value, value = candidate ORDER BY d, candidate) AS rk FROM a),
-    w AS (SELECT *, CASE WHEN value <> candidate AND rk <= 3 THEN 5.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM r)
-    SELECT attr, value, candidate, weight, round(weight / sum(weight) OVER (PARTITION BY attr, value), 9) AS prob FROM w""",
+    w AS (SELECT *, CASE WHEN value <> candidate AND rk <= 3 THEN 5.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM r),
+    pr AS (SELECT attr, value, CASE WHEN weight > 1 THEN candidate END AS candidate, weight, weight / sum(weight) OVER (PARTITION BY attr, value) AS p FROM w)
+    SELECT attr, value, candidate, count(*)::BIGINT AS n, weight, round(avg(p), 9) AS prob FROM pr GROUP BY attr, value, candidate, weight""",
 )
 def q77(spark, sf):
     return rounded(repair.proposal(part_embeddings(spark, sf, SOFT), 3), 9)
@@ -320,23 +324,30 @@ _AREA = f"(20.0::DOUBLE + {sql_unit(19, chr(39) + 'space' + chr(39), 'fact')} *
 
 @register(
     "q75_facts_from_dimension",
-    f"""WITH dim AS (SELECT s_suppkey, 6.0::DOUBLE + s_nationkey * 0.25::DOUBLE AS base, s_nationkey * 1000 AS lo, s_nationkey * 1000 + 99 AS hi,
+    f"""WITH dim AS (SELECT s_suppkey, 6.0::DOUBLE + s_nationkey * 0.25::DOUBLE AS base, 50.0::DOUBLE AS seen_space,
+      round(50 * (6.0::DOUBLE + s_nationkey * 0.25::DOUBLE), 2) AS seen_price, s_nationkey * 1000 AS lo, s_nationkey * 1000 + 99 AS hi,
       1900 + s_nationkey * 5 AS year, row_number() OVER (ORDER BY s_suppkey) - 1 AS rank, count(*) OVER () AS total FROM supplier),
     f AS (SELECT fact, d.*, {_AREA} AS area, lo + {sql_index(sql_unit(19, "'code'", 'fact'), '(hi - lo + 1)')} AS code
       FROM range(CAST((SELECT count(*) * 20 FROM supplier) AS BIGINT)) t(fact) JOIN dim d ON d.rank = {sql_index(sql_unit(19, "'dim'", 'fact'), 'd.total')}),
     p AS (SELECT *, base + 2.5 + CASE WHEN year < 1949 THEN 1.5 WHEN year < 1969 THEN -1.0 WHEN year > 1990 THEN (year - 1990) * 0.25::DOUBLE ELSE 0 END
       + (100.0::DOUBLE - area) * 0.0425::DOUBLE AS per_unit FROM f)
-    SELECT fact, s_suppkey, code::BIGINT AS code, year, round(area, 2) AS space, round(area * per_unit, 2) AS price FROM p""",
+    SELECT fact, s_suppkey, code::BIGINT AS code, year, round(CASE WHEN area * per_unit < 150 THEN seen_space ELSE area END, 2) AS space,
+      round(CASE WHEN area * per_unit < 150 THEN seen_price ELSE area * per_unit END, 2) AS price FROM p""",
 )
 def q75(spark, sf):
     s = table(spark, sf, "supplier").select(
         "s_suppkey",
         (F.lit(6.0) + F.col("s_nationkey") * 0.25).alias("base"),
+        F.lit(50.0).alias("seen_space"),
+        F.round((F.lit(6.0) + F.col("s_nationkey") * 0.25) * 50, 2).alias("seen_price"),
         (F.col("s_nationkey") * 1000).alias("lo"),
         (F.col("s_nationkey") * 1000 + 99).alias("hi"),
         (F.col("s_nationkey") * 5 + 1900).alias("year"),
     )
-    return synth.facts_from_dimension(s, "s_suppkey", "base", "lo", "hi", "year", s.count() * 20, 19)
+    rule = replace(RENT_PRICES, least=150.0)
+    return synth.facts_from_dimension(
+        s, "s_suppkey", "base", "lo", "hi", "year", s.count() * 20, 19, rule, observed=("seen_space", "seen_price")
+    )
 
 
 # Learning ------------------------------------------------------------------------------------

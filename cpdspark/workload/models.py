@@ -16,6 +16,7 @@ from cpdspark.operators.vocabulary import (
     target_encoding,
     vocabulary,
 )
+from cpdspark.plans.catalogue import simple_rent
 from cpdspark.plans.spec import (
     ModelSpec,
     band,
@@ -208,6 +209,35 @@ def q11_cpd(spark, sf):
     return rounded(relaxed.categorical(p, node, asked).drop("support"), 9)
 
 
+@register(
+    "q212_simple_rent",
+    f"""WITH t AS (SELECT c_custkey, r_name AS state, n_name AS city, c_mktsegment AS zip, c_acctbal AS rent FROM customer
+      JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey),
+    d AS (SELECT count(DISTINCT state) AS ds, count(DISTINCT city) AS dc, count(DISTINCT zip) AS dz FROM t),
+    cc AS (SELECT state, city, count(*) AS c FROM t GROUP BY ALL), ct AS (SELECT state, sum(c) AS n, count(*) AS seen FROM cc GROUP BY ALL),
+    zc AS (SELECT city, zip, count(*) AS c FROM t GROUP BY ALL), zt AS (SELECT city, sum(c) AS n, count(*) AS seen FROM zc GROUP BY ALL),
+    g AS (SELECT avg(rent) AS gm, stddev_samp(rent) AS gs FROM t),
+    m AS (SELECT city, count(*) AS n, avg(rent) AS m, stddev_samp(rent) AS s FROM t GROUP BY ALL),
+    l AS (SELECT c_custkey, -ln(ds) AS a, {sql_smoothed('cc.c', 'ct.n', 'ct.seen', 'dc')} AS b, {sql_smoothed('zc.c', 'zt.n', 'zt.seen', 'dz')} AS c,
+      {sql_normal('rent', 'CASE WHEN m.n <= 1 THEN gm ELSE m END', 'CASE WHEN m.n <= 1 THEN gs ELSE s END')} AS e
+      FROM t JOIN cc USING (state, city) JOIN ct USING (state) JOIN zc USING (city, zip) JOIN zt USING (city) JOIN m USING (city), d, g)
+    SELECT c_custkey, round(b, 6) AS lp_city, round(c, 6) AS lp_zip, round(e, 6) AS lp_rent, round(a + b + c + e, 6) AS score FROM l""",
+)
+def q212(spark, sf):
+    """A model of the catalogue, on customers renamed as its apartments."""
+    c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = c.join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rents = c.select(
+        "c_custkey",
+        F.col("r_name").alias("state"),
+        F.col("n_name").alias("city"),
+        F.col("c_mktsegment").alias("zip"),
+        F.col("c_acctbal").alias("rent"),
+    )
+    out = score(rents, simple_rent(), "c_custkey")
+    return rounded(out.select("c_custkey", "lp_city", "lp_zip", "lp_rent", "score"))
+
+
 # Neighbours ----------------------------------------------------------------------------------
 
 

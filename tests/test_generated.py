@@ -95,7 +95,7 @@ def test_sampled_repair_tends_to_exact(spark):
 
 def test_proposal_sums_to_one(spark):
     _, emb = vectors(spark, make(), ["city"])
-    got = repair.proposal(emb, 2).groupBy("value").agg(F.sum("prob"), F.sum((F.col("weight") == 5).cast("int"))).collect()
+    got = repair.proposal(emb, 2).groupBy("value").agg(F.sum(F.col("prob") * F.col("n")), F.sum((F.col("weight") == 5).cast("int"))).collect()
     assert all(abs(r[1] - 1) < 1e-9 and r[2] == 2 for r in got)
 
 
@@ -146,6 +146,8 @@ def test_scenarios(spark, tmp_path):
     out = inject.scenarios(sdf, "id", "city", ["year"], [0.1], [0.5, 1.0], 3)
     assert {r[0]: r[1] for r in out.groupBy("scenario").count().collect()} == {"k=0.1,p=0.5": 88, "k=0.1,p=1.0": 88}
     tables.write_scenarios(out, str(tmp_path / "s"))
+    sized = inject.scenarios(sdf, "id", "city", ["year"], [0.1], [0.5], 3, sizes=[20, 50])
+    assert {r[0]: r[1] for r in sized.groupBy("scenario").count().collect()} == {"s=20,k=0.1,p=0.5": 22, "s=50,k=0.1,p=0.5": 55}
 
 
 def test_fuzzy_slices_find_all(spark):
