@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from cpdspark.llm.oracles import ORACLES  # noqa: F401
 from cpdspark.llm import byte_bpe, chat, decontaminate, html_text, line_quality, near_dedup, quality_pu, secrets, substring_dedup, toxicity
 
 
@@ -101,24 +102,3 @@ QUERIES = {
     "op9_quality_pu": op9_quality_pu,
     "op10_html_text": op10_html_text,
 }
-
-_ESCAPED = "replace(replace(replace(replace({0}, '~', '~0'), '</s>', '~1'), '[INST]', '~2'), '[/INST]', '~3')"
-_PIECE = f"6 + length({_ESCAPED.format('role')}) + 7 + length({_ESCAPED.format('text')}) + 4"
-
-ORACLES = {
-    "op1_prefix_targets": f"""
-        WITH c AS (
-            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-            UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
-            UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
-        g AS (
-            SELECT conv_id, count(*) AS n_turns,
-                string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
-                coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
-                sum({_PIECE}) AS formatted_chars, count(*) FILTER (WHERE role = 'assistant') AS n_examples
-            FROM c GROUP BY conv_id)
-        SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(turns) AS turns_sha256,
-            CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
-            CAST(formatted_chars AS BIGINT) AS formatted_chars, CAST(n_examples AS BIGINT) AS n_examples
-        FROM g""",
-}
