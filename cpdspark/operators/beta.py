@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cpdspark.functions import distributions as dist
+from cpdspark.functions.gamma import beta_draws
 from cpdspark.operators.counts import domain_size
 
 
@@ -22,15 +22,13 @@ def _beta(df: DataFrame, a: Column, total: Column, name: str, mode: str, seed: i
         return df.withColumn(name, dist.safe_div(a.cast("double"), total.cast("double")))
     if mode != "sample":
         raise ValueError("mode must be 'mean' or 'sample'")
-    text = [F.col(k).cast("string") for k in key]
-    bits = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}{name}"), *text)), 1, 8), 16, 10).cast("long")
+    state = F.xxhash64(F.lit(f"{seed}{name}"), *[F.col(k).cast("string") for k in key])
 
     @F.pandas_udf("double")
-    def draw(alpha: pd.Series, other: pd.Series, state: pd.Series) -> pd.Series:
-        gens = (np.random.default_rng(int(s)) for s in state)
-        return pd.Series([g.beta(x, y) if y > 0 else 1.0 for g, x, y in zip(gens, alpha, other)], dtype="float64")
+    def draw(alpha: pd.Series, other: pd.Series, states: pd.Series) -> pd.Series:
+        return pd.Series(beta_draws(alpha.to_numpy(), other.to_numpy(), states.to_numpy().view("u8")))
 
-    return df.withColumn(name, draw(a.cast("double"), (total - a).cast("double"), bits))
+    return df.withColumn(name, draw(a.cast("double"), (total - a).cast("double"), state))
 
 
 def occurrence(df: DataFrame, attr: str, mode: str = "mean", seed: int = 0) -> DataFrame:

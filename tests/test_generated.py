@@ -212,3 +212,16 @@ def test_only_harmed_copies_are_labelled(spark):
         assert len(bad) == 30 and all(r.own.split("-")[1] != ("1" if r.pivot == "p" else "0") for r in bad)
     out = inject.inject_errors(df, "id", "pivot", ["everywhere"], 1.0, 5, n=30)
     assert out.filter("negative_sample = 1").count() == 0
+
+
+def test_beta_draws():
+    from cpdspark.functions.gamma import beta_draws
+
+    state = np.arange(40_000, dtype=np.uint64)
+    for a, b in ((1.0, 1.0), (0.3, 2.0), (5.0, 2.0), (40.0, 900.0), (0.05, 0.05)):
+        x = beta_draws(np.full(len(state), a), np.full(len(state), b), state)
+        mean, var = a / (a + b), a * b / (a + b) ** 2 / (a + b + 1)
+        assert abs(x.mean() - mean) < 5 * np.sqrt(var / len(x)) and abs(x.var() / var - 1) < 0.06
+        again = beta_draws(np.full(3, a), np.full(3, b), state[[7, 5, 7]])
+        assert (again == x[[7, 5, 7]]).all()
+    assert beta_draws([2.0, 0.0], [0.0, 3.0], [1, 2]).tolist() == [1.0, 0.0]

@@ -116,3 +116,11 @@ def test_roc_area(spark):
     tp, fp = s.negative_sample.cumsum(), (1 - s.negative_sample).cumsum()
     want = np.trapezoid(tp / tp.iloc[-1], fp / fp.iloc[-1])
     assert abs(roc_auc(points).first()[0] - want) < 1e-12
+
+
+@pytest.mark.parametrize("name", ["q17_band_pairs", "q22_never_together", "q23_fuzzy_join", "q47_cpd_cat_unseen", "q11_relaxed_cpd", "q56_dictionary_prior"])
+def test_no_product_of_tables(spark, name):
+    from cpdspark.workload import registry
+
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
