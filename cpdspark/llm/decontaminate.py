@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 
 WINDOW = 10  # words
 PATTERN_BYTES = 16 << 20  # of a block of the benchmark
-TEXT_BYTES = 4 << 20  # searched at a time
+TEXT_BYTES = 1 << 20  # searched at a time
 STRETCH = 2048
 _TABLE_BITS = 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)

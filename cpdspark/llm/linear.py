@@ -24,7 +24,7 @@ class Rows:
         return np.concatenate([sparse, self.dense.T @ g])
 
     def only(self, keep: np.ndarray) -> "Rows":
-        number = np.cumsum(keep) - 1
+        number = (np.cumsum(keep) - 1).astype(self.row.dtype)
         own = keep[self.row]
         return Rows(number[self.row[own]], self.feature[own], int(keep.sum()), self.d, self.dense[keep])
 

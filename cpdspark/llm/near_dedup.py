@@ -311,7 +311,10 @@ def report(documents: DataFrame, width: int = 5, percent: int = PERCENT) -> Data
 
 
 def deduplicate(documents: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
-    """The documents without near copies: of each component the least doc_id stays, as one row."""
+    """The documents without near copies: of each component the least doc_id stays, as one row.
+
+    Rows that repeat that doc_id are the same document; which of them stands for it is left open.
+    """
     columns = [F.col(f"`{c}`") for c in documents.columns]
     least = cluster(documents, width, percent).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     stay = documents.join(least, documents["doc_id"] == least["_kept"]).dropDuplicates(["_kept"])

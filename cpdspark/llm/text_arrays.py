@@ -7,7 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 18
 _GAP = 8  # blanks behind each text
 _BASE = 0x9DDFEA08EB382D69 | 1
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -83,7 +83,7 @@ class Block:
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """64-bit hashes of stretches; equal bytes give equal hashes, also in other blocks."""
-        size = 1 << max(20, int(len(self.data)).bit_length())
+        size = 1 << max(19, int(len(self.data)).bit_length())
         power, inverse = _powers(size)
         value = (self.data.astype(np.uint64) + np.uint64(1)) * power[: len(self.data)]
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])

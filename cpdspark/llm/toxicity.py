@@ -89,7 +89,7 @@ def _chosen(x: linear.Rows, y: np.ndarray, most: int) -> np.ndarray:
     """The sparse features with the greatest chi-square."""
     n, positive = len(y), y.sum()
     with_feature = np.bincount(x.feature, minlength=x.d).astype(float)
-    both = np.bincount(x.feature, y[x.row], minlength=x.d)
+    both = np.bincount(x.feature[(y > 0)[x.row]], minlength=x.d).astype(float)
     expected = with_feature * positive / n
     spread = expected * (1 - positive / n) * (1 - with_feature / n)
     chi2 = np.where((with_feature >= LEAST_ROWS) & (spread > 0), (both - expected) ** 2 / np.maximum(spread, 1e-9), 0)
@@ -109,7 +109,7 @@ def _fit_link(x: linear.Rows, y: np.ndarray, features: int, l2: float) -> tuple[
 
 
 def _renumbered(x: linear.Rows, chosen: np.ndarray) -> linear.Rows:
-    number = np.full(x.d, -1)
+    number = np.full(x.d, -1, np.int32)
     number[chosen] = np.arange(len(chosen))
     known = number[x.feature] >= 0
     return linear.Rows(x.row[known], number[x.feature[known]], x.n, len(chosen), x.dense)
@@ -117,9 +117,11 @@ def _renumbered(x: linear.Rows, chosen: np.ndarray) -> linear.Rows:
 
 def fit_chain(terms: list[bytes], labels: np.ndarray, folds: np.ndarray, categories: list[str], features: int, l2: float) -> list[Link]:
     """Fit all links on a sample of rows; ``labels`` has a column for each category."""
-    sets = [np.frombuffer(g, "<i4").astype(np.int64) for g in terms]
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    feature = np.concatenate([*sets, np.zeros(0, np.int64)])
+    sets = [np.frombuffer(g, "<i4") for g in terms]
+    row = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
+    feature = np.concatenate([*sets, np.zeros(0, "<i4")])
+    common = (np.bincount(feature, minlength=1 << BITS) >= LEAST_ROWS)[feature]  # no model takes the others
+    row, feature = row[common], feature[common]
     earlier = np.zeros((len(sets), 0))
     links = []
     for k, category in enumerate(categories):
@@ -170,7 +172,7 @@ def fit(
             columns=["k", "category", "slots", "weights", "earlier", "constant"],
         )
 
-    fitted = rows.groupBy(F.lit(0).alias("all")).applyInPandas(train, _LINK).orderBy("k").collect()
+    fitted = sorted(rows.groupBy(F.lit(0).alias("all")).applyInPandas(train, _LINK).collect(), key=lambda r: r.k)
     if not fitted:  # no labelled row at all
         return [Link(c, np.zeros(0, np.int64), np.zeros(0), np.zeros(k), 0.0) for k, c in enumerate(categories)]
     numbers = lambda b, kind="<f8": np.frombuffer(bytes(b), kind)
