@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from cpdspark.functions.lineage import cut
 from cpdspark.llm.components import components
-from cpdspark.llm.text_arrays import Block, as_bytes, blocks, mixed
+from cpdspark.llm.text_arrays import Block, blocks, mixed, slices
 
 BANDS, BAND_ROWS = 48, 6
 REGISTERS = BANDS * BAND_ROWS
@@ -149,13 +149,14 @@ def _sketched(documents: DataFrame, width: int) -> DataFrame:
     """``doc_id, n, set_id, sketch`` for every row; ``sketch`` is the registers and the bitmap."""
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sets = shingle_hashes([as_bytes(t) for t in b.text], width)
+        for b, (part, texts) in ((b, x) for b in batches for x in slices(b.text)):
+            sets = shingle_hashes(texts, width)
             identity = [
                 np.array([s.sum(dtype=np.uint64), mixed(s).sum(dtype=np.uint64)]).tobytes() if len(s) else None for s in sets
             ]
             sketches = [registers(s).tobytes() + bitmap(s).tobytes() for s in sets]
-            yield pd.DataFrame({"doc_id": b.doc_id, "n": [len(s) for s in sets], "set_id": identity, "sketch": sketches})
+            ids = b.doc_id.to_numpy()[part]
+            yield pd.DataFrame({"doc_id": ids, "n": [len(s) for s in sets], "set_id": identity, "sketch": sketches})
 
     return documents.select("doc_id", "text").mapInPandas(sketch, "doc_id long, n long, set_id binary, sketch binary")
 
@@ -164,9 +165,9 @@ def _full_sets(documents: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """``id, n, elements`` of the documents that ``ids`` names."""
 
     def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sets = shingle_hashes([as_bytes(t) for t in b.text], width)
-            yield pd.DataFrame({"id": b.doc_id, "elements": [s.view(np.int64) for s in sets]})
+        for b, (part, texts) in ((b, x) for b in batches for x in slices(b.text)):
+            sets = shingle_hashes(texts, width)
+            yield pd.DataFrame({"id": b.doc_id.to_numpy()[part], "elements": [s.view(np.int64) for s in sets]})
 
     ids = cut(ids)
     few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids

@@ -36,6 +36,20 @@ def blocks(texts: list[bytes], limit: int = BLOCK_BYTES) -> Iterator[list[bytes]
         yield run
 
 
+def slices(texts, limit: int = BLOCK_BYTES) -> Iterator[tuple[slice, list[bytes]]]:
+    """Runs of neighbouring texts, encoded one run at a time, so that a batch is never held twice."""
+    run: list[bytes] = []
+    size = start = 0
+    for i, t in enumerate(texts):
+        run.append(as_bytes(t))
+        size += len(run[-1]) + _GAP
+        if size >= limit:
+            yield slice(start, i + 1), run
+            run, size, start = [], 0, i + 1
+    if run:
+        yield slice(start, start + len(run)), run
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Spread 64-bit numbers so that every bit counts."""
     h = (h ^ (h >> np.uint64(33))) * _MIX1

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cpdspark.llm import linear
-from cpdspark.llm.text_arrays import Block, as_bytes, blocks, mixed
+from cpdspark.llm.text_arrays import BLOCK_BYTES, Block, blocks, mixed, slices
 
 SAMPLE = 12_000
 BEGINNINGS, BITS = (4, 6), 20
@@ -73,14 +73,12 @@ def _terms(block: Block) -> tuple[np.ndarray, np.ndarray]:
 def _term_sets(documents: DataFrame) -> DataFrame:
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for run in blocks([as_bytes(t) for t in b.text]):
+            for part, run in slices(b.text):
                 block = Block(run)
                 text, slot = _terms(block)
                 pair = np.unique((text << BITS) + slot)
                 sets = np.split((pair & ((1 << BITS) - 1)).astype("<i4"), np.searchsorted(pair >> BITS, np.arange(1, block.n)))
-                out += [x.tobytes() for x in sets]
-            yield pd.DataFrame({"doc_id": b.doc_id, "terms": out})
+                yield pd.DataFrame({"doc_id": b.doc_id.to_numpy()[part], "terms": [x.tobytes() for x in sets]})
 
     return documents.select("doc_id", "text").mapInPandas(sets, "doc_id long, terms binary")
 
@@ -211,7 +209,8 @@ def score(documents: DataFrame, chain: list[Link]) -> DataFrame:
     @F.pandas_udf(f"struct<{', '.join(f'{n}:double' for n in names)}>")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.DataFrame(score_texts([as_bytes(t) for t in texts], sent.value), columns=names)
+            for _, run in slices(texts, 8 * BLOCK_BYTES):
+                yield pd.DataFrame(score_texts(run, sent.value), columns=names)
 
     columns = [F.col(f"`{c}`") for c in documents.columns]
     out = documents.select(*columns, scored("text").alias("_p"))
