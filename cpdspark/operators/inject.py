@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import math
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -13,6 +14,8 @@ from cpdspark.operators.draws import NEVER, ROW, SEEN, draw, pairs_of, seen_valu
 
 LABEL = "negative_sample"
 
+_log = logging.getLogger(__name__)
+
 
 def pick_rows(df: DataFrame, id_col: str, n: int, n_rows: int, seed: int) -> DataFrame:
     """``n`` of the table's ``n_rows`` rows, drawn with replacement; ``draw`` numbers the draws."""
@@ -40,8 +43,9 @@ def inject_errors(
     Each listed attribute of a copy is, with chance ``p``, replaced by a value that never occurs
     with the copy's pivot value, plus a ``shift`` if one is given. Only attributes count of which some
     value never occurs with the pivot value. A copy that came out unharmed gets one random of these
-    replaced (``force="random"``) or the last of them (``"last"``); a copy that has none of them cannot
-    be harmed and is left out. ``n``, or ``ceil(share * rows)``, copies are drawn.
+    replaced (``force="random"``) or the last of them (``"last"``). ``n``, or ``ceil(share * rows)``, copies
+    are drawn, with replacement, among the rows that have such an attribute. Where no row has one, the
+    copies are drawn among all rows and stay unharmed with label 0, and a warning gives their number.
     """
     if (share is None) == (n is None):
         raise ValueError("give either share or n")
@@ -49,10 +53,16 @@ def inject_errors(
         raise ValueError("force must be 'random' or 'last'")
     n_rows = df.count()
     n = math.ceil(share * n_rows) if n is None else n
-    copies = pick_rows(df, id_col, n, n_rows, seed)
+    clean = df.withColumn(label, F.lit(0))
     seen = seen_values(pairs_of(df, pivot, attrs))
-    free = seen.sizes.filter("n_never > 0").groupBy("key").agg(F.collect_set("attr").alias("_free"))
-    copies = cut(copies.withColumn("key", F.col(pivot).cast("string")).join(free, "key"))
+    free = cut(seen.sizes.filter("n_never > 0").groupBy("key").agg(F.collect_set("attr").alias("_free")))
+    keyed = df.withColumn("key", F.col(pivot).cast("string"))
+    n_free = keyed.groupBy("key").count().join(free, "key").agg(F.sum("count")).first()[0] or 0
+    if n and n_rows and not n_free:
+        _log.warning("0 of %d errors injected: every value of %s occurs with every %s", n, ", ".join(attrs), pivot)
+        same = pick_rows(df, id_col, n, n_rows, seed).withColumn(id_col, _copy_id(df, id_col))
+        return clean.unionByName(same.select(*df.columns, F.lit(0).alias(label)))
+    copies = cut(pick_rows(keyed.join(free, "key"), id_col, n, n_free, seed))
     cells = copies.select("draw", "key", F.explode(F.array(*_flags(attrs, p, seed, force))).alias("_c"))
     cells = cells.filter("_c.hit").select(
         "draw",
@@ -70,7 +80,6 @@ def inject_errors(
             value = value + F.lit(shift[a])
         bad = bad.withColumn(a, F.coalesce(value, F.col(a)).cast(df.schema[a].dataType))
     bad = bad.withColumn(id_col, _copy_id(df, id_col))
-    clean = df.withColumn(label, F.lit(0))
     return clean.unionByName(bad.select(*df.columns, F.lit(1).alias(label)))
 
 

@@ -214,6 +214,20 @@ def test_only_harmed_copies_are_labelled(spark):
     assert out.filter("negative_sample = 1").count() == 0
 
 
+def test_all_errors_asked_for_are_injected(spark, caplog):
+    """Pivot value ``hot`` has met every value, ``rare`` has not; then both have."""
+    rows = [(i, "hot", f"v{i % 4}", i % 3) for i in range(48)] + [(48 + i, "rare", "v0", 0) for i in range(4)]
+    df = spark.createDataFrame(rows, "id long, pivot string, a string, b int")
+    for force in ("random", "last"):
+        bad = inject.inject_errors(df, "id", "pivot", ["a", "b"], 0.2, 5, n=30, force=force).filter("id < 0").collect()
+        assert len(bad) == 30 and all(r.negative_sample == 1 and r.pivot == "rare" and (r.a, r.b) != ("v0", 0) for r in bad)
+    full = df.filter("pivot = 'hot'")
+    out = inject.inject_errors(full, "id", "pivot", ["a", "b"], 0.2, 5, share=0.25)
+    copies = out.filter("id < 0").collect()
+    assert len(copies) == 12 and all(r.negative_sample == 0 for r in copies) and out.count() == 60
+    assert {(r.a, r.b) for r in copies} <= {(r[2], r[3]) for r in rows} and "0 of 12 errors" in caplog.text
+
+
 def test_beta_draws():
     from cpdspark.functions.gamma import beta_draws
 
