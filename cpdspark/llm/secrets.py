@@ -4,8 +4,10 @@ Three base kinds are patterns with a least length (``assign``, ``access``, ``hex
 ``entropy`` slides a window over candidate strings: runs of key characters. Each candidate belongs to
 a character class (digits, hex, letters and digits, base 64), and the class has its own threshold. The
 window keeps a count per character; a step raises one count, lowers another, and mends the sum of
-``c * log2(c)`` with the two changes, so a step costs the same for any window. Candidates that an
-allow list matches, or that a base span already covers, are suppressed.
+``c * log2(c)`` with the two changes, so a step costs the same for any window. A run is cut at its slashes:
+each segment is judged alone, and what is left of the run without segments that are names is judged as a
+whole, so a key is found behind a path and with slashes inside. The allow list suppresses whole segments only.
+Suppressed are also runs that a base span covers, and paths of the reserved hosts example.com, .net and .org.
 
 Positions are code points, end exclusive, of the whole match. Matches are marked inside the text by
 two control characters, which no pattern can match; where the text has them itself, another control
@@ -27,21 +29,26 @@ _ON, _OFF, _OTHER = "\u0001", "\u0002", "\u0003"
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"()(AKIA[A-Z0-9]+)"
 HEX = r"()([0-9a-f]+)"
-CANDIDATE = r"()([A-Za-z0-9+/_=-]+)"
+CANDIDATE = r"((?:https?://(?:www\.)?example\.(?:com|net|org)/)?)([A-Za-z0-9+/_=-]+)"
 MASK = "[masked]"
 
+_WORD = r"(?:[A-Z]{1,19}|[A-Z]?[a-z]{1,19}|[A-Z]?[a-z]{2,19}(?:[A-Z][a-z]{1,19})+)"
+
 
 @dataclass(frozen=True)
 class EntropyRule:
     """Window length, and bits per character from which a window is suspicious, by character class."""
 
     window: int = 20
-    digits: float = 9.9  # never: runs of digits are ids, phone numbers, dates
+    digits: float = 2.6
     hexadecimal: float = 3.0
-    letters: float = 9.9  # never: long words
+    letters: float = 3.75  # above long words
     mixed: float = 3.6
     base64: float = 3.8
-    allow: str = r"(?i)example|sample|dummy|placeholder|test|https?|www\.|^/{0,2}[a-z]+/|/[a-z]+/|^(.)\1+$|^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$|^[a-z]+([_-][a-z]+)+$"
+    #: Segments that are words, one character repeated, or a UUID.
+    allow: str = rf"^_*{_WORD}(?:[_=-]+{_WORD})*_*$|^(.)\1+$|(?i:^[0-9a-f]{{8}}(-[0-9a-f]{{4}}){{3}}-[0-9a-f]{{12}}$)"
+    #: Segments of a path: words with short numbers, and numbers.
+    names: str = rf"^(?=.{{4}})_*(?:{_WORD}[0-9]{{0,4}}|[0-9]+)(?:[_=-]+(?:{_WORD}[0-9]{{0,4}}|[0-9]+))*_*$"
 
 
 @dataclass(frozen=True)
@@ -107,12 +114,14 @@ def _threshold(run: Column, rule: EntropyRule) -> Column:
 
 
 def _suspicious(run: Column, rule: EntropyRule) -> Column:
-    return (
-        (F.length(run) >= rule.window)
-        & ~run.rlike(rule.allow)
-        & run.rlike("[0-9]")
-        & (_entropy(run, rule.window) >= _threshold(run, rule))
-    )
+    def key(part: Column) -> Column:
+        kinds = part.rlike("[0-9]") | part.rlike("^[A-Za-z]+$") | (part.rlike("[a-z]") & part.rlike("[A-Z]"))
+        high = _entropy(part, rule.window) >= _threshold(part, rule)
+        return (F.length(part) >= rule.window) & ~part.rlike(rule.allow) & kinds & high
+
+    unnamed = F.filter(F.split(run, "/"), lambda s: (s != "") & ~s.rlike(rule.names))
+    joined = F.when(F.contains(run, F.lit("/")), F.array(F.array_join(unnamed, "/"))).otherwise(F.array().cast("array<string>"))
+    return F.exists(F.concat(F.split(run, "/"), joined), key)
 
 
 def _parts(piece: Column) -> tuple[Column, Column, Column]:
@@ -126,7 +135,7 @@ def _pieces(text: Column, kind: str, order: int, pattern: str, least: int) -> Co
 
     def one(piece: Column, i: Column) -> Column:
         head, body, gap = _parts(piece)
-        is_match = (i > 0) & (F.length(body) >= least)
+        is_match = (i > 0) & (F.length(body) >= least) & (F.lit(kind != "entropy") | (head == ""))
         total = F.when(i > 0, F.length(head) + F.length(body) + F.length(gap)).otherwise(F.length(piece))
         return F.struct(
             F.lit(order).alias("order"),
@@ -193,11 +202,11 @@ def find(documents: DataFrame, rule: EntropyRule = EntropyRule()) -> DataFrame:
 
 
 def _masked(text: Column, pattern: str, bad) -> Column:
-    """``text`` with the matches masked whose second group is ``bad``."""
+    """``text`` with the matches masked whose groups are ``bad``."""
 
     def one(piece: Column, i: Column) -> Column:
         head, body, gap = _parts(piece)
-        kept = F.when(bad(body), F.lit(MASK)).otherwise(F.concat(head, body))
+        kept = F.when(bad(head, body), F.lit(MASK)).otherwise(F.concat(head, body))
         return F.when(i == 0, piece).otherwise(F.concat(kept, gap))
 
     return F.array_join(F.transform(_marked(text, pattern), one), "")
@@ -212,10 +221,10 @@ def mask(documents: DataFrame, rule: EntropyRule = EntropyRule()) -> DataFrame:
     out, columns = documents, documents.columns
     for k in KINDS:
         longer = F.col("text").rlike(_least(k.pattern, k.least))
-        masked = _masked(_plain(F.col("text")), k.pattern, lambda body, n=k.least: F.length(body) >= n)
+        masked = _masked(_plain(F.col("text")), k.pattern, lambda _, body, n=k.least: F.length(body) >= n)
         out = out.withColumn("text", F.when(longer, masked).otherwise(F.col("text")))
     longer = F.col("text").rlike(_least(CANDIDATE, rule.window))
-    found = _masked(_plain(F.col("text")), CANDIDATE, lambda body: _suspicious(body, rule))
+    found = _masked(_plain(F.col("text")), CANDIDATE, lambda head, body: (head == "") & _suspicious(body, rule))
     out = out.withColumn("text", F.when(longer & F.contains(found, F.lit(MASK)), found).otherwise(F.col("text")))
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))

@@ -59,6 +59,32 @@ def test_sliding_entropy(spark):
     assert got == {r: pytest.approx(best(r)) for r in runs}
 
 
+def test_random_keys_are_found(documents):
+    import random
+    import string
+
+    r = random.Random(11)
+    b64 = string.ascii_letters + string.digits + "+/"
+    draw = lambda alphabet, n: "".join(r.choices(alphabet, k=n))
+    hook = "https://hooks.site.com/services/T0AB12CD3/B0EF45GH6/"
+    planted = [hook + "q7Zp2LmX9vRt5Kc8Wd3Ny6Hb", "com/test/q7Zp2LmX9vRt5Kc8Wd3Ny6Hb", "ab/wJalrXUtnFEMI/K7MDENG/bPxRfiCY"]
+    planted += ["48213907561829304756", "qTzWbXkLmPvRsYdNcJhG", "Zx8Qm2testLp9Rt5Vw3Ny7Kb"]
+    plain = ["src/main/java/AbstractFactoryBean/index", "/usr/lib/x86_64-linux-gnu/libc6-dev/python3", "http://site.com/2024/05/17/how-to-do-this"]
+    plain += ["schverlicheinpfauung", "some-long-name_of_words", "123e4567-e89b-12d3-a456-426614174000", "getElementsByTagNameWithPrefix", "00000000000000000000"]
+    groups = {n: [draw(b64, n) for _ in range(400)] for n in (20, 40, 88)} | {"letters": [draw(string.ascii_letters, 32) for _ in range(400)]}
+    rows = [(str(g), f"x {k} y") for g, keys in (groups | {"planted": planted, "plain": plain}).items() for k in keys]
+    df = documents([(i, t) for i, (_, t) in enumerate(rows)])
+    got = {x.doc_id: x.n_entropy + x.n_hex for x in secrets.find(df).collect()}
+    found = {g: [bool(got[i]) for i, (h, _) in enumerate(rows) if h == g] for g in map(str, [*groups, "planted", "plain"])}
+    assert all(found["planted"]), found["planted"]
+    assert not any(found["plain"]), dict(zip(plain, found["plain"]))
+    counts = {g: sum(found[g]) for g in map(str, groups)}
+    print(counts)
+    assert counts["20"] >= 360 and min(counts["40"], counts["88"]) >= 398 and counts["letters"] >= 388, counts
+    left = secrets.find(secrets.mask(df)).agg({"n_entropy": "sum"}).first()[0]
+    assert left == 0
+
+
 LINES = [
     (20, "One two three four five six seven eight nine ten.\n" * 3 + "\n \nEnd of it, one two three four five."),
     (21, "Home | About | Contact | Login\nGood words stand here, in a long enough line of text to be kept.\nAnd another line follows it, with other words, so that little is lost."),
