@@ -12,8 +12,11 @@ The renderer keeps a stack of boxes instead of recursing, so depth is no limit:
   cells keep all their text and only push their own line), cells over several columns count.
 
 Not visible: head, scripts, styles, templates, ``noscript`` and embedded frames, comments, elements with
-``hidden``, ``display:none`` or ``visibility:hidden`` in their style or by a rule of the page's own style
-sheet for a tag, a class or an id, hidden inputs, closed ``dialog`` and ``details`` (except the summary).
+``hidden``, ``display:none`` or ``visibility:hidden`` in their style or by the page's own style sheets, hidden
+inputs, closed ``dialog`` and ``details`` (except the summary). Of style sheets count rules for a tag, classes and an id
+of the element itself, by importance, specificity and order, and media rules as on a screen of 1280 pixels; selectors
+with relations, attributes or states do not count. Of ``svg`` the texts and foreign objects are visible, of ``math`` all
+but annotations, of ``object`` what stands in for it.
 
 Each page is one row's work, in a Pandas UDF with results sent in slices. Defined cases: null and
 empty pages give null and empty text; broken markup is read as far as it goes; null ids, repeated rows and
@@ -34,15 +37,23 @@ CELL = 40
 INDENTS = 24  # deeper lists are not indented further
 OUTPUT_CHARS = 1 << 20
 
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style template noscript iframe noframes noembed object svg math textarea title xmp".split())
-UNSEEN = frozenset("head script style template noscript iframe noframes noembed object svg math title datalist audio video canvas".split())
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+RAW = frozenset("script style template noscript iframe noframes noembed textarea title xmp".split())
+UNSEEN = frozenset("head script style template noscript iframe noframes noembed title datalist audio video canvas".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer "
     "form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table "
-    "tbody td tfoot th thead tr ul".split()
+    "tbody td tfoot th thead tr ul xmp".split()
 )
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dir dl pre blockquote table figure hr".split())
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dir dl pre xmp blockquote table figure hr".split())
+#: Start tags of HTML that end an open svg or math element.
+BREAKS_OUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p "
+    "pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+_UNSEEN_SVG = frozenset("desc metadata defs symbol clippath mask pattern marker".split())
+_UNSEEN_MATH = frozenset(["annotation", "annotation-xml"])
+_HTML_INSIDE = ("foreignobject", "mi", "mo", "mn", "ms", "mtext")
 TABLE_PARTS = frozenset("caption colgroup col thead tbody tfoot tr td th".split())
 _SECTIONS = frozenset("thead tbody tfoot".split())
 #: Start tag -> what it closes, and where the search for it ends.
@@ -66,10 +77,14 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_HIDES = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_CSS = re.compile(r"([^{};]*)([{};])")
+_CSS_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->", re.S)
+_SHOWS = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([\w-]+)\s*(!\s*important)?", re.I)
+_SELECTOR = re.compile(r"(?:[a-zA-Z][\w-]*|\*)?(?:[.#][\w-]+)*")
+_WIDTH = re.compile(r"\(\s*(min|max)-width\s*:\s*([\d.]+)\s*(px|em|rem)?\s*\)")
+_SCREEN = 1280
 _SPACES = re.compile(r"[ \t\n\r\f\v ]+")
-_STYLE = re.compile(r"<style[^>]*>(.*?)</style", re.S | re.I)
+_STYLE = re.compile(r"<style([^>]*)>(.*?)</style", re.S | re.I)
 _ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
 
 
@@ -80,25 +95,93 @@ def _attributes(text: str) -> dict[str, str]:
     return out
 
 
-def _hidden_selectors(page: str) -> frozenset[str]:
-    """Selectors of one tag, class or id that the page's style sheets hide."""
-    out = set()
-    for sheet in _STYLE.findall(page):
-        for names, body in _RULE.findall(sheet):
-            if _HIDES.search(body):
-                out.update(n for x in names.split(",") if re.fullmatch(r"[.#]?[\w-]+", n := x.strip()))
-    return frozenset(out)
+def _on_screen(query: str) -> bool:
+    """Whether a media query list holds on a screen of ``_SCREEN`` pixels; unknown features do not."""
+
+    def holds(one: str) -> bool:
+        one = one.strip().removeprefix("only ").strip()
+        if one.startswith("not "):
+            return one[4:].strip() not in ("all", "screen")
+        for k, part in enumerate(re.split(r"\s+and\s+", one)):
+            if k == 0 and part in ("", "all", "screen"):
+                continue
+            if not (m := _WIDTH.fullmatch(part)):
+                return False
+            width = float(m[2].strip(".") or 0) * (1 if m[3] in (None, "px") else 16)
+            if (_SCREEN < width) if m[1] == "min" else (_SCREEN > width):
+                return False
+        return True
+
+    return any(holds(one) for one in query.lower().split(","))
+
 
+def _declared(body: str) -> Iterator[tuple[str, bool, bool]]:
+    """``(property, hides, important)`` of display and visibility."""
+    for name, value, important in _SHOWS.findall(body):
+        yield name.lower(), value.lower() in ("none", "hidden", "collapse"), bool(important)
 
-def _is_hidden(tag: str, attributes: dict[str, str], selectors: frozenset[str]) -> bool:
+
+Rules = dict[str, list[tuple[frozenset[str], str, tuple[bool, int, int, int, int], bool]]]
+
+
+def _rules(page: str) -> Rules:
+    """What the page's style sheets say on display and visibility, by one name of each selector."""
+    out: Rules = {}
+    order = 0
+    for attributes, sheet in _STYLE.findall(page):
+        attributes = _attributes(attributes)
+        if not _on_screen(attributes.get("media", "")) or attributes.get("type", "text/css").lower() not in ("", "text/css"):
+            continue
+        blocks: list[bool] = []  # whether each open at-rule holds
+        selectors = None
+        for text, sign in _CSS.findall(_CSS_COMMENT.sub(" ", sheet)):
+            text = text.strip()
+            if selectors is not None:
+                body += text + ";"
+                if sign != "}":
+                    continue
+                for name in selectors:
+                    if not name or not all(blocks) or not _SELECTOR.fullmatch(name):
+                        continue
+                    names = frozenset(x if x[0] in ".#" else x.lower() for x in re.findall(r"[.#]?[\w-]+", name))
+                    ids, classes = sum(x[0] == "#" for x in names), sum(x[0] == "." for x in names)
+                    for prop, hides, important in _declared(body):
+                        order += 1
+                        weight = (important, ids, classes, len(names) - ids - classes, order)
+                        out.setdefault(max(names, default="*"), []).append((names, prop, weight, hides))
+                selectors = None
+            elif sign == "}":
+                if blocks:
+                    blocks.pop()
+            elif sign == "{":
+                head = text.lower()
+                if head.startswith("@media"):
+                    blocks.append(_on_screen(head[6:]))
+                elif head.startswith("@supports"):
+                    blocks.append(not head[9:].strip().startswith("not"))
+                elif head.startswith("@layer"):
+                    blocks.append(True)
+                elif head.startswith("@"):
+                    blocks.append(False)
+                else:
+                    selectors, body = [x.strip() for x in text.split(",")], ""
+    return out if any(hides for rules in out.values() for *_, hides in rules) else {}
+
+
+def _is_hidden(tag: str, attributes: dict[str, str], rules: Rules) -> bool:
     if tag in UNSEEN or "hidden" in attributes or tag == "dialog" and "open" not in attributes:
         return True
-    if _HIDES.search(attributes.get("style", "")):
-        return True
-    if not selectors:
-        return False
-    names = [tag, "#" + attributes.get("id", ""), *("." + c for c in attributes.get("class", "").split())]
-    return not selectors.isdisjoint(names)
+    best: dict[str, tuple[tuple, bool]] = {}
+    if rules:
+        names = {tag, "#" + attributes.get("id", ""), *("." + c for c in attributes.get("class", "").split())}
+        for name in (*names, "*"):
+            for needed, prop, weight, hides in rules.get(name, ()):
+                if needed <= names and (prop not in best or best[prop][0] < weight):
+                    best[prop] = weight, hides
+    for prop, hides, important in _declared(attributes.get("style", "")):
+        if prop not in best or best[prop][0] <= (important, 1 << 30):
+            best[prop] = (important, 1 << 30), hides
+    return any(hides for _, hides in best.values())
 
 
 def events(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
@@ -126,7 +209,12 @@ def events(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
                 return -1
         return -1
 
+    def foreign() -> bool:
+        return bool(open_now["svg"] or open_now["math"]) and not any(open_now[t] for t in _HTML_INSIDE)
+
     def opened(tag: str):
+        if tag in BREAKS_OUT and foreign():
+            yield from close_to(min(stack.index(t) for t in ("svg", "math") if open_now[t]))
         if tag in CLOSES and (k := find(*CLOSES[tag])) >= 0:
             yield from close_to(k)
         if tag in _CLOSES_P and (k := find(_P, _SCOPE)) >= 0:
@@ -163,13 +251,15 @@ def events(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
         yield "open", tag, attributes
         if tag in VOID:
             continue
+        if m[3].endswith("/") and (tag in ("svg", "math") or open_now["svg"] or open_now["math"]) and not open_now["foreignobject"]:
+            yield "close", tag, {}
+            continue
         if tag in RAW:
-            if m[3].endswith("/") and tag in ("svg", "math"):
-                yield "close", tag, {}
-                continue
             end = _ENDS[tag].search(page, at)
             if tag == "textarea":
                 yield "text", page[at : end.start() if end else len(page)], {}
+            if tag == "xmp":
+                yield "text", html.escape(page[at : end.start() if end else len(page)], quote=False), {}
             at = end.end() if end else len(page)
             yield "close", tag, {}
             continue
@@ -263,16 +353,17 @@ class _Layout:
     """Takes events, gives text."""
 
     def __init__(self, page: str) -> None:
-        self.selectors = _hidden_selectors(page) if "<style" in page.lower() else frozenset()
+        self.rules = _rules(page) if "<style" in page.lower() else {}
         self.boxes = [_Box()]
         self.tables: list[list[list[tuple[list[str], int]]]] = []
         self.lists: list[int | None] = []  # next number, or None for marks
         self.pre = self.dark = 0  # dark: depth inside what is not seen
+        self.svg = self.math = self.shapes = 0  # shapes: inside svg, outside its texts
         self.details: list[bool] = []
         self.undo: list = []  # what to do when each open element closes
 
     def open(self, tag: str, attributes: dict[str, str]) -> None:
-        if self.dark or _is_hidden(tag, attributes, self.selectors):
+        if self.dark or self._unseen(tag) or _is_hidden(tag, attributes, self.rules):
             if tag not in VOID:
                 self.dark += 1
                 self.undo.append(self._lighter)
@@ -292,11 +383,29 @@ class _Layout:
             box.block(tag in SPACED and not (tag in ("ul", "ol") and self.lists))
         self.undo.append(self._opened(tag, attributes))
 
+    def _unseen(self, tag: str) -> bool:
+        return bool(self.svg) and tag in _UNSEEN_SVG or bool(self.math) and tag in _UNSEEN_MATH
+
+    def _foreign(self, tag: str):
+        """Inside svg only texts and foreign objects are seen; labels stand apart."""
+        before = self.svg, self.math, self.shapes
+        self.svg, self.math = self.svg + (tag == "svg"), self.math + (tag == "math")
+        self.shapes = int(tag == "svg")
+        self.boxes[-1].text(" ")
+
+        def after() -> None:
+            self.svg, self.math, self.shapes = before
+            self.boxes[-1].text(" ")
+
+        return after
+
     def _lighter(self) -> None:
         self.dark -= 1
 
     def _opened(self, tag: str, attributes: dict[str, str]):
-        if tag in ("pre", "textarea"):
+        if tag in ("svg", "math") or self.svg and tag in ("text", "foreignobject"):
+            return self._foreign(tag)
+        if tag in ("pre", "textarea", "xmp"):
             self.pre += 1
             return lambda: self._after_pre(tag)
         if tag in ("ul", "ol", "menu", "dir"):
@@ -327,7 +436,7 @@ class _Layout:
 
     def _after_pre(self, tag: str) -> None:
         self.pre -= 1
-        if tag == "pre":
+        if tag != "textarea":
             self.boxes[-1].block(True)
 
     def _after_list(self) -> None:
@@ -386,7 +495,7 @@ class _Layout:
             action()
 
     def text(self, s: str) -> None:
-        if self.dark:
+        if self.dark or self.shapes:
             return
         s = html.unescape(s) if "&" in s else s
         if self.pre:

@@ -148,3 +148,27 @@ def test_pages_table(spark):
     assert got.columns == ["page_id", "url", "text"]
     assert sorted(map(str, (r.text for r in got.collect()))) == ["", "None", "a", "a"]
     assert html_text.extract(spark.createDataFrame([], "page_id long, html string")).collect() == []
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<style>@media print{.a,.b{display:none}} .c{color:red}</style><div class=a>A</div><div class=c>C</div>", "A\nC"),
+        ("<style>@media (max-width:600px){.a{display:none}} .c{display:none}</style><div class=a>A</div><div class=c>C</div>", "A"),
+        ("<style>.a{display:none} @media screen and (min-width: 40em){.a{display:block}}</style><div class=a>A</div>", "A"),
+        ("<style media=print>.a{display:none}</style><div class=a>A</div>", "A"),
+        ("<style>@media screen{.a{display:none}} @font-face{src:x} @import 'y'; .b{display:none}</style><i class=a>A</i><i class=b>B</i>C", "C"),
+        ("<style>.a{display:none} .a{display:block} .b{display:block} .b{display:none}</style><div class=a>A</div><div class=b>B</div>", "A"),
+        ("<style>#i{display:block} .a{display:none} .b{display:none!important}</style><p id=i class=a>A</p><p class=b style='display:block'>B</p>", "A"),
+        ("<style>.a{display:none}</style><p class=a style='display:block'>A</p><p style='display:none'>B</p>", "A"),
+        ("x <math><mi>a</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math> y", "x a=2 y"),
+        ("<svg><title>t</title><defs><text>d</text></defs><path d='M0'/><g>no<text x=1>one</text><text>two</text></g></svg><p>after", "one two\n\nafter"),
+        ("<svg><path d='M0'><p>rest</p>of it", "rest\n\nof it"),
+        ("<math><mi>a<p>rest", "a\n\nrest"),
+        ("<object data=x><param name=a>instead <b>of</b> it</object> z", "instead of it z"),
+        ("<object data=x>open<p>rest", "open\n\nrest"),
+        ("a<xmp><b>1 &amp; 2</b></xmp>c", "a\n\n<b>1 &amp; 2</b>\n\nc"),
+    ],
+)
+def test_visible_text_is_kept(page, text):
+    assert html_text.render(page) == text
