@@ -89,9 +89,41 @@ def line_quality(r: LineRules = LineRules()) -> str:
         lost_chars, n_failed_lines FROM m"""
 
 
+_FAILS = [f"f{k}" for k in range(1, 6)]
+_EARLIER = " OR ".join(f"{_FAILS[j - 1]} AND position({x!r} IN filter_order) < step" for j, x in enumerate("ABCDE", 1))
+_THIS = " OR ".join(f"{_FAILS[j - 1]} AND letter = {x!r}" for j, x in enumerate("ABCDE", 1))
+_OTHER = " OR ".join(f"{_FAILS[j - 1]} AND letter <> {x!r}" for j, x in enumerate("ABCDE", 1))
+
+FILTER_AUDIT = f"""
+    WITH t AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS part,
+            {_PLAIN_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+    d AS (SELECT part, len(w) < 200 AS f1, 100 * len(list_distinct(w)) < 50 * len(w) AS f2,
+            100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text) AS f3,
+            regexp_matches(text, '[#$%&*|]') AS f4, doc_id > min(doc_id) OVER (PARTITION BY text) AS f5,
+            coalesce(quality = 1, FALSE) AS good, coalesce(toxic = 1, FALSE) AS toxic
+        FROM t LEFT JOIN labels USING (doc_id)),
+    c AS (SELECT part, f1, f2, f3, f4, f5, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+        FROM d GROUP BY ALL),
+    x(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+    o AS (SELECT a.x || b.x || p.x || q.x || r.x AS filter_order FROM x a, x b, x p, x q, x r
+        WHERE a.x <> b.x AND a.x <> p.x AND a.x <> q.x AND a.x <> r.x AND b.x <> p.x AND b.x <> q.x AND b.x <> r.x
+            AND p.x <> q.x AND p.x <> r.x AND q.x <> r.x),
+    s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS letter FROM o, (VALUES (1), (2), (3), (4), (5)) z(step)),
+    j AS (SELECT part, filter_order, step, letter, n, good, toxic, {_EARLIER} AS earlier, {_THIS} AS fails, {_OTHER} AS others FROM c, s),
+    g AS (SELECT part, filter_order, step, letter,
+            coalesce(sum(n) FILTER (NOT earlier AND NOT fails), 0) AS kept, coalesce(sum(n) FILTER (fails AND NOT earlier), 0) AS removed,
+            coalesce(sum(n) FILTER (fails AND earlier), 0) AS redundant, coalesce(sum(n) FILTER (fails AND NOT others), 0) AS unique_fails,
+            coalesce(sum(good) FILTER (fails AND NOT earlier), 0) AS good_lost, coalesce(sum(toxic) FILTER (fails AND NOT earlier), 0) AS toxic_lost
+        FROM j GROUP BY ALL)
+    SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+        unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+        (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM g"""
+
+
 ORACLES = {
     "op1_prefix_targets": PREFIX_TARGETS,
     "op6_near_dedup": NEAR_DEDUP,
     "op7_decontaminate": DECONTAMINATE,
     "op8_line_quality": line_quality(),
+    "op11_filter_audit": FILTER_AUDIT,
 }

@@ -6,7 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cpdspark.llm.oracles import ORACLES  # noqa: F401
-from cpdspark.llm import byte_bpe, chat, decontaminate, html_text, line_quality, near_dedup, quality_pu, secrets, substring_dedup, toxicity
+from cpdspark.llm import (
+    byte_bpe,
+    chat,
+    decontaminate,
+    filter_audit,
+    html_text,
+    line_quality,
+    near_dedup,
+    quality_pu,
+    secrets,
+    substring_dedup,
+    toxicity,
+)
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,6 +102,10 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendered.select("page_id", F.length("text").cast("long").alias("n_chars"), "text")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_prefix_targets": op1_prefix_targets,
     "op2_substring_dedup": op2_substring_dedup,
@@ -101,4 +117,5 @@ QUERIES = {
     "op8_line_quality": op8_line_quality,
     "op9_quality_pu": op9_quality_pu,
     "op10_html_text": op10_html_text,
+    "op11_filter_audit": op11_filter_audit,
 }
