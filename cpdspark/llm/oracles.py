@@ -120,10 +120,35 @@ FILTER_AUDIT = f"""
         (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM g"""
 
 
+SOURCE_DIVERGENCE = f"""
+    WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+            regexp_extract_all({_LOWERED}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+    t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+    c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM t GROUP BY 1, 2, 3),
+    k AS (SELECT lang, term, sum(n)::BIGINT AS total FROM c GROUP BY 1, 2 HAVING sum(docs) >= 10),
+    l AS (SELECT lang, count(*) AS v, sum(total)::BIGINT AS whole FROM k GROUP BY 1),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    o AS (SELECT c.lang, c.source, sum(n)::BIGINT AS whole FROM c JOIN k ON k.lang = c.lang AND k.term = c.term GROUP BY 1, 2),
+    p AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n,
+            1 + (1000000000 * (coalesce(n, 0) + 2)) // (coalesce(o.whole, 0) + 2 * v) AS p, 1 + (1000000000 * (total + 2)) // (l.whole + 2 * v) AS q
+        FROM g JOIN k ON k.lang = g.lang JOIN l ON l.lang = g.lang LEFT JOIN o ON o.lang = g.lang AND o.source = g.source
+            LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+    s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+        FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+    pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+        FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+    terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM p WHERE n > 0 AND p > q)
+    SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+        FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)) WHERE part = 'pair' OR rank <= 10"""
+
+
 ORACLES = {
     "op1_prefix_targets": PREFIX_TARGETS,
     "op6_near_dedup": NEAR_DEDUP,
     "op7_decontaminate": DECONTAMINATE,
     "op8_line_quality": line_quality(),
     "op11_filter_audit": FILTER_AUDIT,
+    "op12_source_divergence": SOURCE_DIVERGENCE,
 }

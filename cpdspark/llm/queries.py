@@ -16,6 +16,7 @@ from cpdspark.llm import (
     near_dedup,
     quality_pu,
     secrets,
+    source_divergence,
     substring_dedup,
     toxicity,
 )
@@ -106,6 +107,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_prefix_targets": op1_prefix_targets,
     "op2_substring_dedup": op2_substring_dedup,
@@ -118,4 +123,5 @@ QUERIES = {
     "op9_quality_pu": op9_quality_pu,
     "op10_html_text": op10_html_text,
     "op11_filter_audit": op11_filter_audit,
+    "op12_source_divergence": op12_source_divergence,
 }
