@@ -14,6 +14,7 @@ from cpdspark.llm import (
     html_text,
     line_quality,
     near_dedup,
+    pii,
     quality_pu,
     secrets,
     source_divergence,
@@ -111,6 +112,10 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.audit(_read(spark, sf_dir, "documents"))
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_prefix_targets": op1_prefix_targets,
     "op2_substring_dedup": op2_substring_dedup,
@@ -124,4 +129,5 @@ QUERIES = {
     "op10_html_text": op10_html_text,
     "op11_filter_audit": op11_filter_audit,
     "op12_source_divergence": op12_source_divergence,
+    "op13_pii": op13_pii,
 }
