@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cpdspark.functions.text import boosted_score, edit_score, exponential_score
 
-MAX_BROADCAST_WORDS = 100_000
 
+def shortened(word: Column, most: int) -> Column:
+    """All texts that deleting at most ``most`` letters leaves of a word, itself included."""
 
-def _listed(words: DataFrame) -> DataFrame:
-    """Broadcast the list if a count proves it small; else leave the choice to Spark."""
-    small = words.limit(MAX_BROADCAST_WORDS + 1).count() <= MAX_BROADCAST_WORDS
-    return F.broadcast(words) if small else words
+    def one_less(w: Column) -> Column:
+        n = F.length(w)
+        places = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
+        return F.transform(places, lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, n)))
+
+    rounds = F.sequence(F.lit(1), F.lit(most)) if most else F.array().cast("array<int>")
+    return F.aggregate(
+        rounds, F.array(word), lambda found, _: F.array_distinct(F.concat(found, F.flatten(F.transform(found, one_less))))
+    )
 
 
 def nearest_words(df: DataFrame, attr: str, words: DataFrame, max_distance: int) -> DataFrame:
     """Distinct words of a column with the list's words within an edit distance: ``word, listed, distance``.
 
     Two words within ``d`` edits share one of the ``d + 1`` equal slices of the listed word,
-    shifted by at most ``d`` places. Words meet by such a slice, so that no word is compared with
-    the whole list. Words no longer than ``d`` have no useful slice and meet by their length.
+    shifted by at most ``d`` places. Listed words no longer than ``d`` have no such slice; they meet
+    words of up to ``2 d`` letters by what deleting up to ``d`` letters leaves of both, which is the same
+    text somewhere if they are within ``d`` edits. So all pairs meet by equality, whatever the length.
     """
     d = max_distance
     own = df.select(F.col(attr).alias("word")).dropna().distinct()
@@ -63,9 +70,10 @@ def nearest_words(df: DataFrame, attr: str, words: DataFrame, max_distance: int)
     )
     asked = own.withColumn("_piece", F.explode(F.array_distinct(grid)))
     met = asked.join(listed, "_piece").select("word", "listed").distinct()
-    short = other.filter(F.length("listed") <= d)
-    tiny = own.filter(F.length("word") <= 2 * d).join(_listed(short), F.length("word") <= F.length("listed") + d)
-    pairs = met.unionByName(tiny.select("word", "listed"))
+    left_over = lambda c: F.explode(shortened(F.col(c), d)).alias("_rest")
+    short = other.filter(F.length("listed") <= d).select("listed", left_over("listed"))
+    tiny = own.filter(F.length("word") <= 2 * d).select("word", left_over("word"))
+    pairs = met.unionByName(tiny.join(short, "_rest").select("word", "listed").distinct())
     return pairs.withColumn("distance", F.levenshtein("word", "listed")).filter(F.col("distance") <= d)
 
 
@@ -88,21 +96,39 @@ def dictionary_prior(
     parent: tuple[str, str],
     code: tuple[str, str] | None = None,
     weighting: str = "boosted",
+    near: float | None = None,
 ) -> DataFrame:
     """Probability of each dictionary entry as the intended word, per distinct observation.
 
     Weight is the edit score, raised for good matches (``boosted``) or exponential. ``parent``
     (column, dictionary column) names what an observation and its entries must share, so that no word
     meets the whole dictionary; ``code`` multiplies by the edit score of a second field.
+
+    With ``near``, only entries whose edit score is above it get a row of their own; all others of an
+    observation together are one row with a null entry, their weights and probabilities added up. ``entries``
+    is then the number of entries of a row. So the result has about as many rows as words have near entries.
     """
     keys = [word, parent[0]] + ([code[0]] if code else [])
     asked = observed.select(*keys).dropna().distinct()
-    joined = asked.join(_listed(dictionary), F.col(parent[0]) == F.col(parent[1]))
+    joined = asked.join(dictionary, F.col(parent[0]) == F.col(parent[1]))
     score = edit_score(F.col(word), F.col(entry))
     weight: Column = boosted_score(score) if weighting == "boosted" else exponential_score(score)
     if code:
         weight = weight * edit_score(F.col(code[0]).cast("string"), F.col(code[1]).cast("string"))
-    weighted = joined.withColumn("weight", weight)
-    total = F.sum("weight").over(Window.partitionBy(*keys))
-    prob = F.when(total > 0, F.col("weight") / F.when(total > 0, total)).otherwise(F.lit(0.0))
-    return weighted.select(*keys, entry, "weight", prob.alias("prob"))
+    weighted = joined.select(*keys, entry, score.alias("_score"), weight.alias("weight"))
+    is_far = F.lit(False) if near is None else F.col("_score") <= near
+    # added up before the shuffle; the rows themselves follow by a join, so no observation's entries meet in one task
+    totals = weighted.groupBy(*keys).agg(
+        F.sum("weight").alias("_total"),
+        F.sum(F.when(is_far, F.col("weight"))).alias("_rest"),
+        F.count(F.when(is_far, F.lit(1))).alias("_far"),
+    )
+    prob = lambda w: F.when(F.col("_total") > 0, w / F.when(F.col("_total") > 0, F.col("_total"))).otherwise(F.lit(0.0))
+    listed = weighted.filter(~is_far).join(totals, keys).select(*keys, entry, "weight", prob(F.col("weight")).alias("prob"))
+    if near is None:
+        return listed
+    nobody = F.lit(None).cast(dictionary.schema[entry].dataType).alias(entry)
+    rest = totals.filter("_far > 0").select(
+        *keys, nobody, F.col("_rest").alias("weight"), prob(F.col("_rest")).alias("prob"), F.col("_far").alias("entries")
+    )
+    return listed.withColumn("entries", F.lit(1).cast("long")).unionByName(rest)

@@ -291,20 +291,37 @@ def q25(spark, sf):
     return repair.candidates(suspects, p, "p_partkey", "p_type")
 
 
-@register(
-    "q56_dictionary_prior",
-    """WITH obs AS (SELECT DISTINCT p_brand, p_name FROM part), dict AS (SELECT DISTINCT p_brand, p_name AS entry FROM part),
+_DICTIONARY = """obs AS (SELECT DISTINCT p_brand, p_name FROM part), dict AS (SELECT DISTINCT p_brand, p_name AS entry FROM part),
     raw AS (SELECT p_brand, p_name, entry, p_name AS x, entry AS y, array_to_string(list_sort(string_split(p_name, ' ')), ' ') AS sx,
       array_to_string(list_sort(string_split(entry, ' ')), ' ') AS sy FROM obs JOIN dict USING (p_brand)),
     sc AS (SELECT p_brand, p_name, entry, greatest(1 - levenshtein(x, y) / greatest(length(x), length(y))::DOUBLE,
       1 - levenshtein(sx, sy) / greatest(length(sx), length(sy))::DOUBLE) AS s FROM raw),
-    w AS (SELECT *, CASE WHEN s > 0.5 THEN s * 5 ELSE s END AS weight FROM sc)
-    SELECT p_brand, p_name, entry, round(weight, 9) AS weight, round(weight / sum(weight) OVER (PARTITION BY p_brand, p_name), 9) AS prob FROM w""",
-)
-def q56(spark, sf):
+    w AS (SELECT *, CASE WHEN s > 0.5 THEN s * 5 ELSE s END AS weight FROM sc),
+    pr AS (SELECT *, weight / sum(weight) OVER (PARTITION BY p_brand, p_name) AS prob FROM w)"""
+
+
+def _dictionary_prior(spark, sf, near=None):
     p = table(spark, sf, "part")
     dictionary = p.select(F.col("p_name").alias("entry"), F.col("p_brand").alias("brand")).distinct()
-    return rounded(fuzzy.dictionary_prior(p, "p_name", dictionary, "entry", ("p_brand", "brand")), 9)
+    return rounded(fuzzy.dictionary_prior(p, "p_name", dictionary, "entry", ("p_brand", "brand"), near=near), 9)
+
+
+@register(
+    "q56_dictionary_prior",
+    f"WITH {_DICTIONARY} SELECT p_brand, p_name, entry, round(weight, 9) AS weight, round(prob, 9) AS prob FROM pr",
+)
+def q56(spark, sf):
+    return _dictionary_prior(spark, sf)
+
+
+@register(
+    "q56_dictionary_near",
+    f"""WITH {_DICTIONARY}
+    SELECT p_brand, p_name, entry, round(weight, 9) AS weight, round(prob, 9) AS prob, 1::BIGINT AS entries FROM pr WHERE s > 0.5
+    UNION ALL SELECT p_brand, p_name, NULL, round(sum(weight), 9), round(sum(prob), 9), count(*)::BIGINT FROM pr WHERE s <= 0.5 GROUP BY 1, 2""",
+)
+def q56b(spark, sf):
+    return _dictionary_prior(spark, sf, near=0.5)
 
 
 # Synthetic rows ------------------------------------------------------------------------------

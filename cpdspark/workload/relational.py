@@ -191,13 +191,14 @@ def q22(spark, sf):
 
 @register(
     "q23_fuzzy_join",
-    """SELECT w.word, t.listed, levenshtein(w.word, t.listed)::INTEGER AS distance
-    FROM (SELECT DISTINCT p_name AS word FROM part WHERE p_brand = 'Brand#1') w
-    JOIN (SELECT DISTINCT p_name AS listed FROM part WHERE p_brand <> 'Brand#1') t ON levenshtein(w.word, t.listed) <= 4""",
+    """SELECT t.listed AS word, w.word AS listed, levenshtein(w.word, t.listed)::INTEGER AS distance
+    FROM (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part) w
+    JOIN (SELECT DISTINCT lower(p_type) AS listed FROM part) t ON levenshtein(w.word, t.listed) <= 4""",
 )
 def q23(spark, sf):
     p = table(spark, sf, "part")
-    return fuzzy.nearest_words(p.filter("p_brand = 'Brand#1'"), "p_name", p.filter("p_brand <> 'Brand#1'").select("p_name"), 4)
+    listed = p.select(F.explode(F.split("p_name", " ")).alias("listed"))
+    return fuzzy.nearest_words(p.select(F.lower("p_type").alias("type")), "type", listed, 4)
 
 
 @register(

@@ -152,11 +152,12 @@ def test_scenarios(spark, tmp_path):
 
 def test_fuzzy_slices_find_all(spark):
     r = np.random.RandomState(7)
-    words = sorted({"".join(r.choice(list("ab"), r.randint(1, 9))) for _ in range(60)})
-    sdf = spark.createDataFrame([(w,) for w in words], "w string")
-    for d in (1, 2):
+    words = sorted({"".join(r.choice(list("ab"), r.randint(1, 9))) for _ in range(60)} | {"", "a", "bab", "abab", "aab" * 4})
+    sdf = spark.createDataFrame([(w,) for w in [*words, None, "a"]], "w string")
+    far = sdf.dropna().distinct()
+    far = far.crossJoin(far.toDF("l")).select("w", "l", F.levenshtein("w", "l").alias("d")).cache()
+    for d in (0, 1, 2, 4):
         got = {tuple(x) for x in fuzzy.nearest_words(sdf, "w", sdf, d).collect()}
-        far = sdf.crossJoin(sdf.toDF("l")).select("w", "l", F.levenshtein("w", "l").alias("d"))
         assert got == {tuple(x) for x in far.filter(F.col("d") <= d).collect()}
 
 

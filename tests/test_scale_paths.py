@@ -118,7 +118,11 @@ def test_roc_area(spark):
     assert abs(roc_auc(points).first()[0] - want) < 1e-12
 
 
-@pytest.mark.parametrize("name", ["q17_band_pairs", "q22_never_together", "q23_fuzzy_join", "q47_cpd_cat_unseen", "q11_relaxed_cpd", "q56_dictionary_prior"])
+_NO_PRODUCT = ["q17_band_pairs", "q22_never_together", "q23_fuzzy_join", "q23_words_within", "q47_cpd_cat_unseen", "q11_relaxed_cpd"]
+_NO_PRODUCT += ["q56_dictionary_prior", "q56_dictionary_near"]
+
+
+@pytest.mark.parametrize("name", _NO_PRODUCT)
 def test_no_product_of_tables(spark, name):
     from cpdspark.workload import registry
 
