@@ -16,6 +16,7 @@ from cpdspark.functions.rng import pick_index
 from cpdspark.operators.cumulative import chunks_for, rank_in, running_totals, totals_at
 
 NEVER, SEEN, ROW = "never", "seen", "row"
+WITHIN = "|"  # between the name of a table and that of an attribute
 
 
 @dataclass
@@ -48,12 +49,17 @@ def seen_values(pairs: DataFrame) -> Seen:
     return Seen(numbered, placed, sizes, chunks)
 
 
-def pairs_of(df: DataFrame, key: str, attrs: list[str]) -> DataFrame:
-    """Co-occurring values of several attributes with one key column, in long form."""
+def pairs_of(df: DataFrame, key: str, attrs: list[str], within: str | None = None) -> DataFrame:
+    """Co-occurring values of several attributes with one key column, in long form.
+
+    ``within`` names a column whose values are tables of their own: attributes are then called
+    ``<value>|<attribute>``, so that each of these tables has its own values and counts.
+    """
+    name = lambda a: F.lit(a) if within is None else F.concat_ws(WITHIN, within, F.lit(a))
     text = df.select(
         F.col(key).cast("string").alias("key"),
         F.explode(
-            F.array(*[F.struct(F.lit(a).alias("attr"), F.col(a).cast("string").alias("value")) for a in attrs])
+            F.array(*[F.struct(name(a).alias("attr"), F.col(a).cast("string").alias("value")) for a in attrs])
         ).alias("_c"),
     )
     long = text.select("key", F.col("_c.attr").alias("attr"), F.col("_c.value").alias("value"))

@@ -47,13 +47,14 @@ def register(name: str, sql: str | None = None):
 
 # Injection -----------------------------------------------------------------------------------
 
-_COLS = ["p_partkey", "p_brand", "p_type", "p_name", "p_size"]
-_ATTRS = ["p_type", "p_name", "p_size"]
+_COLS = ["p_partkey", "p_brand", "p_type", "p_name", "p_size", "p_retailprice"]
+_ATTRS = ["p_type", "p_name", "p_size", "p_retailprice"]
+_TYPES = {"p_size": "INTEGER", "p_retailprice": "DOUBLE"}
 
 
-def _sql_values(pivot: str, attrs: list[str]) -> str:
+def _sql_values(pivot: str, attrs: list[str], part: str = "part") -> str:
     """CTEs with everything that can be drawn: never, seen and per-row values by number."""
-    long = " UNION ALL ".join(f"SELECT {pivot} AS key, '{a}' AS attr, CAST({a} AS VARCHAR) AS value FROM part" for a in attrs)
+    long = " UNION ALL ".join(f"SELECT {pivot} AS key, '{a}' AS attr, CAST({a} AS VARCHAR) AS value FROM {part}" for a in attrs)
     num_ = "row_number() OVER (PARTITION BY attr, key ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY attr, key) AS sz"
     return f"""long AS ({long}), pairs AS (SELECT DISTINCT attr, key, value FROM long),
     dom AS (SELECT DISTINCT attr, value FROM long), keys AS (SELECT DISTINCT key FROM long),
@@ -62,12 +63,22 @@ def _sql_values(pivot: str, attrs: list[str]) -> str:
     seen AS (SELECT attr, key, value, {num_} FROM pairs), byrow AS (SELECT attr, key, value, {num_} FROM long)"""
 
 
-def _sql_injected(seed: int, p: float, force: str, attrs: list[str] = _ATTRS, share: float = 0.05) -> str:
+def _sql_injected(
+    seed: int,
+    p: float,
+    force: str,
+    attrs: list[str] = _ATTRS,
+    share: float = 0.05,
+    columns: list[str] = _COLS,
+    size: int | None = None,
+    shift: dict[str, float] = {},
+) -> str:
     free = [f"EXISTS (SELECT 1 FROM never v WHERE v.key = c.p_brand AND v.attr = '{a}')" for a in attrs]
     flips = [f"(f{i} AND {sql_unit(seed, chr(39) + 'flip' + chr(39), chr(39) + a + chr(39), 'draw')} < {p})" for i, a in enumerate(attrs)]
+    any_free = " OR ".join(f"f{i}" for i in range(len(attrs)))
     none = "NOT (" + " OR ".join(flips) + ")"
-    size = "(" + " + ".join(f"f{i}::INTEGER" for i in range(len(attrs))) + ")"
-    forced = sql_index(sql_unit(seed, "'forced'", "draw"), size) if force == "random" else f"{size} - 1"
+    n_free = "(" + " + ".join(f"f{i}::INTEGER" for i in range(len(attrs))) + ")"
+    forced = sql_index(sql_unit(seed, "'forced'", "draw"), n_free) if force == "random" else f"{n_free} - 1"
     before = [" + ".join(["0", *(f"f{k}::INTEGER" for k in range(i))]) for i in range(len(attrs))]
     cells = " UNION ALL ".join(
         f"SELECT draw, p_brand AS key, '{a}' AS attr FROM copies WHERE {flips[i]} OR ({none} AND f{i} AND {forced} = {before[i]})"
@@ -75,21 +86,22 @@ def _sql_injected(seed: int, p: float, force: str, attrs: list[str] = _ATTRS, sh
     )
     pick = sql_index(sql_unit(seed, "'value'", "c.attr", "c.draw"), "n.sz")
     new = ", ".join(f"max(value) FILTER (attr = '{a}') AS new_{a}" for a in attrs)
-    cols = ", ".join(
-        f"CAST(coalesce({'new_' + a if a in attrs else 'NULL'}, CAST({a} AS VARCHAR)) AS "
-        f"{'INTEGER' if a == 'p_size' else 'VARCHAR'}) AS {a}"
-        for a in _ATTRS
-    )
-    return f"""WITH {_sql_values('p_brand', attrs)},
-    ranked AS (SELECT *, row_number() OVER (ORDER BY p_partkey) - 1 AS rank, count(*) OVER () AS total FROM part),
-    drawn_rows AS (SELECT t.draw, r.* FROM range(CAST((SELECT ceil({share}::DOUBLE * count(*)) FROM part) AS BIGINT)) t(draw) JOIN ranked r
+    kind = lambda a: _TYPES.get(a, "VARCHAR")
+    plus = lambda a: f" + {shift[a]}::DOUBLE" if a in shift else ""
+    fresh = lambda a: f"coalesce(CAST(new_{a} AS {kind(a)}){plus(a)}, {a})" if a in attrs else a
+    cols = ", ".join(f"{fresh(a)} AS {a}" for a in columns[2:])
+    own = "SELECT * FROM part" if size is None else f"SELECT * FROM part ORDER BY {sql_unit(seed, chr(39) + 'size' + chr(39), 'p_partkey')}, p_partkey LIMIT {size}"
+    return f"""WITH own AS ({own}), {_sql_values('p_brand', attrs, 'own')},
+    base AS (SELECT c.*, {", ".join(f"{x} AS f{i}" for i, x in enumerate(free))} FROM own c),
+    ranked AS (SELECT *, row_number() OVER (ORDER BY p_partkey) - 1 AS rank, count(*) OVER () AS total FROM base
+      WHERE {any_free} OR NOT EXISTS (SELECT 1 FROM base WHERE {any_free})),
+    copies AS (SELECT t.draw, r.* FROM range(CAST((SELECT ceil({share}::DOUBLE * count(*)) FROM own) AS BIGINT)) t(draw) JOIN ranked r
       ON r.rank = {sql_index(sql_unit(seed, "'row'", 't.draw'), 'r.total')}),
-    copies AS (SELECT * FROM (SELECT c.*, {", ".join(f"{x} AS f{i}" for i, x in enumerate(free))} FROM drawn_rows c) WHERE {" OR ".join(f"f{i}" for i in range(len(attrs)))}),
     cells AS ({cells}),
     drawn AS (SELECT c.draw, c.attr, n.value FROM cells c JOIN never n ON n.attr = c.attr AND n.key = c.key AND n.i = {pick}),
     wide AS (SELECT draw, {new} FROM drawn GROUP BY draw)
-    SELECT p_partkey, p_brand, p_type, p_name, p_size, 0 AS negative_sample FROM part
-    UNION ALL SELECT -draw - 1, p_brand, {cols}, 1 FROM copies LEFT JOIN wide USING (draw)"""
+    SELECT {", ".join(columns)}, 0 AS negative_sample FROM own
+    UNION ALL SELECT -draw - 1, p_brand, {cols}, ({any_free})::INTEGER FROM copies LEFT JOIN wide USING (draw)"""
 
 
 @register("q69_inject", _sql_injected(7, 0.2, "random"))
@@ -104,6 +116,16 @@ def q70(spark, sf):
     return inject.inject_errors(p, "p_partkey", "p_brand", _ATTRS, 0.2, 8, share=0.05, force="last")
 
 
+_SATURATED = ["p_type", "p_size"]
+
+
+@register("q69_inject_saturated", _sql_injected(7, 0.2, "random", _SATURATED))
+def q69b(spark, sf):
+    """Attributes of which, in a large table, every value occurs with every brand: copies stay unharmed."""
+    p = table(spark, sf, "part").select(*_COLS)
+    return inject.inject_errors(p, "p_partkey", "p_brand", _SATURATED, 0.2, 7, share=0.05)
+
+
 def _sql_per_pivot(seed: int, n: int, modes: dict[str, str], label: str) -> str:
     """Bad rows per brand; ``modes`` gives per attribute an SQL expression never/seen/row."""
     cells = " UNION ALL ".join(
@@ -199,29 +221,53 @@ def q73_halving(spark, sf):
     return out.select("p_partkey", "dirty", "n_typos")
 
 
+_GRID = [(size, k, p) for size in (None, 500, 1500) for k in (0.01, 0.05) for p in (0.2, 1.0)]
+
+
+def _scenario(size, k, p):
+    return f"k={k},p={p}" if size is None else f"s={size},k={k},p={p}"
+
+
 @register(
     "q76_scenarios",
     " UNION ALL ".join(
-        f"SELECT *, 'k={k},p={p}' AS scenario FROM ({_sql_injected(14, p, 'random', ['p_name', 'p_size'], k)})"
-        for k in (0.01, 0.05)
-        for p in (0.2, 1.0)
+        f"SELECT *, '{_scenario(size, k, p)}' AS scenario FROM ({_sql_injected(14, p, 'random', ['p_name', 'p_size'], k, size=size)})"
+        for size, k, p in _GRID
     ),
 )
 def q76(spark, sf):
     p = table(spark, sf, "part").select(*_COLS)
-    return inject.scenarios(p, "p_partkey", "p_brand", ["p_name", "p_size"], [0.01, 0.05], [0.2, 1.0], 14)
+    grid = [inject.Setting(_scenario(size, k, share), share, share=k, size=size) for size, k, share in _GRID]
+    return inject.inject_grid(p, "p_partkey", "p_brand", ["p_name", "p_size"], grid, 14)
 
 
 _E2E = ModelSpec((uniform("p_brand"), cat("p_type", "p_brand"), cat("p_size", "p_brand"), num("p_retailprice", "p_type")))
 
 
-@register("q34_injected_precision")
+_E2E_COLS = ["p_partkey", "p_brand", "p_type", "p_size", "p_retailprice"]
+_E2E_ATTRS, _E2E_SHIFT = ["p_type", "p_size", "p_retailprice"], {"p_retailprice": 500.0}
+
+
+@register(
+    "q34_injected_precision",
+    f"""WITH t AS MATERIALIZED ({_sql_injected(15, 0.5, "random", _E2E_ATTRS, columns=_E2E_COLS, shift=_E2E_SHIFT)}),
+    c AS (SELECT *, count(*) OVER (PARTITION BY p_brand) AS nb, count(*) OVER (PARTITION BY p_brand, p_type) AS nt,
+      count(*) OVER (PARTITION BY p_brand, p_size) AS ns, count(*) OVER (PARTITION BY p_type) AS k,
+      avg(p_retailprice) OVER (PARTITION BY p_type) AS m, stddev_samp(p_retailprice) OVER (PARTITION BY p_type) AS s FROM t),
+    u AS (SELECT p_brand, count(DISTINCT p_type) AS ut, count(DISTINCT p_size) AS us FROM t GROUP BY 1),
+    d AS (SELECT count(DISTINCT p_brand) AS db, count(DISTINCT p_type) AS dt, count(DISTINCT p_size) AS ds,
+      avg(p_retailprice) AS gm, stddev_samp(p_retailprice) AS gs FROM t),
+    sc AS (SELECT p_partkey, negative_sample, -ln(db) + {sql_smoothed('nt', 'nb', 'ut', 'dt')} + {sql_smoothed('ns', 'nb', 'us', 'ds')} +
+      {sql_normal('p_retailprice', 'CASE WHEN k <= 1 THEN gm ELSE m END', 'CASE WHEN k <= 1 THEN gs ELSE s END')} AS score
+      FROM c JOIN u USING (p_brand), d),
+    n AS (SELECT sum(negative_sample) AS k FROM t),
+    top AS (SELECT negative_sample FROM sc ORDER BY round(score, 9), p_partkey LIMIT (SELECT k FROM n))
+    SELECT (SELECT k FROM n)::BIGINT AS k, round(avg(negative_sample), 9) AS precision, round(sum(negative_sample) / (SELECT k FROM n), 9) AS recall FROM top""",
+)
 def q34_injected(spark, sf):
-    cols = ["p_partkey", "p_brand", "p_type", "p_size", "p_retailprice"]
-    p = table(spark, sf, "part").select(*cols)
-    attrs, shift = ["p_type", "p_size", "p_retailprice"], {"p_retailprice": 500.0}
-    bad = inject.inject_errors(p, "p_partkey", "p_brand", attrs, 0.5, 15, share=0.05, shift=shift)
-    scored = score(bad, _E2E, "p_partkey", keep=["negative_sample"])
+    p = table(spark, sf, "part").select(*_E2E_COLS)
+    bad = inject.inject_errors(p, "p_partkey", "p_brand", _E2E_ATTRS, 0.5, 15, share=0.05, shift=_E2E_SHIFT)
+    scored = rounded(score(bad, _E2E, "p_partkey", keep=["negative_sample"]), 9)
     return rounded(metrics.precision_at_k(scored, "negative_sample", "p_partkey"), 9)
 
 

@@ -150,6 +150,29 @@ def test_scenarios(spark, tmp_path):
     assert {r[0]: r[1] for r in sized.groupBy("scenario").count().collect()} == {"s=20,k=0.1,p=0.5": 22, "s=50,k=0.1,p=0.5": 55}
 
 
+def test_grid_is_one_plan(spark):
+    """Each scenario equals its own injection, and more cells take no more jobs."""
+    sdf = spark.createDataFrame(make(120)[["id", "city", "state", "year"]]).repartition(3)
+    shares, ps = [0.05, 0.2], [0.1, 0.6, 1.0]
+
+    def jobs(group, run):
+        spark.sparkContext.setJobGroup(group, group)
+        rows = run().collect()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return rows, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    one, few = jobs("one-cell", lambda: inject.scenarios(sdf, "id", "city", ["state", "year"], shares[:1], ps[:1], 3, sizes=[50]))
+    out, many = jobs("all-cells", lambda: inject.scenarios(sdf, "id", "city", ["state", "year"], shares, ps, 3, sizes=[50, 90, None]))
+    assert many <= few + 2  # the rows of a size that differ at most in how a broadcast is made
+    for k in shares:
+        for p in ps:
+            alone = inject.inject_errors(sdf, "id", "city", ["state", "year"], p, 3, share=k)
+            assert sorted(map(tuple, alone.collect())) == sorted(tuple(r)[:-1] for r in out if r.scenario == f"k={k},p={p}")
+    small = {r.id for r in out if r.scenario.startswith("s=50") and r.id >= 0}
+    assert len(small) == 50 and small < {r.id for r in out if r.scenario.startswith("s=90")}
+    assert sorted(map(tuple, one)) == sorted(tuple(r) for r in out if r.scenario == "s=50,k=0.05,p=0.1")
+
+
 def test_fuzzy_slices_find_all(spark):
     r = np.random.RandomState(7)
     words = sorted({"".join(r.choice(list("ab"), r.randint(1, 9))) for _ in range(60)} | {"", "a", "bab", "abab", "aab" * 4})
