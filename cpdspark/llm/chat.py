@@ -86,18 +86,22 @@ def cut_out(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, (start + 1).cast("int"), (end - start).cast("int"))
 
 
-def expand(laid_out: DataFrame) -> DataFrame:
+def expand(laid_out: DataFrame, outer: bool = False) -> DataFrame:
     """One row per example: ``conv_id, turn_no, context, target``; text of the template, still escaped.
 
-    ``context + target`` is what a model reads, and the loss mask is the target alone.
+    ``context + target`` is what a model reads, and the loss mask is the target alone. Further columns of the
+    layouts are repeated. With ``outer``, a conversation without an example gives one row, without a turn.
     """
-    each = laid_out.select("conv_id", "formatted", F.explode("examples").alias("e"))
-    start, end = F.col("e.target_start"), F.col("e.target_end")
+    more = [c for c in laid_out.columns if c not in ("conv_id", "formatted", "examples")]
+    one_each = F.explode_outer if outer else F.explode
+    each = laid_out.select("conv_id", "formatted", *more, one_each("examples").alias("_example"))
+    start, end = F.col("_example.target_start"), F.col("_example.target_end")
     return each.select(
         "conv_id",
-        F.col("e.turn_no").alias("turn_no"),
+        F.col("_example.turn_no").alias("turn_no"),
         cut_out(F.col("formatted"), F.lit(0), start).alias("context"),
         cut_out(F.col("formatted"), start, end).alias("target"),
+        *more,
     )
 
 
@@ -114,27 +118,30 @@ def turns_of(formatted: Column) -> Column:
 
 
 def digest(laid_out: DataFrame) -> DataFrame:
-    """What a layout holds, read back from it: turns, and the text under the loss masks of its examples."""
-    read = laid_out.select(
+    """What the output holds, read back from it: turns from the layouts, the loss from the rows of ``expand``.
+
+    Examples of a conversation are where their layout is, so putting them together again takes no shuffle.
+    """
+    said = F.transform(turns_of(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    read = laid_out.withColumn("_said", said)
+    read = read.select(
         "conv_id",
+        "formatted",
+        "examples",
+        F.size("_said").cast("long").alias("n_turns"),
+        F.sha2(F.array_join("_said", ""), 256).alias("turns_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
-        F.size("examples").cast("long").alias("n_examples"),
-        turns_of(F.col("formatted")).alias("_turns"),
-        F.array_join(
-            F.transform(
-                "examples",
-                lambda e: unescape(cut_out(F.col("formatted"), e["target_start"], e["target_end"])),
-            ),
-            "",
-        ).alias("_loss"),
     )
-    said = F.transform("_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    return read.select(
+    own = ["conv_id", "n_turns", "turns_sha256", "formatted_chars"]
+    example = F.when(F.col("turn_no").isNotNull(), F.struct("turn_no", unescape(F.col("target")).alias("target")))
+    examples = expand(read, outer=True).groupBy(*own).agg(F.array_sort(F.collect_list(example)).alias("_examples"))
+    loss = F.array_join(F.transform("_examples", lambda e: e["target"]), "")
+    return examples.withColumn("_loss", loss).select(
         "conv_id",
-        F.size("_turns").cast("long").alias("n_turns"),
-        F.sha2(F.array_join(said, ""), 256).alias("turns_sha256"),
+        "n_turns",
+        "turns_sha256",
         F.length("_loss").cast("long").alias("loss_chars"),
         F.sha2("_loss", 256).alias("loss_sha256"),
         "formatted_chars",
-        "n_examples",
+        F.size("_examples").cast("long").alias("n_examples"),
     )

@@ -181,7 +181,7 @@ def _evidence(rows: DataFrame) -> DataFrame:
     number = _is(order, "number")
     dated = number & match.rlike(_DATED)
     full_name = _is(order, "person") & match.rlike(_FULL_NAME)
-    grouped = (_is(order, *FIXED) | _is(order, "account", "spelled") | full_name | (number & match.rlike(_GROUPED))) & ~dated
+    grouped = (_is(order, *FIXED) | _is(order, "spelled") | full_name | (number & match.rlike(_GROUPED))) & ~dated
     sums = F.when(_is(order, "card"), F.lit(1)).when(_is(order, "account"), F.when(_mod97(match), 1).otherwise(-1)).otherwise(0)
     plain = (
         (_is(order, "email", "spelled") & match.rlike(rf"(?i)[.\])}}]\x20?(?:{_either(TOP_LEVEL_DOMAINS)})$"))
@@ -243,9 +243,10 @@ def candidates(documents: DataFrame) -> DataFrame:
     )
     # the first piece of each row's kind, or the only row of a text without any, keeps the row in the result
     seen = _evidence(placed.filter(F.col("valid") | (F.coalesce("i", F.lit(0)) == 0)))
-    in_row = Window.partitionBy("_row").orderBy(F.col("start").asc_nulls_first(), F.col("order").asc_nulls_first(), "end")
-    ends = F.max(F.when(F.col("fixed"), F.col("end"))).over(in_row.rowsBetween(Window.unboundedPreceding, -1))
-    starts = F.min(F.when(F.col("fixed"), F.col("start"))).over(in_row.rowsBetween(1, Window.unboundedFollowing))
+    place = F.struct("start", "order", "end")
+    passed = lambda by: Window.partitionBy("_row").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    ends = F.max(F.when(F.col("fixed"), F.col("end"))).over(passed(place.asc()))
+    starts = F.min(F.when(F.col("fixed"), F.col("start"))).over(passed(place.desc()))  # of those behind; a frame that grows costs a step a row
     free = ~(F.coalesce(ends, F.lit(-1)) > F.col("start")) & ~(F.coalesce(starts, F.col("end")) < F.col("end"))
     span = F.struct("start", "order", "end", "fixed", free.alias("free"), "votes", "bits")
     listed = seen.select("_row", "doc_id", F.when(F.col("order").isNotNull(), span).alias("s"))

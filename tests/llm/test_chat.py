@@ -36,5 +36,18 @@ def test_examples_hold_all_turns_before_and_one_reply(spark):
     assert [tuple(r) for r in got] == [(1, 2, first, "b~0"), (1, 4, second, "d")]
 
 
+def test_digest_reads_the_examples(spark):
+    """The loss comes out of the rows of ``expand``; putting them together takes no shuffle of its own."""
+    df = chat.digest(chat.layout(spark.createDataFrame([(1, 0, "assistant", "a", "")], SCHEMA)))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode(examples" in plan and plan.count("Exchange") == 1
+
+
+def test_outer_expand_keeps_conversations_without_reply(spark):
+    rows = [(1, 0, "user", "a", ""), (2, 0, "assistant", "b", "")]
+    got = sorted(chat.expand(chat.layout(spark.createDataFrame(rows, SCHEMA)), outer=True).select("conv_id", "turn_no", "target").collect())
+    assert [tuple(r) for r in got] == [(1, None, None), (2, 1, "b")]
+
+
 def test_empty_table(spark):
     assert chat.digest(chat.layout(spark.createDataFrame([], SCHEMA))).collect() == []
