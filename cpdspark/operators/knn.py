@@ -1,10 +1,21 @@
 """Exact nearest neighbours by cosine distance, in bounded blocks.
 
-Queries and candidates of one block (equal hard attributes, neighbouring band buckets) are cut
-into chunks of fixed size. Each pair of chunks is one small numpy task that returns only the
-nearest rows of every query; no list of all pairs exists. Results of the chunks are merged by a
+Two indexes keep queries from meeting every candidate:
+
+* Values of one attribute lie in cells around pivots, by angle. Angles obey the triangle inequality, so a
+  cell whose ring of angles is too far from a query's angle to its pivot cannot hold a nearer value. A query
+  first asks the cells that may be nearest, until they hold enough values, then all that the bound leaves.
+* Rows with several attributes are found by a threshold search in rounds. A round brings each query together
+  with the candidates that have one of the ``depth`` nearest values in some attribute. What it has not met
+  is at least as far as the sum of the next values' distances, so a query whose farthest neighbour
+  is nearer than that is done; the others look four times as deep.
+
+Queries and candidates that do meet (in a cell, or by a value within equal hard attributes and
+neighbouring band buckets) are cut into chunks of fixed size. Each pair of chunks is one small numpy task that
+returns only the nearest rows of every query; no list of all pairs exists. Results of the chunks are merged by a
 ranked window. Distances are rounded to 12 digits, and ties go to the smaller id, so that the
-result does not depend on how the work was cut.
+result does not depend on how the work was cut. The cosine of concatenated vectors has no such bound by attribute;
+there all chunks of a block are compared.
 """
 
 from __future__ import annotations
@@ -15,10 +26,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from cpdspark.functions.lineage import cut
+
 QUERY_CHUNK = 2048
 CANDIDATE_CHUNK = 8192
 _SLICE_CELLS = 2_000_000
 _ROUND = 12
+CELL = 512  # values of a cell, about
+MAX_PIVOTS = 4096  # of an attribute; with vectors of 100 numbers these are 3 MB
+FIRST_DEPTH, DEEPER = 2, 4
+_MARGIN = 1e-6  # of angles, above the error of an arc cosine
 
 
 def vector_column(attr: str) -> str:
@@ -78,25 +95,85 @@ def nearest(
         q = q.withColumn("_bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
         c = c.withColumn("_bucket", bucket)
         keys.append("_bucket")
+    how = (attrs, pos, radius, exclude_equal, concatenated, list(payload))
+    found = _compared(q, c, keys, *how) if concatenated or not attrs else _in_rounds(q, c, keys, *how)
+    return _best(found).drop("_need")
+
+
+def _best(found: DataFrame) -> DataFrame:
+    """The nearest of each query with their rank; a pair that was found twice counts once."""
+    rank = F.dense_rank().over(Window.partitionBy("qid").orderBy("dist", "cid"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= F.col("_need")).dropDuplicates(["qid", "rank"])
+
+
+def _compared(
+    q: DataFrame,
+    c: DataFrame,
+    keys: list[str],
+    attrs: list[str],
+    pos: str | None,
+    radius: int,
+    exclude_equal: bool,
+    concatenated: bool,
+    payload: list[str],
+) -> DataFrame:
+    """All pairs with equal keys, of which each query's nearest in each chunk: ``qid, cid, dist, _need`` and payload."""
     q, c, group = _chunked(q, c, keys)
-    id_type = candidates.schema["cid"].dataType
-    q_type = queries.schema["qid"].dataType
     schema = T.StructType(
-        [T.StructField("qid", q_type), T.StructField("cid", id_type), T.StructField("dist", T.DoubleType())]
-        + [T.StructField("_need", T.LongType())]
-        + [candidates.schema[p] for p in payload]
+        [T.StructField("qid", q.schema["qid"].dataType), T.StructField("cid", c.schema["cid"].dataType)]
+        + [T.StructField("dist", T.DoubleType()), T.StructField("_need", T.LongType())]
+        + [c.schema[p] for p in payload]
     )
 
     def task(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        parts = list(
-            _nearest_in_chunk(left, right, attrs, pos, radius, exclude_equal, concatenated, list(payload))
-        )
+        parts = list(_nearest_in_chunk(left, right, attrs, pos, radius, exclude_equal, concatenated, payload))
         return pd.concat(parts) if parts else pd.DataFrame({f.name: [] for f in schema})
 
-    partial = q.groupBy(*group).cogroup(c.groupBy(*group)).applyInPandas(task, schema)
-    order = Window.partitionBy("qid").orderBy("dist", "cid")
-    ranked = partial.withColumn("rank", F.row_number().over(order))
-    return ranked.filter(F.col("rank") <= F.col("_need")).drop("_need")
+    return q.groupBy(*group).cogroup(c.groupBy(*group)).applyInPandas(task, schema)
+
+
+def _pairs_of_attrs(df: DataFrame, attrs: list[str]) -> Column:
+    each = [
+        F.struct(F.lit(i).alias("i"), F.lit(a).alias("attr"), F.col(a).cast("string").alias("value"), F.col(vector_column(a)).alias("vec"))
+        for i, a in enumerate(attrs)
+    ]
+    return F.array(*each)
+
+
+def _values_of(df: DataFrame, attrs: list[str]) -> DataFrame:
+    """``attr, value, vec``: the distinct values of the attributes."""
+    long = df.select(F.explode(_pairs_of_attrs(df, attrs)).alias("v"))
+    return long.groupBy("v.attr", "v.value").agg(F.first("v.vec").alias("vec"))
+
+
+def _in_rounds(q: DataFrame, c: DataFrame, keys: list[str], attrs: list[str], *how) -> DataFrame:
+    q, c = cut(q), cut(c)
+    asked, listed = cut(_values_of(q, attrs)), cut(_values_of(c, attrs))
+    by_value = c.withColumn("_v", F.explode(_pairs_of_attrs(c, attrs)))
+    by_value = by_value.select(*c.columns, F.col("_v.attr").alias("_attr"), F.col("_v.value").alias("_near"))
+    found, undone, before, depth = None, q, 0, FIRST_DEPTH
+    while True:
+        lists = cut(nearest_values(asked, listed, depth + 1))
+        near = lists.filter((F.col("rank") > before) & (F.col("rank") <= depth))
+        near = near.select(F.col("attr").alias("_attr"), F.col("value").alias("_value"), F.col("neighbour").alias("_near"))
+        each = undone.withColumn("_v", F.explode(_pairs_of_attrs(undone, attrs)))
+        each = each.select(*undone.columns, F.col("_v.i").alias("_i"), F.col("_v.attr").alias("_attr"), F.col("_v.value").alias("_value"))
+        meeting = each.join(near, ["_attr", "_value"]).select(*undone.columns, "_attr", "_near")
+        new = _compared(meeting, by_value, [*keys, "_attr", "_near"], attrs, *how)
+        found = cut(_best(new if found is None else new.unionByName(found)).drop("rank"))
+
+        ends = lists.filter(F.col("rank") == depth + 1).select(F.col("attr").alias("_attr"), F.col("value").alias("_value"), F.col("dist").alias("_end"))
+        ordered = F.array_sort(F.collect_set(F.struct("_i", "_end")))  # a query may be in several buckets
+        bounds = each.join(ends, ["_attr", "_value"], "left").groupBy("qid").agg(
+            F.max(F.col("_end").isNull()).alias("_all_met"), F.aggregate(ordered, F.lit(0.0), lambda total, x: total + x["_end"]).alias("_unmet")
+        )
+        worst = found.groupBy("qid").agg(F.count(F.lit(1)).alias("_n"), F.max("dist").alias("_worst"))
+        state = undone.join(bounds, "qid").join(worst, "qid", "left")
+        lacking = F.coalesce(F.col("_n") < F.col("_need"), F.lit(True)) | (F.col("_worst") >= F.col("_unmet"))
+        undone = cut(state.filter(~F.col("_all_met") & lacking & (F.col("_need") > 0)).select(*q.columns))
+        if undone.isEmpty():
+            return found
+        before, depth = depth, depth * DEEPER
 
 
 def _chunked(q: DataFrame, c: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -232,18 +309,109 @@ def _first_index(values: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return codes, first
 
 
+class _Pivots:
+    """Pivots of an attribute, and what is known of the cells around them."""
+
+    def __init__(self, vectors: np.ndarray):
+        self.vectors = vectors
+        self.least, self.greatest = np.full(len(vectors), np.inf), np.full(len(vectors), -np.inf)
+        self.n, self.zeros = np.zeros(len(vectors), np.int64), 0
+
+    def angles(self, vectors: np.ndarray) -> np.ndarray:
+        return np.arccos(np.clip(1.0 - _cosine(vectors, self.vectors), -1.0, 1.0))
+
+    def bounds(self, vector: np.ndarray) -> np.ndarray:
+        """Least angle that a value of each cell can have to a vector; infinite for empty cells."""
+        if not vector.any():
+            return np.where(self.n > 0, 0.0, np.inf)
+        at = self.angles(vector[None, :])[0]
+        return np.where(self.n > 0, np.maximum(0.0, np.maximum(at - self.greatest, self.least - at)), np.inf)
+
+
+ZEROS = -1  # the cell of vectors without a direction, which every query asks
+
+
+def _pivots(values: DataFrame) -> dict[str, _Pivots]:
+    """Some values of each attribute, by a hash: one of ``CELL``, and ``MAX_PIVOTS`` at most in expectation."""
+    hashed = values.withColumn("_h", F.pmod(F.xxhash64("attr", "value"), F.lit(1 << 40)))
+    hashed = hashed.filter(F.exists("vec", lambda x: x != 0.0))
+    sizes = hashed.groupBy("attr").agg(F.count(F.lit(1)).alias("_n"), F.min("_h").alias("_first"))
+    share = F.least(F.lit(1.0) / CELL, F.lit(float(MAX_PIVOTS)) / F.col("_n"))
+    chosen = hashed.join(sizes, "attr").filter((F.col("_h") < share * float(1 << 40)) | (F.col("_h") == F.col("_first")))
+    rows = chosen.select("attr", "value", "vec").orderBy("attr", "value").collect()
+    return {a: _Pivots(np.array([r.vec for r in rows if r.attr == a], float)) for a in {r.attr for r in rows}}
+
+
+def nearest_values(asked: DataFrame, values: DataFrame, k: int, exclude_equal: bool = False) -> DataFrame:
+    """The k nearest ``values`` of the same attribute for every asked value: ``attr, value, neighbour, dist, rank``.
+
+    Both tables are distinct (attr, value, vec).
+    """
+    pivots = _pivots(values)
+
+    @F.pandas_udf("struct<cell:int,angle:double>")
+    def placed(attr: pd.Series, vec: pd.Series) -> pd.DataFrame:
+        cell, angle = np.full(len(vec), ZEROS), np.zeros(len(vec))
+        for a in attr.unique():
+            own = np.flatnonzero(attr.to_numpy() == a)
+            vectors = np.stack(vec.to_numpy()[own]).astype(float)
+            own, vectors = own[vectors.any(axis=1)], vectors[vectors.any(axis=1)]
+            for i in range(0, len(own), 256):
+                angles = pivots[a].angles(vectors[i : i + 256])
+                cell[own[i : i + 256]], angle[own[i : i + 256]] = angles.argmin(axis=1), angles.min(axis=1)
+        return pd.DataFrame({"cell": cell, "angle": angle})
+
+    v = vector_column("value")
+    in_cells = cut(values.withColumn("_p", placed("attr", "vec")).select("attr", "value", "vec", F.col("_p.cell").alias("_cell"), "_p.angle"))
+    rings = in_cells.groupBy("attr", "_cell").agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.count(F.lit(1)).alias("n"))
+    for r in rings.collect():  # a row for each pivot
+        if r["_cell"] == ZEROS:
+            pivots.setdefault(r.attr, _Pivots(np.zeros((0, 1)))).zeros = r.n
+        else:
+            p = pivots[r.attr]
+            p.least[r["_cell"]], p.greatest[r["_cell"]], p.n[r["_cell"]] = r.low - _MARGIN, r.high + _MARGIN, r.n
+
+    wanted = k + exclude_equal
+
+    def first_cells(p: _Pivots, bounds: np.ndarray) -> list[int]:
+        order = np.argsort(bounds, kind="stable")
+        enough = int(np.searchsorted(np.cumsum(p.n[order]) + p.zeros, wanted)) + 1
+        return [int(x) for x in order[:enough] if bounds[x] < np.inf] + [ZEROS] * (p.zeros > 0)
+
+    @F.pandas_udf("array<int>")
+    def cells_at_first(attr: pd.Series, vec: pd.Series) -> pd.Series:
+        known = [pivots.get(a) for a in attr]
+        return pd.Series([first_cells(p, p.bounds(np.asarray(x, float))) if p else [] for p, x in zip(known, vec)], dtype=object)
+
+    @F.pandas_udf("array<int>")
+    def cells_left(attr: pd.Series, vec: pd.Series, worst: pd.Series) -> pd.Series:
+        out = []
+        for a, x, d in zip(attr, vec, worst):
+            if a not in pivots:
+                out.append([])
+                continue
+            bounds = pivots[a].bounds(np.asarray(x, float))
+            reach = np.inf if np.isnan(d) else np.arccos(np.clip(1.0 - d, -1.0, 1.0)) + _MARGIN
+            done = set(first_cells(pivots[a], bounds))
+            out.append([int(i) for i in np.flatnonzero((bounds <= reach) & (bounds < np.inf)) if i not in done])
+        return pd.Series(out, dtype=object)
+
+    q = asked.select(F.to_json(F.struct("attr", "value")).alias("qid"), "attr", "value", F.col("vec").alias(v), F.lit(k).cast("long").alias("_need"))
+    c = in_cells.select(F.col("value").alias("cid"), "attr", "value", F.col("vec").alias(v), "_cell")
+    how = (["attr", "_cell"], ["value"], None, 0, exclude_equal, False, [])
+    near = cut(_best(_compared(q.withColumn("_cell", F.explode(cells_at_first("attr", v))), c, *how)).drop("rank"))
+    worst = near.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.max("dist")).alias("_worst"))
+    more = q.join(worst, "qid", "left").withColumn("_cell", F.explode(cells_left("attr", v, F.col("_worst"))))
+    found = _best(near.unionByName(_compared(more.drop("_worst"), c, *how)))
+    key = F.from_json("qid", "attr string, value string")
+    return found.select(key["attr"].alias("attr"), key["value"].alias("value"), F.col("cid").alias("neighbour"), "dist", "rank")
+
+
 def value_neighbours(values: DataFrame, k: int, sources: DataFrame | None = None) -> DataFrame:
     """k nearest other values of the same attribute: ``attr, value, neighbour, dist, rank``.
 
     ``values`` is (attr, value, vec); ``sources`` may restrict whose neighbours are wanted.
     """
-    v = vector_column("value")
-    side = values.select("attr", "value", F.col("vec").alias(v))
+    side = values.select("attr", "value", "vec")
     asked = side if sources is None else side.join(sources.select("attr", "value").distinct(), ["attr", "value"])
-    q = asked.withColumn("qid", F.to_json(F.struct("attr", "value")))
-    c = side.withColumn("cid", F.col("value"))
-    found = nearest(q, c, ["value"], block=["attr"], k=k)
-    key = F.from_json("qid", "attr string, value string")
-    return found.select(
-        key["attr"].alias("attr"), key["value"].alias("value"), F.col("cid").alias("neighbour"), "dist", "rank"
-    )
+    return nearest_values(asked, side, k, exclude_equal=True)

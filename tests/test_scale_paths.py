@@ -97,6 +97,71 @@ def test_missing_vector(spark):
         knn.with_vectors(df, values, ["a"]).collect()
 
 
+def _count_pairs(monkeypatch):
+    """Pairs that the comparing tasks get, added up over all comparisons."""
+    total, plain = [0], knn._chunked
+
+    def counting(q, c, keys):
+        if keys:
+            sizes = q.groupBy(*keys).agg(F.count("*").alias("n")).join(c.groupBy(*keys).agg(F.count("*").alias("m")), keys)
+            total[0] += sizes.agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
+        return plain(q, c, keys)
+
+    monkeypatch.setattr(knn, "_chunked", counting)
+    return total
+
+
+def _sum_distances(values, q, c):
+    unit = {a: v / np.linalg.norm(v, axis=1, keepdims=True) for a, v in values.items()}
+    return sum(np.round(np.abs(1 - (unit[a] @ unit[a].T)[np.ix_([r[i] for r in q], [r[i] for r in c])]), 12) for i, a in enumerate(values))
+
+
+def test_threshold_search_on_20000_combinations(spark, monkeypatch):
+    """Same lists as comparing everything, ties included, for a small part of the pairs."""
+    r = np.random.RandomState(3)
+    values = {"a": r.normal(size=(160, 6)), "b": r.normal(size=(125, 6))}
+    values["b"][100:] = values["b"][:25]  # equal vectors of different values: ties
+    combos = [(i, j) for i in range(160) for j in range(125)]
+    asked = [combos[i] for i in r.choice(len(combos), 60, replace=False)]
+    emb = spark.createDataFrame([(n, str(i), v.tolist()) for n, vs in values.items() for i, v in enumerate(vs)], "attr string, value string, vec array<double>")
+    rows = spark.createDataFrame([(100 * i + i // 7, i, j) for i, j in combos], "n long, a int, b int").withColumn("cid", F.col("a") * 1000 + F.col("b"))
+    c = knn.with_vectors(rows, emb, ["a", "b"])
+    q = knn.with_vectors(spark.createDataFrame([(k, i, j, 3 + k % 9) for k, (i, j) in enumerate(asked)], "qid int, a int, b int, want int"), emb, ["a", "b"])
+    pairs = _count_pairs(monkeypatch)
+    got = {}
+    for x in knn.nearest(q, c, ["a", "b"], need=F.col("want")).collect():
+        got.setdefault(x.qid, {})[x["rank"]] = (x.cid, x.dist)
+    dist = _sum_distances(values, asked, combos)
+    for k, (i, j) in enumerate(asked):
+        others = [(round(d, 9), a * 1000 + b) for d, (a, b) in zip(dist[k], combos) if (a, b) != (i, j)]
+        want = sorted(others)[: 3 + k % 9]
+        assert [got[k][n][0] for n in range(1, len(want) + 1)] == [w[1] for w in want] and len(got[k]) == len(want)
+    assert pairs[0] < 0.1 * len(asked) * len(combos)
+
+
+def test_value_index_leaves_far_cells_out(spark, monkeypatch):
+    monkeypatch.setattr(knn, "CELL", 50)
+    r = np.random.RandomState(5)
+    centres = r.normal(size=(20, 8)) * 3
+    vecs = np.vstack([centres[r.randint(20, size=1500)] + r.normal(size=(1500, 8)) * 0.1, np.zeros((2, 8))])
+    rows = [("x" if i % 4 else "y", f"v{i:04}", v.tolist()) for i, v in enumerate(vecs)]
+    values = spark.createDataFrame(rows, "attr string, value string, vec array<double>").repartition(3)
+    pairs = _count_pairs(monkeypatch)
+    got = {}
+    for x in knn.value_neighbours(values, 4).collect():
+        got.setdefault((x.attr, x.value), {})[x["rank"]] = x.neighbour
+    assert pairs[0] < 0.35 * sum(n * n for n in (sum(t[0] == a for t in rows) for a in "xy"))
+    for a in "xy":
+        own = [(v, np.array(x)) for n, v, x in rows if n == a]
+        m = np.array([x for _, x in own])
+        norms = np.linalg.norm(m, axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            d = np.where(np.outer(norms, norms) > 0, 1 - (m @ m.T) / np.outer(norms, norms), 1.0)
+        for i in list(range(0, len(own), 37)) + [len(own) - 1]:
+            want = sorted((round(abs(d[i, j]), 10), own[j][0]) for j in range(len(own)) if j != i)[:4]
+            assert [got[a, own[i][0]][k] for k in range(1, 5)] == [w[1] for w in want]
+
+
 def test_never_together(spark):
     df = skewed(60)
     values = sorted(df.x.unique())
