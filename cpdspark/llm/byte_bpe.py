@@ -17,12 +17,14 @@ The vocabulary is a file of ranks whose path is a parameter of ``vocabulary``; t
 few MB at most by its fixed size) and sends it to the tasks.
 
 Defined cases: a null text counts as empty and has no ids; null or repeated doc_ids and repeated rows
-each give their row; an empty table gives no rows; further columns pass through ``encode``.
+each give their row; an empty table gives no rows; further columns pass through ``encode``, but for
+columns named like its results, which it replaces.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -34,6 +36,8 @@ import tiktoken
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from cpdspark.llm.names import fresh, others
+
 CHUNK, OVERLAP = 32_768, 1_024  # code points
 OUTPUT_BYTES = 1 << 20
 
@@ -87,14 +91,38 @@ def _encode_text(v: Vocabulary) -> Column:
     return encoded
 
 
+def _bytes_of(ids: bytes, ranks: bytes) -> bytes:
+    """The bytes of ids: those of each token, one after the other."""
+    return b"".join(map(_token_bytes(ranks).__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+def _read_back(all_ids: Iterator[bytes], ranks: bytes) -> Iterator[pd.DataFrame]:
+    """Ids with the digest of what they decode to, decoded by the task that made them."""
+    for ids in _slices(all_ids):
+        digests = [hashlib.sha256(_bytes_of(x, ranks)).hexdigest() for x in ids]
+        yield pd.DataFrame({"ids": ids, "decoded_sha256": digests})
+
+
+_READ_BACK = "struct<ids:binary,decoded_sha256:string>"
+
+
+def _encode_and_decode(v: Vocabulary) -> Column:
+    @F.pandas_udf(_READ_BACK)
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        bpe = _encoding(v.pattern, v.ranks.value)
+        for texts in batches:
+            yield from _read_back((bpe.encode_to_numpy(t, disallowed_special=()).astype("<u4").tobytes() for t in texts), v.ranks.value)
+
+    return both
+
+
 def decode(ids: str | Column, v: Vocabulary) -> Column:
     """The bytes of ids: those of each token, one after the other."""
 
     @F.pandas_udf("binary")
     def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        token = _token_bytes(v.ranks.value).__getitem__
         for all_ids in batches:
-            yield from _slices(b"".join(map(token, np.frombuffer(x, "<u4").tolist())) for x in all_ids)
+            yield from _slices(_bytes_of(x, v.ranks.value) for x in all_ids)
 
     return decoded(ids)
 
@@ -156,29 +184,33 @@ def pieces(long_texts: DataFrame, pattern: str, chunk: int = CHUNK, overlap: int
 
 
 def encode(documents: DataFrame, v: Vocabulary, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """All columns and ``ids``: little-endian unsigned 32-bit integers, as one binary value."""
-    columns = [F.col(f"`{c}`") for c in documents.columns]
-    text = F.coalesce("text", F.lit(""))
-    one = _encode_text(v)
-    short = documents.filter(F.length(text) <= chunk).select(*columns, one(text).alias("ids"))
-    long = documents.filter(F.length(text) > chunk).withColumn("_key", F.sha2("text", 256))
-    done = pieces(long.select("_key", "text"), v.pattern, chunk, overlap).select("_key", "piece", one("text").alias("ids"))
-
-    @F.pandas_udf("binary")
-    def joined(lists: pd.Series) -> pd.Series:
-        return pd.Series([b"".join(x["ids"] for x in sorted(ids, key=lambda x: x["piece"])) for ids in lists], dtype=object)
+    """All columns and ``ids``: little-endian unsigned 32-bit integers, as one binary value.
 
+    Also ``decoded_sha256``, the hex digest of the bytes that these ids decode to. Both replace columns of
+    these names. Encoding and decoding share a Python worker, so that an executor holds one vocabulary a core.
+    """
+    columns, own = others(documents.columns, "ids", "decoded_sha256"), fresh(documents.columns, "_both")
+    text = F.coalesce("text", F.lit(""))
+    results = [F.col(f"`{own}`")[c].alias(c) for c in ("ids", "decoded_sha256")]
+    short = documents.filter(F.length(text) <= chunk).select(*columns, _encode_and_decode(v)(text).alias(own)).select(*columns, *results)
+    long = documents.filter(F.length(text) > chunk)
+    texts = long.select(F.sha2("text", 256).alias("_key"), "text")
+    done = pieces(texts, v.pattern, chunk, overlap).select("_key", "piece", _encode_text(v)("text").alias("ids"))
+
+    @F.pandas_udf(_READ_BACK)
+    def joined(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for lists in batches:
+            whole = (b"".join(x["ids"] for x in sorted(ids, key=lambda x: x["piece"])) for ids in lists)
+            yield from _read_back(whole, v.ranks.value)
+
+    key = fresh(documents.columns, "_key")
     whole = done.groupBy("_key").agg(F.collect_list(F.struct("piece", "ids")).alias("all"))
-    whole = whole.select("_key", joined("all").alias("ids"))
-    return short.unionByName(long.join(whole, "_key").select(*columns, "ids"))
+    whole = whole.select(F.col("_key").alias(key), joined("all").alias(own))
+    return short.unionByName(long.withColumn(key, F.sha2("text", 256)).join(whole, key).select(*columns, *results))
 
 
 def digest(documents: DataFrame, v: Vocabulary, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """Encode, decode the ids, and hash both."""
+    """Counts and hashes of the ids, and of what they decode to."""
     ids = encode(documents.select("doc_id", "text"), v, chunk, overlap)
-    return ids.select(
-        "doc_id",
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(decode("ids", v), 256).alias("decoded_sha256"),
-    )
+    n_tokens = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
+    return ids.select("doc_id", n_tokens, F.sha2("ids", 256).alias("ids_sha256"), "decoded_sha256")

@@ -31,6 +31,8 @@ import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
+from cpdspark.llm.names import others
+
 WINDOW = 10  # words
 PATTERN_BYTES = 16 << 20  # of a block of the benchmark
 TEXT_BYTES = 1 << 20  # searched at a time
@@ -252,12 +254,16 @@ def _search_udf(patterns: Broadcast):
 
 
 def find(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = PATTERN_BYTES) -> DataFrame:
-    """All columns and ``found``: ``n_words``, ``spans`` (flat word offsets, end exclusive), ``items``."""
-    out = documents.withColumn("_before", F.lit(None).cast(_FOUND))
+    """All columns and ``found``: ``n_words``, ``spans`` (flat word offsets, end exclusive), ``items``.
+
+    It replaces a column of that name.
+    """
+    columns = others(documents.columns, "found")
+    out = documents.select(*columns, F.lit(None).cast(_FOUND).alias("found"))
     for block in _blocks(benchmark, window, block_bytes):
         search_block = _search_udf(documents.sparkSession.sparkContext.broadcast(block))
-        out = out.withColumn("_before", search_block(F.coalesce("text", F.lit("")), F.col("_before")))
-    return out.withColumnRenamed("_before", "found")
+        out = out.withColumn("found", search_block(F.coalesce("text", F.lit("")), F.col("found")))
+    return out
 
 
 def report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:

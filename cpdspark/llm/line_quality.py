@@ -25,6 +25,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cpdspark.llm.names import others
+
 SPACE = r"[\x20\x09-\x0D]+"
 _SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -84,7 +86,7 @@ def judged_lines(text: Column, rules: LineRules = LineRules()) -> Column:
 
 
 def _verdict(documents: DataFrame, rules: LineRules) -> DataFrame:
-    """Add ``_lines``, ``_lost_chars`` and ``_passes`` (the method's own verdict)."""
+    """Add ``_lines``, ``_lost_chars`` and ``_passes`` (the method's own verdict); the table has none of these."""
     judged = documents.withColumn("_lines", judged_lines(F.coalesce("text", F.lit("")), rules))
     failed = F.array_join(F.transform(F.filter("_lines", lambda x: x["failed"]), lambda x: x["line"]), "\n")
     left = F.exists("_lines", lambda x: ~x["failed"] & (x["n_words"] > 0))
@@ -98,11 +100,11 @@ def clean(documents: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """Documents that pass, without their failed lines. Reads and returns all columns."""
     columns = documents.columns
     lines = F.filter("_lines", lambda x: ~x["failed"])
-    kept = _verdict(documents, rules).filter("_passes")
+    rest = others(columns, "text", "n_chars")  # in one struct, where their names cannot clash
+    kept = _verdict(documents.select("text", *([F.struct(*rest).alias("_rest")] if rest else [])), rules).filter("_passes")
     kept = kept.withColumn("text", F.array_join(F.transform(lines, lambda x: x["line"]), "\n"))
-    if "n_chars" in columns:
-        kept = kept.withColumn("n_chars", F.length("text").cast("long"))
-    return kept.select(*[F.col(f"`{c}`") for c in columns])
+    value = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return kept.select(*[value[c].alias(c) if c in value else F.col("_rest")[c].alias(c) for c in columns])
 
 
 def _repeated_words(rows: DataFrame) -> DataFrame:

@@ -32,10 +32,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from cpdspark.functions.lineage import cut
 from cpdspark.llm.components import components
+from cpdspark.llm.names import fresh, others
 from cpdspark.llm.text_arrays import Block, blocks, mixed, slices
 
 BANDS, BAND_ROWS = 48, 6
@@ -230,16 +231,24 @@ def _verified(pairs: DataFrame, documents: DataFrame, width: int, percent: int)
 
 
 def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs across components within buckets: ``members`` has key, rep, part, n, sketch."""
-    place = Window.partitionBy("key").orderBy("part", "rep")
-    number = ((F.row_number().over(place) - 1) / BLOCK).cast("int")
-    rows = members.withColumn("block", number).groupBy("key", "block")
-    held = rows.agg(
-        F.collect_list(F.struct("rep", "part", "n", "sketch")).alias("rows"), F.min("part").alias("low"), F.max("part").alias("high")
+    """Likely pairs across components within buckets: ``members`` has key, g, rep, part, n, sketch.
+
+    The members of a bucket of g classes are dealt into ``g / BLOCK`` blocks by a hash. Only the numbers of
+    blocks are paired by bucket; each pair then fetches its two blocks, so a hot bucket is many tasks.
+    """
+    block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("g") / BLOCK)).cast("int")
+    rows = members.withColumn("block", block).groupBy("key", "block")
+    held = cut(
+        rows.agg(
+            F.collect_list(F.struct("rep", "part", "n", "sketch")).alias("rows"), F.min("part").alias("low"), F.max("part").alias("high")
+        )
     )
-    other = held.select("key", *[F.col(c).alias(f"{c}2") for c in ("block", "rows", "low", "high")])
+    known = held.select("key", "block", "low", "high")
+    other = known.select("key", *[F.col(c).alias(f"{c}2") for c in ("block", "low", "high")])
     several = (F.col("low") != F.col("high")) | (F.col("low2") != F.col("high2")) | (F.col("low") != F.col("low2"))
-    met = held.join(other, "key").filter((F.col("block") <= F.col("block2")) & several)
+    pairs = known.join(other, "key").filter((F.col("block") <= F.col("block2")) & several).select("key", "block", "block2")
+    met = pairs.join(held.select("key", "block", "rows"), ["key", "block"])
+    met = met.join(held.select("key", F.col("block").alias("block2"), F.col("rows").alias("rows2")), ["key", "block2"])
 
     def arrays(rows) -> tuple:
         return (*(np.array([r[c] for r in rows]) for c in ("rep", "part", "n")), *_parts([r["sketch"] for r in rows]))
@@ -290,7 +299,7 @@ def cluster(documents: DataFrame, width: int = 5, percent: int = PERCENT) -> Dat
     part = stars.select(F.col("a").alias("rep"), F.col("b").alias("part"))
     placed = met.filter("g > 2 and rep != hub").join(part, "rep", "left").withColumn("part", F.coalesce("part", "rep"))
     open_keys = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low != high")
-    members = placed.join(open_keys.select("key"), "key").select("key", "rep", "part")
+    members = placed.join(open_keys.select("key"), "key").select("key", "g", "rep", "part")
     members = members.join(classes.select("rep", "n", "sketch"), "rep")
     more = _verified(_across(members, percent), known, width, percent)
     final = components(stars.unionByName(more))
@@ -314,9 +323,13 @@ def report(documents: DataFrame, width: int = 5, percent: int = PERCENT) -> Data
 def deduplicate(documents: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
     """The documents without near copies: of each component the least doc_id stays, as one row.
 
-    Rows that repeat that doc_id are the same document; which of them stands for it is left open.
+    Rows that repeat that doc_id are the same document; the one whose text has the least SHA-256 stands for it,
+    and among equal texts the one of least hash over its other columns (maps left out).
     """
-    columns = [F.col(f"`{c}`") for c in documents.columns]
-    least = cluster(documents, width, percent).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    stay = documents.join(least, documents["doc_id"] == least["_kept"]).dropDuplicates(["_kept"])
-    return stay.select(*columns).unionByName(documents.filter("doc_id is null"))
+    columns, own = others(documents.columns), fresh(documents.columns, "_kept")
+    least = cluster(documents, width, percent).filter("doc_id = component_id").select(F.col("doc_id").alias(own)).distinct()
+    plain = [F.col(f"`{f.name}`") for f in documents.schema if "map<" not in f.dataType.simpleString()]
+    order = F.struct(F.sha2("text", 256), F.xxhash64(*plain))
+    stay = documents.join(least, documents["doc_id"] == least[own])
+    one = stay.groupBy(own).agg(F.min_by(F.struct(*columns), order).alias("row")).select("row.*")
+    return one.unionByName(documents.filter("doc_id is null"))

@@ -208,8 +208,9 @@ def fit(documents: DataFrame, labels: DataFrame, good: str = "quality", sample:
     of = lambda n: int(min(1.0, sample / max(1, n)) * (1 << 30))
     trusted = trusted.filter(F.pmod(F.xxhash64(F.lit("p"), "doc_id"), F.lit(1 << 30)) < of(trusted.count()))
     positive = documents.select("doc_id", "text").join(F.broadcast(trusted), "doc_id", "left_semi")
-    chance = F.pmod(F.xxhash64(F.lit("u"), F.coalesce(F.col("doc_id"), F.lit(0))), F.lit(1 << 30))
-    unlabelled = documents.select("doc_id", "text").filter(chance < of(documents.count()))
+    # by id and text, so that rows without an id, or of one id, are drawn one by one; rows equal in both count once
+    chance = F.pmod(F.xxhash64(F.lit("u"), "doc_id", "text"), F.lit(1 << 30))
+    unlabelled = documents.select("doc_id", "text").filter(chance < of(documents.count())).distinct()
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -236,7 +237,7 @@ def fit(documents: DataFrame, labels: DataFrame, good: str = "quality", sample:
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
-    """All columns and ``score``: nearer to 1 for better texts."""
+    """All columns and ``score``: nearer to 1 for better texts. It replaces a column of that name."""
     sent = documents.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights
 
     @F.pandas_udf("double")

@@ -14,7 +14,7 @@ Defined cases: a null text counts as empty and gets the probabilities of a text
 labels with a null id or a null in a category are not used; labels that share an id count as one row, with
 the greater value of each category; a category of which the sample has one value only gets that value's
 share, shrunk towards a half by one row of either value; null ids, repeated rows and further columns
-of the documents pass through.
+of the documents pass through, but for columns named like a result, which it replaces.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cpdspark.llm import linear
+from cpdspark.llm.names import fresh, others
 from cpdspark.llm.text_arrays import BLOCK_BYTES, Block, blocks, mixed, slices
 
 SAMPLE = 12_000
@@ -212,6 +213,6 @@ def score(documents: DataFrame, chain: list[Link]) -> DataFrame:
             for _, run in slices(texts, 8 * BLOCK_BYTES):
                 yield pd.DataFrame(score_texts(run, sent.value), columns=names)
 
-    columns = [F.col(f"`{c}`") for c in documents.columns]
-    out = documents.select(*columns, scored("text").alias("_p"))
-    return out.select(*columns, *[F.col(f"_p.{n}").alias(n) for n in names])
+    columns, own = others(documents.columns, *names), fresh(documents.columns, "_p")
+    out = documents.select(*columns, scored("text").alias(own))
+    return out.select(*columns, *[F.col(f"`{own}`")[n].alias(n) for n in names])
