@@ -84,14 +84,14 @@ def _observed_keys(tuples: DataFrame, order: _Order, masks: list[int], upto: int
     return unfolded.withColumn(KEY, order.key(F.col("_m"), upto))
 
 
-def _expanded(df: DataFrame, node: Node, places: DataFrame) -> DataFrame:
+def expanded(df: DataFrame, node: Node, places: DataFrame) -> DataFrame:
     """Observed tuples once per mask that some asked tuple kept."""
     masks = places.select(MASK).distinct().agg(F.collect_list(MASK)).scalar()
     unfolded = df.withColumn("_masks", masks).withColumn("_m", F.explode("_masks")).drop("_masks")
     return unfolded.withColumn(KEY, _Order(node).key(F.col("_m"))).drop("_m")
 
 
-def _split(places: DataFrame, node: Node) -> tuple[DataFrame, DataFrame]:
+def split(places: DataFrame, node: Node) -> tuple[DataFrame, DataFrame]:
     """Places that kept the band, and the others."""
     bit = F.lit(_Order(node).band_bit)
     kept = F.col(MASK).bitwiseAND(bit) != 0
@@ -103,16 +103,16 @@ def categorical(obs: DataFrame, node: Node, asked: DataFrame) -> DataFrame:
     keys, v = lookup_keys(node), node.attr
     rows = with_position(obs, node)
     places = keep_matching(rows, node, asked.select(*keys).distinct())
-    banded, plain = _split(places, node)
+    banded, plain = split(places, node)
     joint = rows.groupBy(*keys, v).agg(F.count(F.lit(1)).alias("c"))
-    counted = _expanded(joint, node, plain).groupBy(KEY, v).agg(F.sum("c").alias("c"))
+    counted = expanded(joint, node, plain).groupBy(KEY, v).agg(F.sum("c").alias("c"))
     total = counted.groupBy(KEY).agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("seen"))
     base = asked.join(plain, keys).join(counted, [KEY, v], "left").join(total, KEY, "left")
     base = base.select(*keys, v, "c", "total", "seen")
     if node.band:
         columns = [*[k for k in keys if k != POS], node.band.attr, v]
         wanted = asked.join(banded, keys)
-        points = cpd.band_points(_expanded(obs.select(*columns), node, banded), node, [KEY])
+        points = cpd.band_points(expanded(obs.select(*columns), node, banded), node, [KEY])
         counts = cpd.band_value_counts(points, node, [KEY], wanted.select(KEY, POS, v).distinct())
         near = wanted.join(counts, [KEY, POS, v]).select(*keys, v, "c", "total", "seen")
         base = base.unionByName(near)
@@ -124,17 +124,17 @@ def numerical(obs: DataFrame, node: Node, asked: DataFrame) -> DataFrame:
     keys, y = lookup_keys(node), node.attr
     rows = with_position(obs, node)
     places = keep_matching(rows, node, asked.select(*keys).distinct())
-    banded, plain = _split(places, node)
+    banded, plain = split(places, node)
     centre = global_moments(obs, y)
     points = moment_points(rows.withColumn("_g", centre), keys[:-1], keys[-1], y, F.col("_g.m"))
-    merged = _expanded(points, node, plain).groupBy(KEY).agg(*merge_moments()).withColumn("_g", centre)
+    merged = expanded(points, node, plain).groupBy(KEY).agg(*merge_moments()).withColumn("_g", centre)
     mean, std = mean_std(F.col("_g.m"))
     stats = plain.join(merged.select(KEY, "n", mean.alias("mean"), std.alias("std")), KEY, "left")
     stats = stats.select(*keys, "n", "mean", "std")
     if node.band:
         columns = [*[k for k in keys if k != POS], node.band.attr, y]
         near = cpd.numerical_matches(
-            _expanded(obs.select(*columns), node, banded), node, [KEY], banded.select(KEY, POS).distinct()
+            expanded(obs.select(*columns), node, banded), node, [KEY], banded.select(KEY, POS).distinct()
         )
         stats = stats.unionByName(banded.join(near, [KEY, POS]).select(*keys, "n", "mean", "std"))
     return fallback_to_whole(stats, keys, centre)

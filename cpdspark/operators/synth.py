@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cpdspark.functions import distributions as dist
 from cpdspark.functions.lineage import cut
 from cpdspark.functions.rng import gumbel, pick_index, standard_normal, tagged
-from cpdspark.operators import cpd, cpd_embedding
-from cpdspark.operators.bands import band_counts, grid_radius
+from cpdspark.operators import cpd, cpd_embedding, relaxed
+from cpdspark.operators.bands import band_counts, band_distinct, grid_radius
 from cpdspark.operators.cpd import POS, lookup_keys, with_position
 from cpdspark.operators.cumulative import chunks_for, chunks_of, global_rank, running_totals, totals_at
 from cpdspark.operators.draws import NEVER, ROW, SEEN, draw, seen_values
@@ -61,8 +61,8 @@ def _sample(
         return rows.withColumn("_p", rate).withColumn(a, (u < F.col("_p")).cast(obs.schema[a].dataType)).drop("_p")
     if node.numeric:
         return _sample_numeric(rows, obs, node, seed, id_col, emb)
-    if node.band:
-        return _sample_in_band(rows, obs, node, seed, id_col)
+    if not node.parents:
+        return _sample_root(rows, obs, node, seed, id_col)
     return _sample_category(rows, obs, node, seed, id_col, emb)
 
 
@@ -74,6 +74,8 @@ def _sample_numeric(
     asked = placed.select(*keys).distinct()
     if node.kind in EMBEDDED:
         stats = cpd_embedding.numerical(obs, node, emb, id_col, asked)
+    elif not node.strict:
+        stats = relaxed.numerical(obs, node, asked)
     else:
         stats = cpd.numerical(obs, node, asked)
     z = standard_normal(tagged(seed, f"z1-{a}", id_col), tagged(seed, f"z2-{a}", id_col))
@@ -83,36 +85,95 @@ def _sample_numeric(
     return out.withColumn(a, value.cast(obs.schema[a].dataType)).drop("mean", "std", POS)
 
 
+def _sample_root(rows: DataFrame, obs: DataFrame, node: Node, seed: int, id_col: str) -> DataFrame:
+    a = node.attr
+    mode = SEEN if node.kind is Kind.UNIFORM else ROW
+    cells = rows.select(id_col, F.lit(a).alias("attr"), F.lit("").alias("key"), F.lit(mode).alias("mode"))
+    cells = cells.withColumn("u", tagged(seed, f"value-{a}", id_col))
+    drawn = draw(cells, seen_values(_everywhere(obs, a)), fallback=ROW)
+    return rows.join(drawn.select(id_col, F.col("value").cast(obs.schema[a].dataType).alias(a)), id_col, "left")
+
+
+def _everywhere(obs: DataFrame, a: str) -> DataFrame:
+    value = F.col(a).cast("string").alias("value")
+    return obs.groupBy(F.lit(a).alias("attr"), F.lit("").alias("key"), value).agg(F.count(F.lit(1)).alias("n"))
+
+
 def _sample_category(
     rows: DataFrame, obs: DataFrame, node: Node, seed: int, id_col: str, emb: DataFrame | None
 ) -> DataFrame:
-    """Seen values by their rows, with a small chance an unseen one; unknown parents draw from the domain."""
-    a, parents = node.attr, node.by_role(Role.CAT, Role.SOFT, Role.HARD)
-    value = F.col(a).cast("string").alias("value")
-    everywhere = obs.groupBy(F.lit(a).alias("attr"), F.lit("").alias("key"), value).agg(F.count(F.lit(1)).alias("n"))
-    if not parents:
-        mode = SEEN if node.kind is Kind.UNIFORM else ROW
-        cells = rows.select(id_col, F.lit(a).alias("attr"), F.lit("").alias("key"), F.lit(mode).alias("mode"))
-        cells = cells.withColumn("u", tagged(seed, f"value-{a}", id_col))
-        seen = seen_values(everywhere)
+    """A value by the distribution that scoring uses: seen values by their rows, unseen ones with a tenth as much
+    mass together, any value where nothing matches.
+
+    Rows are told apart by what they are matched with: the band around them, or a key alone. By key go nodes
+    without a band, relaxed rows that had to drop it, and rare combinations, with their borrowed rows.
+    """
+    a, value = node.attr, F.col(node.attr).cast("string").alias("value")
+    keys = lookup_keys(node)
+    placed = with_position(rows, node).select(id_col, *keys)
+    here = with_position(obs, node)
+    text_key = lambda columns: F.to_json(F.struct(*columns))
+    in_band = points = None
+    if not node.strict:
+        places = relaxed.keep_matching(here, node, placed.select(*keys).distinct())
+        banded, plain = relaxed.split(places, node)
+        joint = here.groupBy(*keys, a).agg(F.count(F.lit(1)).alias("c"))
+        pairs = relaxed.expanded(joint, node, plain).groupBy(F.lit(a).alias("attr"), F.col(relaxed.KEY).alias("key"), value)
+        pairs = pairs.agg(F.sum("c").alias("n"))
+        by_key = placed.join(plain, keys).select(id_col, F.col(relaxed.KEY).alias("key"))
+        if node.band:
+            in_band = placed.join(banded, keys).select(id_col, F.col(relaxed.KEY).alias("key"), POS)
+            points = relaxed.expanded(joint, node, banded).groupBy(F.col(relaxed.KEY).alias("key"), POS, a).agg(F.sum("c").alias("n"))
+    elif node.band:
+        left = node.by_role(Role.CAT, Role.SOFT)
+        in_band = placed.select(id_col, text_key(left).alias("key"), POS)
+        points = here.groupBy(text_key(left).alias("key"), POS, a).agg(F.count(F.lit(1)).alias("n"))
+        by_key, pairs = _rare_in_band(placed, obs, node, emb, id_col) if node.kind is Kind.EMB_CAT else (None, None)
+        if by_key is not None:
+            in_band = in_band.join(by_key.select(id_col), id_col, "left_anti")
     else:
-        key = F.to_json(F.struct(*parents)).alias("key")
-        pairs = obs.groupBy(F.lit(a).alias("attr"), key, value).agg(F.count(F.lit(1)).alias("n"))
+        by_key = placed.select(id_col, text_key(keys).alias("key"))
+        pairs = obs.groupBy(F.lit(a).alias("attr"), text_key(keys).alias("key"), value).agg(F.count(F.lit(1)).alias("n"))
         if node.kind is Kind.EMB_CAT:
             pairs = _with_borrowed(rows, obs, node, emb, id_col, pairs)
-        seen = seen_values(everywhere.unionByName(pairs))
-        keyed = rows.select(id_col, key).join(seen.sizes.select("key", F.lit(True).alias("_known")), "key", "left")
-        unusual = tagged(seed, f"unseen-{a}", id_col) >= _SEEN_MASS
-        cells = keyed.select(
-            id_col,
-            F.lit(a).alias("attr"),
-            F.when(F.col("_known"), F.col("key")).otherwise("").alias("key"),
-            F.when(F.col("_known").isNull(), SEEN).when(unusual, NEVER).otherwise(ROW).alias("mode"),
-            tagged(seed, f"value-{a}", id_col).alias("u"),
-        )
-    drawn = draw(cells, seen, fallback=ROW)
-    typed = drawn.select(id_col, F.col("value").cast(obs.schema[a].dataType).alias(a))
-    return rows.join(typed, id_col, "left")
+    parts = []
+    if by_key is not None:
+        parts.append(_draw_by_key(by_key, pairs, _everywhere(obs, a), a, seed, id_col))
+    if in_band is not None:
+        parts.append(_draw_in_band(in_band, points, obs.select(a).distinct(), a, grid_radius(node.band.radius), seed, id_col))
+    drawn = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return rows.join(drawn.select(id_col, F.col("value").cast(obs.schema[a].dataType).alias(a)), id_col, "left")
+
+
+def _draw_by_key(rows: DataFrame, pairs: DataFrame, everywhere: DataFrame, a: str, seed: int, id_col: str) -> DataFrame:
+    """``id, value``: by the key's rows, at times an unseen value; any value for an unknown key."""
+    seen = seen_values(everywhere.unionByName(pairs))
+    known = seen.sizes.filter("key != ''").select("key", F.lit(True).alias("_known"))
+    keyed = rows.join(known, "key", "left")
+    unusual = tagged(seed, f"unseen-{a}", id_col) >= _SEEN_MASS
+    cells = keyed.select(
+        id_col,
+        F.lit(a).alias("attr"),
+        F.when(F.col("_known"), F.col("key")).otherwise("").alias("key"),
+        F.when(F.col("_known").isNull(), SEEN).when(unusual, NEVER).otherwise(ROW).alias("mode"),
+        tagged(seed, f"value-{a}", id_col).alias("u"),
+    )
+    return draw(cells, seen, fallback=ROW).select(id_col, "value")
+
+
+def _rare_in_band(placed: DataFrame, obs: DataFrame, node: Node, emb: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose band holds fewer than k rows, by a key of their own, and its hit and borrowed rows as pairs."""
+    left, every = node.by_role(Role.SOFT, Role.CAT), [*node.by_role(Role.SOFT, Role.CAT, Role.HARD), POS]
+    points = with_position(obs, node).groupBy(*left, POS).agg(F.count(F.lit(1)).alias("n"))
+    places = placed.select(*every).distinct()
+    hits = band_counts(points, places.select(*left, POS).distinct(), left, POS, grid_radius(node.band.radius))
+    rare = cut(places.join(hits, [*left, POS]).filter(F.col("n") < node.k))
+    order = [*node.by_role(Role.SOFT), *node.by_role(Role.CAT), *node.by_role(Role.HARD), POS]
+    place = F.to_json(F.struct(*order)).alias("key")
+    members = cpd_embedding.members_of_rare(obs, rare.select(*order, "n"), node, emb, id_col)
+    pairs = members.groupBy(F.lit(node.attr).alias("attr"), F.col(cpd_embedding.PLACE).alias("key"), F.col("_target").cast("string").alias("value"))
+    rows = placed.join(rare.select(*every), every).select(id_col, place)
+    return cut(rows), pairs.agg(F.count(F.lit(1)).alias("n"))
 
 
 def _with_borrowed(
@@ -138,38 +199,74 @@ def _with_borrowed(
     )
 
 
-def _sample_in_band(rows: DataFrame, obs: DataFrame, node: Node, seed: int, id_col: str) -> DataFrame:
-    """Value of a random row inside the band: rows are numbered in band order, and one number is drawn.
+def _draw_in_band(
+    rows: DataFrame, points: DataFrame, domain: DataFrame, a: str, r: int, seed: int, id_col: str
+) -> DataFrame:
+    """``id, value`` for rows ``id, key, position``: a random row of the band, an unseen value, or any value.
 
-    The small mass of values not seen in the band is not drawn. An empty band draws from all rows.
+    ``points`` has the rows by (key, position, value). They are numbered in band order, so the n-th row of a band is
+    found by its number; an unseen value by the count of seen ones in ever smaller ranges of the domain.
     """
-    a, left, r = node.attr, node.by_role(Role.CAT, Role.SOFT), grid_radius(node.band.radius)
-    points = with_position(obs, node).groupBy(*left, POS, a).agg(F.count(F.lit(1)).alias("n"))
     points = cut(points.withColumn("_at", F.struct(F.col(POS), F.col(a))).withColumn("upto", F.col("n")))
     chunks = chunks_for(points)
-    upto = running_totals(points, left, "_at", {"upto": "sum"}, chunks)
-    starts = cut(upto.select(*left, POS, a, "n", (F.col("upto") - F.col("n")).alias("start")))
-    placed = with_position(rows, node)
-    places = placed.select(*left, POS).distinct()
-    by_place = starts.groupBy(*left, POS).agg(F.sum("n").alias("n"))
-    inside = band_counts(by_place, places, left, POS, r, chunks)
-    before = totals_at(
-        by_place,
-        places.select(*left, (F.col(POS) - r - 1).alias(POS)),
-        left,
-        POS,
-        {"n": "sum"},
-        chunks,
-    ).select(*left, (F.col(POS) + r + 1).alias(POS), F.col("n").alias("_before"))
-    sized = placed.join(inside.join(before, [*left, POS]), [*left, POS])
-    nth = F.col("_before") + pick_index(tagged(seed, f"value-{a}", id_col), F.col("n"))
-    wanted = sized.filter("n > 0").select(id_col, *left, nth.alias("start"))
-    entries = starts.select(*left, "start", F.struct(F.col("start").alias("s"), F.col(a).alias("v")).alias("_hit"))
-    found = totals_at(entries, wanted, left, "start", {"_hit": "max"}, chunks)
-    drawn = found.select(id_col, F.col("_hit.v").alias(a))
-    empty = rows.join(drawn.select(id_col), id_col, "left_anti")
-    rest = _sample_category(empty, obs, Node(a, Kind.FREQ), seed, id_col, None).select(id_col, a)
-    return rows.join(drawn.unionByName(rest), id_col, "left")
+    words = domain.select(F.col(a).cast("string").alias("value"))
+    numbered = cut(global_rank(words, "value", "x", chunks_for(words)))
+    size = numbered.count()
+    upto = running_totals(points, ["key"], "_at", {"upto": "sum"}, chunks)
+    starts = cut(upto.select("key", POS, a, "n", (F.col("upto") - F.col("n")).alias("start")))
+    places = cut(rows.select("key", POS).distinct())
+    by_place = starts.groupBy("key", POS).agg(F.sum("n").alias("n"))
+    inside = band_counts(by_place, places, ["key"], POS, r, chunks)
+    below = places.select("key", (F.col(POS) - r - 1).alias(POS))
+    before = totals_at(by_place, below, ["key"], POS, {"n": "sum"}, chunks).select(
+        "key", (F.col(POS) + r + 1).alias(POS), F.col("n").alias("_before")
+    )
+    values = starts.select("key", POS, F.col(a).cast("string").alias("value")).join(numbered, "value")
+    seen = band_distinct(values, places, ["key"], "x", POS, r, chunks)
+    sized = rows.join(inside.join(before, ["key", POS]).join(seen, ["key", POS]), ["key", POS])
+    u = tagged(seed, f"value-{a}", id_col)
+    unusual = (F.col("n_values") < size) & (tagged(seed, f"unseen-{a}", id_col) >= _SEEN_MASS)
+    sized = cut(sized.withColumn("_how", F.when(F.col("n") == 0, "any").when(unusual, "unseen").otherwise("seen")).withColumn("_u", u))
+
+    nth = F.col("_before") + pick_index(F.col("_u"), F.col("n"))
+    wanted = sized.filter("_how = 'seen'").select(id_col, "key", nth.alias("start"))
+    entries = starts.select("key", "start", F.struct(F.col("start").alias("s"), F.col(a).cast("string").alias("v")).alias("_hit"))
+    found = totals_at(entries, wanted, ["key"], "start", {"_hit": "max"}, chunks).select(id_col, F.col("_hit.v").alias("value"))
+
+    missing = sized.filter("_how = 'unseen'").select(id_col, "key", POS, pick_index(F.col("_u"), F.lit(size) - F.col("n_values")).alias("_n"))
+    numbers = _nth_missing(missing, values.select("key", POS, "x"), size, r, id_col, chunks)
+    anything = sized.filter("_how = 'any'").select(id_col, pick_index(F.col("_u"), F.lit(size)).alias("x"))
+    return found.unionByName(numbers.unionByName(anything).join(numbered, "x").select(id_col, "value"))
+
+
+FAN = 32  # parts that a range of value numbers is cut into
+
+
+def _nth_missing(asked: DataFrame, values: DataFrame, size: int, r: int, id_col: str, chunks: int) -> DataFrame:
+    """``id, x``: the ``_n``-th number below ``size`` that no point (key, position, x) inside the asked band has.
+
+    Level by level a range of numbers is cut into ``FAN`` parts. How many numbers of a part occur in the band
+    is counted by merged stretches; what is left is missing, and tells in which part the n-th one lies.
+    """
+    width = 1
+    while width * FAN < size:
+        width *= FAN
+    state = asked.withColumn("_base", F.lit(0).cast("long"))
+    while width:
+        part = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(FAN - 1).cast("long")))
+        parts = state.withColumn("_j", part).withColumn("_from", F.col("_base") + F.col("_j") * width).filter(F.col("_from") < size)
+        parts = parts.withColumn("_part", F.floor(F.col("_from") / width).cast("long"))
+        level = values.withColumn("_part", F.floor(F.col("x") / width).cast("long"))
+        places = parts.select("key", "_part", POS).distinct()
+        seen = band_distinct(level, places, ["key", "_part"], "x", POS, r, chunks)
+        counted = parts.join(seen, ["key", "_part", POS], "left")
+        free = F.least(F.lit(width), F.lit(size) - F.col("_from")) - F.coalesce("n_values", F.lit(0))
+        upto = Window.partitionBy(id_col).orderBy("_j").rowsBetween(Window.unboundedPreceding, 0)  # FAN rows
+        counted = counted.withColumn("_free", free).withColumn("_upto", F.sum("_free").over(upto))
+        first = counted.filter((F.col("_upto") > F.col("_n")) & (F.col("_upto") - F.col("_free") <= F.col("_n")))
+        state = cut(first.select(id_col, "key", POS, (F.col("_n") - (F.col("_upto") - F.col("_free"))).alias("_n"), F.col("_from").alias("_base")))
+        width //= FAN
+    return state.select(id_col, F.col("_base").alias("x"))
 
 
 def impute(

@@ -382,6 +382,61 @@ def q74(spark, sf):
     return rounded(synth.simulate(p, spec, p.count(), 18, "p_partkey"))
 
 
+def _sql_value(a: str, seed: int) -> str:
+    return sql_unit(seed, f"'value-{a}'", "id")
+
+
+def _sql_from_rows(a: str, seed: int, drawn: str, parents: list[str], where: str, order: str) -> str:
+    """CTEs ``<a>_m`` (rows that match a drawn row) and ``<a>_d`` (the drawn row with its value of ``a``)."""
+    keep = ", ".join(parents)
+    return f"""{a}_m AS (SELECT z.id, p.{a} AS v, row_number() OVER (PARTITION BY z.id ORDER BY {order}) - 1 AS i,
+      count(*) OVER (PARTITION BY z.id) AS n FROM {drawn} z JOIN part p ON {where}),
+    {a}_n AS (SELECT z.id, coalesce(max(n), 0) AS n, count(DISTINCT v) AS seen FROM {drawn} z LEFT JOIN {a}_m m ON m.id = z.id GROUP BY 1),
+    {a}_dom AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS x, count(*) OVER () AS d FROM (SELECT DISTINCT {a} AS v FROM part)),
+    {a}_none AS (SELECT z.id, q.v, row_number() OVER (PARTITION BY z.id ORDER BY q.v) - 1 AS i FROM {drawn} z, {a}_dom q
+      WHERE NOT EXISTS (SELECT 1 FROM {a}_m m WHERE m.id = z.id AND m.v = q.v)),
+    {a}_how AS (SELECT z.*, n, seen, d, CASE WHEN n = 0 THEN 'any' WHEN seen < d AND {sql_unit(seed, f"'unseen-{a}'", 'z.id')} >= {1 / 1.1!r}::DOUBLE THEN 'unseen'
+      ELSE 'seen' END AS how, {sql_unit(seed, f"'value-{a}'", 'z.id')} AS u FROM {drawn} z JOIN {a}_n USING (id), (SELECT max(d) AS d FROM {a}_dom) e),
+    {a}_d AS (SELECT h.id, {keep}, coalesce(m.v, o.v, q.v) AS {a} FROM {a}_how h
+      LEFT JOIN {a}_m m ON how = 'seen' AND m.id = h.id AND m.i = {sql_index('h.u', 'h.n')}
+      LEFT JOIN {a}_none o ON how = 'unseen' AND o.id = h.id AND o.i = {sql_index('h.u', '(h.d - h.seen)')}
+      LEFT JOIN {a}_dom q ON how = 'any' AND q.x = {sql_index('h.u', 'h.d')})"""
+
+
+_BANDED_SPEC = ModelSpec(
+    (
+        uniform("p_brand"),
+        freq("p_size"),
+        cat("p_type", "p_brand", band("p_size", 3)),
+        cat("p_name", "p_type", "p_brand", band("p_size", 1), strict=False),
+    )
+)
+_BANDED_ROWS = 400
+_MET = {
+    "t": "EXISTS (SELECT 1 FROM part p WHERE p.p_type = z.p_type)",
+    "b": "EXISTS (SELECT 1 FROM part p WHERE p.p_type = z.p_type AND p.p_brand = z.p_brand)",
+    "s": "EXISTS (SELECT 1 FROM part p WHERE p.p_type = z.p_type AND (NOT b OR p.p_brand = z.p_brand) AND abs(p.p_size - z.p_size) <= 1)",
+}
+
+
+@register(
+    "q74_synthesise_banded",
+    f"""WITH b AS (SELECT p_brand, row_number() OVER (ORDER BY p_brand) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT p_brand FROM part)),
+    s AS (SELECT p_size, row_number() OVER (ORDER BY p_size::VARCHAR) - 1 AS i, count(*) OVER () AS n FROM part),
+    z0 AS (SELECT id, p_brand, p_size FROM (SELECT range AS id FROM range({_BANDED_ROWS})) g
+      JOIN b ON b.i = {sql_index(_sql_value("p_brand", 21), 'b.n')} JOIN s ON s.i = {sql_index(_sql_value("p_size", 21), 's.n')}),
+    {_sql_from_rows("p_type", 21, "z0", ["p_brand", "p_size"], "p.p_brand = z.p_brand AND abs(p.p_size - z.p_size) <= 3", "p.p_size, p.p_type")},
+    z1 AS (SELECT z.*, {_MET['b']} AS b FROM p_type_d z), z2 AS (SELECT z.*, {_MET['s']} AS s FROM z1 z),
+    {_sql_from_rows("p_name", 21, "z2", ["p_brand", "p_size", "p_type"],
+      "p.p_type = z.p_type AND (NOT b OR p.p_brand = z.p_brand) AND (NOT s OR abs(p.p_size - z.p_size) <= 1)",
+      "CASE WHEN s THEN p.p_size END, p.p_name")}
+    SELECT id AS p_partkey, p_brand, p_size, p_type, p_name FROM p_name_d""",
+)
+def q74b(spark, sf):
+    """Bands with unseen values, and a node that drops parents that nothing matches."""
+    return synth.simulate(table(spark, sf, "part"), _BANDED_SPEC, _BANDED_ROWS, 21, "p_partkey")
+
+
 _AREA = f"(20.0::DOUBLE + {sql_unit(19, chr(39) + 'space' + chr(39), 'fact')} * 180.0::DOUBLE)"
 
 

@@ -1,7 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from cpdspark.functions import distributions as dist
 from cpdspark.operators import beta, cpd, fuzzy, inject, repair, synth, vocabulary
@@ -117,6 +117,53 @@ def test_simulate_and_impute(spark):
     assert (got.state == truth.state).mean() > 0.8
 
 
+def _shares_against_score(spark, obs, spec, places, target, emb=None, n=4000):
+    """Draws of ``target`` at fixed places against the probabilities that scoring gives every value there."""
+    values = [r[0] for r in obs.select(target).distinct().collect()]
+    cols = list(places[0])
+    kinds = ", ".join(f"{c} {obs.schema[c].dataType.simpleString()}" for c in cols)
+    at = spark.createDataFrame([tuple(p.values()) for p in places], kinds).withColumn("_place", F.monotonically_increasing_id())
+    at = at.withColumn("_place", F.row_number().over(Window.orderBy("_place")) - 1).cache()
+    rows = at.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("id", (F.col("_place") * n + F.col("_i")).cast("long"))
+    drawn = synth.sample_nodes(rows.drop("_i"), obs, spec, [target], 5, "id", emb)
+    share = {(r["_place"], r[target]): r["count"] / n for r in drawn.groupBy("_place", target).count().collect()}
+    asked = at.crossJoin(spark.createDataFrame([(v,) for v in values], f"{target} {obs.schema[target].dataType.simpleString()}"))
+    asked = asked.withColumn("id", F.row_number().over(Window.orderBy("_place", target)).cast("long"))
+    scored = score(obs, spec, "id", emb, rows=asked, keep=["_place", target], only=[target]).collect()
+    p = {(r["_place"], r[target]): float(np.exp(r[f"lp_{target}"])) for r in scored}
+    assert set(share) <= set(p) and abs(sum(p.values()) - len(places)) < 1e-6
+    worst = max(abs(share.get(k, 0.0) - x) for k, x in p.items())
+    assert worst < 4.5 * np.sqrt(0.25 / n), worst
+    return p, share
+
+
+def test_draws_have_the_probabilities_that_score_gives(spark, monkeypatch):
+    monkeypatch.setattr(synth, "FAN", 3)
+    r = np.random.RandomState(6)
+    rows = [(i, "ab"[i % 2], int(r.randint(40)), f"v{r.randint(9)}") for i in range(60)] + [(60, "c", 500, "w")]
+    obs = spark.createDataFrame(rows, "id long, k string, x int, v string")
+    spec = ModelSpec((freq("k"), freq("x"), cat("v", "k", band("x", 4))))
+    places = [{"k": "a", "x": 7}, {"k": "b", "x": 30}, {"k": "a", "x": 20}, {"k": "c", "x": 498}, {"k": "c", "x": 3}]
+    p, share = _shares_against_score(spark, obs, spec, places, "v")
+    unseen = [k for k, x in p.items() if 0 < x < 0.1 / 1.1 and k in share]
+    assert unseen  # unseen values are drawn
+
+    loose = ModelSpec((freq("k"), freq("x"), cat("v", "k", band("x", 4), strict=False)))
+    _shares_against_score(spark, obs, loose, [{"k": "a", "x": 7}, {"k": "c", "x": 3}, {"k": "nobody", "x": 30}, {"k": "nobody", "x": 4000}], "v")
+
+
+def test_banded_embedded_draws_borrow_neighbours(spark):
+    from cpdspark.plans.spec import emb_cat
+
+    r = np.random.RandomState(8)
+    rows = [(i, f"k{i % 5}", int(r.randint(30)), f"v{r.randint(6)}") for i in range(80)]
+    obs = spark.createDataFrame(rows, "id long, k string, x int, v string")
+    emb = spark.createDataFrame([("k", f"k{i}", r.normal(size=4).tolist()) for i in range(5)], "attr string, value string, vec array<double>")
+    spec = ModelSpec((freq("k"), freq("x"), emb_cat("v", "k", band("x", 5), k=8)))
+    places = [{"k": "k0", "x": 7}, {"k": "k3", "x": 29}, {"k": "k1", "x": 0}]
+    _shares_against_score(spark, obs, spec, places, "v", emb)
+
+
 def test_simulate_with_neighbours(spark):
     df = make(120)
     _, emb = vectors(spark, df, ["state", "city"])
