@@ -94,13 +94,6 @@ def smoothed_categorical(count: Column, total: Column, seen_values: Column, doma
     return F.when(total == 0, 1.0 / domain_size).when(count > 0, seen_p).otherwise(unseen_p)
 
 
-def softmax_weights(log_weight: Column, over) -> Column:
-    """Normalised weights of a window partition, shifted by the maximum so that exp cannot overflow."""
-    top = F.max(log_weight).over(over)
-    w = F.when(top == neg_inf(), F.lit(1.0)).otherwise(F.exp(log_weight - top))
-    return w / F.sum(w).over(over)
-
-
 def log_sum_exp(parts: list[Column]) -> Column:
     """Log of a sum of exponentials of a fixed list of columns (null parts do not count)."""
     top = F.greatest(*parts) if len(parts) > 1 else parts[0]

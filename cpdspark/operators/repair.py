@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from cpdspark.functions.distributions import softmax_weights
+from cpdspark.functions.distributions import neg_inf
 from cpdspark.functions.lineage import cut
 from cpdspark.functions.rng import gumbel, tagged
 from cpdspark.operators.counts import domain
 from cpdspark.operators.cumulative import global_rank
+from cpdspark.operators.draws import NEVER, SEEN, draw, seen_values
 from cpdspark.operators.knn import value_neighbours
 from cpdspark.operators.score import lp, score
-from cpdspark.plans.spec import ModelSpec
+from cpdspark.plans.spec import Kind, ModelSpec, Role
 
 NEAR_WEIGHT = 5.0  # fixed value: weight of a near value; any other has weight 1
 
@@ -30,6 +31,61 @@ def candidates(suspects: DataFrame, obs: DataFrame, id_col: str, attr: str) -> D
     return unfolded.join(numbered, "_rank").drop("_rank", "_size")
 
 
+def _equal_keys(spec: ModelSpec, attr: str) -> list[list[str]] | None:
+    """For each node that involves the attribute, the other parents that must be equal; None if a value that was
+    never seen with them could still matter (borrowed neighbours, dropped parents, frequencies, bands on it)."""
+    keys = []
+    for n in spec.touching(attr):
+        if n.kind is Kind.UNIFORM:
+            continue
+        others = [p for p in n.by_role(Role.CAT) if p != attr]
+        if n.kind not in (Kind.CAT, Kind.NUM) or not n.strict or not others or (n.band and n.band.attr == attr):
+            return None
+        keys.append(others)
+    return keys or None
+
+
+def candidate_classes(
+    suspects: DataFrame, obs: DataFrame, spec: ModelSpec, id_col: str, attr: str, top: int
+) -> DataFrame | None:
+    """Suspects with the values that something supports, and the first ``top`` of all others.
+
+    A value is supported if it was seen with the equal parents of some node that involves the attribute. To all
+    others every node gives its default, the same for each, so they are one class: its first ``top`` values are
+    listed, and the very first carries the class's size in ``times`` (the next ones 0; a supported value 1). So
+    a suspect takes as many rows as there are seen combinations, not as there are values. None where the
+    model does not allow this.
+    """
+    keys = _equal_keys(spec, attr)
+    if keys is None:
+        return None
+    value, key = F.col(attr).cast("string").alias("value"), F.col(id_col).cast("string").alias("key")
+    asked = cut(suspects.withColumn("key", key))
+    met = asked.select("key", value)  # its own value
+    for equal in keys:
+        seen_with = obs.select(*equal, value).distinct()
+        met = met.unionByName(asked.select("key", *equal).join(seen_with, equal).select("key", "value"))
+    everywhere = domain(obs, attr).select(F.lit(attr).alias("attr"), F.lit("").alias("key"), value, F.lit(1).cast("long").alias("n"))
+    known = met.distinct().join(everywhere.select("value"), "value", "left_semi")
+    pairs = known.select(F.lit(attr).alias("attr"), "key", "value", F.lit(1).cast("long").alias("n"))
+    seen = seen_values(everywhere.unionByName(pairs))
+    size = seen.numbered.agg(F.count(F.lit(1))).scalar()
+    sized = asked.select("key").join(seen.sizes.select("key", "n_never"), "key", "left").withColumn("_all", size)
+    sized = sized.withColumn("_m", F.coalesce("n_never", "_all")).filter("_m > 0")
+    cells = sized.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("_m"), F.lit(top)) - 1))).select(
+        F.col("key").alias("_suspect_key"),
+        F.when(F.col("i") == 0, F.col("_m")).otherwise(F.lit(0)).cast("long").alias("times"),
+        F.lit(attr).alias("attr"),
+        F.when(F.col("n_never").isNull(), "").otherwise(F.col("key")).alias("key"),
+        F.when(F.col("n_never").isNull(), SEEN).otherwise(NEVER).alias("mode"),
+        ((F.col("i") + 0.5) / F.col("_m")).alias("u"),  # the i-th
+    )
+    rest = draw(cells, seen).select(F.col("_suspect_key").alias("key"), "value", "times")
+    listed = known.select("key", "value", F.lit(1).cast("long").alias("times")).unionByName(rest)
+    out = asked.withColumnRenamed(attr, "present").join(listed, "key").withColumn(attr, F.col("value").cast(obs.schema[attr].dataType))
+    return out.drop("key", "value")
+
+
 def _joint(
     obs: DataFrame, spec: ModelSpec, id_col: str, attr: str, rows: DataFrame, emb: DataFrame | None
 ) -> DataFrame:
@@ -39,8 +95,9 @@ def _joint(
     NaN is left only where the whole table has a single value; it then says nothing and counts as 0.
     """
     touching = [n.attr for n in spec.touching(attr)]
+    more = [c for c in rows.columns if c == "times"]
     keyed = rows.withColumn("_suspect", F.col(id_col))
-    scored = score(obs, spec, id_col, emb, rows=keyed, keep=["_suspect", "present"], only=touching, point_mass=True)
+    scored = score(obs, spec, id_col, emb, rows=keyed, keep=["_suspect", "present", *more], only=touching, point_mass=True)
     nan_safe = sum(
         (F.when(F.isnan(lp(a)), F.lit(0.0)).otherwise(F.col(lp(a))) for a in touching), F.lit(0.0)
     )
@@ -56,13 +113,23 @@ def repair_exact(
     top: int,
     emb: DataFrame | None = None,
 ) -> DataFrame:
-    """The ``top`` most probable values per suspect: ``id, present, <attr>, posterior, rank``."""
-    rows = cut(candidates(suspects.select(id_col, *spec.attrs), obs, id_col, attr))
-    joint = _joint(obs, spec, id_col, attr, rows, emb)
-    weighted = joint.withColumn("posterior", softmax_weights(F.col("log_joint"), Window.partitionBy(id_col)))
+    """The ``top`` most probable values per suspect: ``id, present, <attr>, posterior, rank``.
+
+    Values that nothing supports are scored as one class (``candidate_classes``). Models in which an unseen value
+    may borrow or drop something unfold the domain for each suspect. The posterior's total is added up before
+    the shuffle, and the ranking keeps ``top`` rows before it, so no window holds a domain.
+    """
+    rows = candidate_classes(suspects.select(id_col, *spec.attrs), obs, spec, id_col, attr, top)
+    if rows is None:
+        rows = candidates(suspects.select(id_col, *spec.attrs), obs, id_col, attr).withColumn("times", F.lit(1).cast("long"))
+    joint = cut(_joint(obs, spec, id_col, attr, cut(rows), emb))
+    best = joint.groupBy(id_col).agg(F.max("log_joint").alias("_best"))
+    mass = F.when(F.col("_best") == neg_inf(), F.lit(1.0)).otherwise(F.exp(F.col("log_joint") - F.col("_best")))
+    totals = joint.join(best, id_col).groupBy(id_col, "_best").agg(F.sum(mass * F.col("times")).alias("_total"))
     order = Window.partitionBy(id_col).orderBy(F.desc("log_joint"), F.asc(attr))
-    ranked = weighted.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
-    return ranked.select(id_col, "present", attr, "log_joint", "posterior", "rank")
+    ranked = joint.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    posterior = F.when(F.col("_total") > 0, mass / F.when(F.col("_total") > 0, F.col("_total"))).otherwise(F.lit(0.0))
+    return ranked.join(totals, id_col).select(id_col, "present", attr, "log_joint", posterior.alias("posterior"), "rank")
 
 
 def proposal(values: DataFrame, k: int, sources: DataFrame | None = None) -> DataFrame:

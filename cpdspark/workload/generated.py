@@ -291,9 +291,7 @@ def _suspects(spark, sf, n: int):
     return most_improbable(score(table(spark, sf, "part"), PART_SPEC, "p_partkey"), n, "p_partkey")
 
 
-@register(
-    "q79_repair_exact",
-    f"""WITH {_PART_SCORE}, top AS (SELECT * FROM sc ORDER BY lp_p_brand + lp_p_type + lp_p_retailprice, p_partkey LIMIT 20),
+_REPAIR_SQL = f"""WITH {_PART_SCORE}, top AS (SELECT * FROM sc ORDER BY lp_p_brand + lp_p_type + lp_p_retailprice, p_partkey LIMIT 20),
     types AS (SELECT DISTINCT p_type FROM part),
     st AS (SELECT p_brand, p_type, count(*) AS n, avg(p_retailprice) AS m2, stddev_samp(p_retailprice) AS s2 FROM part GROUP BY 1, 2),
     tot AS (SELECT p_brand, count(*) AS nb2 FROM part GROUP BY 1),
@@ -304,13 +302,45 @@ def _suspects(spark, sf, n: int):
       LEFT JOIN st ON st.p_brand = top.p_brand AND st.p_type = t.p_type, d),
     w AS (SELECT *, exp(lj - max(lj) OVER (PARTITION BY p_partkey)) AS w FROM cand)
     SELECT p_partkey, present, p_type, round(lj, 6) AS log_joint, round(w / sum(w) OVER (PARTITION BY p_partkey), 6) AS posterior,
-      row_number() OVER (PARTITION BY p_partkey ORDER BY lj DESC, p_type)::INTEGER AS rank FROM w QUALIFY rank <= 3""",
-)
+      row_number() OVER (PARTITION BY p_partkey ORDER BY lj DESC, p_type)::INTEGER AS rank FROM w QUALIFY rank <= 3"""
+
+
+@register("q79_repair_exact", _REPAIR_SQL)
 def q79(spark, sf):
     out = repair.repair_exact(_suspects(spark, sf, 20), table(spark, sf, "part"), PART_SPEC, "p_partkey", "p_type", 3)
     return rounded(out)
 
 
+# The same model with names, of which most are not seen with a brand at that price.
+_NAME_SPEC = ModelSpec((uniform("p_brand"), cat("p_name", "p_brand"), num("p_retailprice", "p_brand", "p_name")))
+
+
+def _name_suspects(spark, sf, n: int):
+    return most_improbable(score(table(spark, sf, "part"), _NAME_SPEC, "p_partkey"), n, "p_partkey")
+
+
+@register("q79_repair_classes", _REPAIR_SQL.replace("p_type", "p_name"))
+def q79b(spark, sf):
+    out = repair.repair_exact(_name_suspects(spark, sf, 20), table(spark, sf, "part"), _NAME_SPEC, "p_partkey", "p_name", 3)
+    return rounded(out)
+
+
+@register(
+    "q25_candidate_classes",
+    f"""WITH {_PART_SCORE.replace('p_type', 'p_name')},
+    top AS (SELECT * FROM sc ORDER BY lp_p_brand + lp_p_name + lp_p_retailprice, p_partkey LIMIT 20),
+    sup AS (SELECT DISTINCT top.p_partkey, part.p_name AS v FROM top JOIN part ON part.p_brand = top.p_brand),
+    mis AS (SELECT t.p_partkey, e.v, row_number() OVER (PARTITION BY t.p_partkey ORDER BY e.v) - 1 AS i, count(*) OVER (PARTITION BY t.p_partkey) AS m
+      FROM top t, (SELECT DISTINCT p_name AS v FROM part) e WHERE NOT EXISTS (SELECT 1 FROM sup WHERE sup.p_partkey = t.p_partkey AND sup.v = e.v))
+    SELECT p_partkey, top.p_name AS present, v AS p_name, 1::BIGINT AS times FROM top JOIN sup USING (p_partkey)
+    UNION ALL SELECT p_partkey, top.p_name, v, CASE WHEN i = 0 THEN m ELSE 0 END::BIGINT FROM top JOIN mis USING (p_partkey) WHERE i < 3""",
+)
+def q25b(spark, sf):
+    suspects = _name_suspects(spark, sf, 20).select("p_partkey", *_NAME_SPEC.attrs)
+    out = repair.candidate_classes(suspects, table(spark, sf, "part"), _NAME_SPEC, "p_partkey", "p_name", 3)
+    return out.select("p_partkey", "present", "p_name", "times")
+
+
 @register("q78_repair_sampled")
 def q78(spark, sf):
     emb = part_embeddings(spark, sf, ["p_type"])

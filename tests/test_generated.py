@@ -274,6 +274,25 @@ def test_repair_gives_points_no_density(spark):
     assert {r.id: r.k for r in drawn.collect()}[99] == "c"
 
 
+def test_repair_by_classes_equals_the_whole_domain(spark, monkeypatch):
+    """400 values, of which a suspect's parents support a few: same top values and posteriors from few rows."""
+    r = np.random.RandomState(11)
+    rows = [(i, f"k{i % 6}", f"v{(i * 7) % 40:03}", float(r.normal(10 * (i % 6), 2)), int(r.randint(50))) for i in range(240)]
+    rows += [(1000 + i, "far", f"w{i:03}", 500.0, 900) for i in range(360)]
+    obs = spark.createDataFrame(rows, "id long, k string, v string, y double, z int")
+    spec = ModelSpec((freq("k"), cat("v", "k"), num("y", "k", "v"), cat("z", "k", "v", band("y", 3.0))))
+    suspects = obs.filter("id in (0, 7, 31, 100)").unionByName(spark.createDataFrame([(-1, "new", "v001", 3.0, 5), (-2, "k1", "v001", -90.0, 900)], obs.schema))
+    rows = repair.candidate_classes(suspects.select("id", *spec.attrs), obs, spec, "id", "v", 3)
+    assert rows.count() < 6 * 60 and {x[0] for x in rows.groupBy("id").agg(F.sum("times")).select("sum(times)").collect()} == {400}
+    few = repair.repair_exact(suspects, obs, spec, "id", "v", 3).orderBy("id", "rank").collect()
+    monkeypatch.setattr(repair, "_equal_keys", lambda *_: None)
+    every = repair.repair_exact(suspects, obs, spec, "id", "v", 3).orderBy("id", "rank").collect()
+    assert [(x.id, x.v, x.present, x["rank"]) for x in few] == [(x.id, x.v, x.present, x["rank"]) for x in every]
+    assert np.allclose([x.posterior for x in few], [x.posterior for x in every], atol=1e-12)
+    plan = repair.repair_exact(suspects, obs, spec, "id", "v", 3)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan  # the ranking keeps three rows before it shuffles
+
+
 def test_only_harmed_copies_are_labelled(spark):
     rows = [(i, "p" if i % 2 else "q", ["x", "y"][i // 2 % 2], f"only-{i % 2}-{i % 3}") for i in range(60)]
     df = spark.createDataFrame(rows, "id long, pivot string, everywhere string, own string")
