@@ -309,6 +309,57 @@ def impute(
     return out.select(F.col("_row").alias(id_col), *[F.col(f"_b.{x}").alias(x) for x in spec.attrs], "log_evidence")
 
 
+def evidence(
+    rows: DataFrame, obs: DataFrame, spec: ModelSpec, id_col: str, missing: list[str], emb: DataFrame | None = None
+) -> DataFrame:
+    """``id, log_evidence``: the exact log probability of the present columns, whatever the missing ones are.
+
+    Variables are eliminated one after the other. Every node that involves a missing column is a table of factors,
+    a row for each row id and each combination of values of the missing columns it involves; tables that
+    share the next column to go are multiplied by joins, and the column is summed out, shifted by its
+    maximum. No table is larger than the domains that one node, or one elimination, brings together. Missing
+    columns must be categories; nodes are judged as in ``impute``.
+    """
+    for a in missing:
+        if spec.node(a).numeric:
+            raise ValueError(f"{a} is a number; impute draws those")
+    given = cut(rows.select(id_col, *[a for a in spec.attrs if a not in missing]))
+    scope_of = lambda n: [a for a in missing if a == n.attr or a in [p.attr for p in n.parents]]
+    factors: list[tuple[list[str], DataFrame]] = []
+    for scope in dict.fromkeys(tuple(scope_of(n)) for n in spec.nodes):
+        nodes = [n.attr for n in spec.nodes if tuple(scope_of(n)) == scope]
+        unfolded = given
+        for a in scope:
+            numbered = cut(global_rank(obs.select(a).dropna().distinct(), a, "_rank"))
+            unfolded = unfolded.withColumn("_size", numbered.agg(F.count(F.lit(1))).scalar())
+            unfolded = unfolded.withColumn("_rank", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_size") - 1))).join(numbered, "_rank")
+        # columns that no node here looks at only have to be there
+        dummies = [F.lit(obs.select(a).dropna().first()[0]).cast(obs.schema[a].dataType).alias(a) for a in missing if a not in scope]
+        asked = unfolded.withColumn("_row", F.col(id_col)).select(id_col, "_row", *given.columns[1:], *scope, *dummies)
+        asked = cut(asked.withColumn(id_col, F.struct("_row", *scope)) if scope else asked)
+        scored = score(obs, spec, id_col, emb, rows=asked, keep=["_row"], only=nodes, point_mass=True)
+        lf = sum((F.when(F.isnan(lp(a)), F.lit(0.0)).otherwise(F.col(lp(a))) for a in nodes), F.lit(0.0))
+        factors.append((list(scope), cut(scored.select("_row", *scope, lf.alias("_lf")))))
+    for a in missing:
+        mine = [f for f in factors if a in f[0]]
+        factors = [f for f in factors if a not in f[0]]
+        scope, product = mine[0]
+        for other, table in mine[1:]:
+            shared = [x for x in other if x in scope]
+            product = product.join(table.withColumnRenamed("_lf", "_other"), ["_row", *shared])
+            product = product.withColumn("_lf", F.col("_lf") + F.col("_other")).drop("_other")
+            scope = scope + [x for x in other if x not in scope]
+        scope = [x for x in scope if x != a]
+        top = product.groupBy("_row", *scope).agg(F.max("_lf").alias("_top"))
+        shifted = F.when(F.col("_top") == dist.neg_inf(), F.lit(0.0)).otherwise(F.exp(F.col("_lf") - F.col("_top")))
+        summed = product.join(top, ["_row", *scope]).groupBy("_row", *scope).agg((F.first("_top") + dist.safe_ln(F.sum(shifted))).alias("_lf"))
+        factors.append((scope, cut(summed)))
+    every = factors[0][1]
+    for _, table in factors[1:]:
+        every = every.unionByName(table)
+    return every.groupBy("_row").agg(F.sum("_lf").alias("log_evidence")).select(F.col("_row").alias(id_col), "log_evidence")
+
+
 def unit_price(base: Column, year: Column, space: Column, rule: PriceRule) -> Column:
     """Price per unit of space by a rule."""
     age = F.lit(0.0)

@@ -356,6 +356,23 @@ def q80(spark, sf):
     return rounded(out)
 
 
+@register(
+    "q80_evidence",
+    f"""WITH {_PART_SCORE}, top AS (SELECT * FROM sc ORDER BY lp_p_brand + lp_p_type + lp_p_retailprice, p_partkey LIMIT 20),
+    st AS (SELECT p_brand, p_type, count(*) AS n, avg(p_retailprice) AS m2, stddev_samp(p_retailprice) AS s2 FROM part GROUP BY 1, 2),
+    tot AS (SELECT p_brand, count(*) AS nb2 FROM part GROUP BY 1), types AS (SELECT DISTINCT p_type FROM part),
+    cand AS (SELECT top.p_partkey, -ln(db) + {sql_smoothed('coalesce(n, 0)', 'nb2', 'seen.seen', 'dt')} +
+      {sql_normal('top.p_retailprice', 'CASE WHEN coalesce(n, 0) <= 1 THEN gm ELSE m2 END', 'CASE WHEN coalesce(n, 0) <= 1 THEN gs ELSE s2 END')} AS lj
+      FROM top CROSS JOIN tot CROSS JOIN types t JOIN seen ON seen.p_brand = tot.p_brand
+      LEFT JOIN st ON st.p_brand = tot.p_brand AND st.p_type = t.p_type, d),
+    w AS (SELECT *, max(lj) OVER (PARTITION BY p_partkey) AS best FROM cand)
+    SELECT p_partkey, round(max(best) + ln(sum(exp(lj - best))), 6) AS log_evidence FROM w GROUP BY p_partkey""",
+)
+def q80b(spark, sf):
+    """Brand and type missing: both are summed out, whatever they were."""
+    return rounded(synth.evidence(_suspects(spark, sf, 20), table(spark, sf, "part"), PART_SPEC, "p_partkey", ["p_type", "p_brand"]))
+
+
 @register(
     "q25_candidates",
     f"""WITH {_PART_SCORE}, top AS (SELECT * FROM sc ORDER BY lp_p_brand + lp_p_type + lp_p_retailprice, p_partkey LIMIT 20)

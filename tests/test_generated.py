@@ -293,6 +293,24 @@ def test_repair_by_classes_equals_the_whole_domain(spark, monkeypatch):
     assert "WindowGroupLimit" in plan  # the ranking keeps three rows before it shuffles
 
 
+def test_sampled_evidence_tends_to_the_exact_one(spark):
+    """Three missing columns, one of them a parent of both others."""
+    r = np.random.RandomState(13)
+    rows = [(i, f"a{i % 3}", f"b{(i + i // 9) % 4}", f"c{r.randint(3)}", float(r.normal(i % 3, 1))) for i in range(150)]
+    obs = spark.createDataFrame(rows, "id long, aa string, bb string, cc string, y double")
+    spec = ModelSpec((freq("aa"), cat("bb", "aa"), cat("cc", "aa", "bb"), num("y", "bb", "cc")))
+    asked = spark.createDataFrame([(1, 0.5), (2, 2.5)], "id long, y double")
+    exact = {x.id: x.log_evidence for x in synth.evidence(asked, obs, spec, "id", ["aa", "bb", "cc"]).collect()}
+    # by enumeration, every combination scored on its own
+    grid = asked.crossJoin(obs.select("aa").distinct()).crossJoin(obs.select("bb").distinct()).crossJoin(obs.select("cc").distinct())
+    scored = score(obs, spec, "id", rows=grid).groupBy("id").agg(F.log(F.sum(F.exp("score"))).alias("e")).collect()
+    assert all(abs(exact[x.id] - x.e) < 1e-9 for x in scored)
+    order = {x.id: x.log_evidence for x in synth.evidence(asked, obs, spec, "id", ["cc", "aa", "bb"]).collect()}
+    assert all(abs(order[i] - exact[i]) < 1e-9 for i in exact)
+    drawn = synth.impute(asked, obs, spec, "id", ["aa", "bb", "cc"], 3000, 4).collect()
+    assert all(abs(x.log_evidence - exact[x.id]) < 0.15 for x in drawn)
+
+
 def test_only_harmed_copies_are_labelled(spark):
     rows = [(i, "p" if i % 2 else "q", ["x", "y"][i // 2 % 2], f"only-{i % 2}-{i % 3}") for i in range(60)]
     df = spark.createDataFrame(rows, "id long, pivot string, everywhere string, own string")
