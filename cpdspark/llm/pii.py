@@ -14,8 +14,8 @@ them certain, vote for or against a candidate, or abstain:
 Expectation-maximisation finds how reliable each labeler is, and how many candidates of a kind are personal,
 from the counts of vote patterns of all candidates of the table (at most 8 * 3^5). Its posteriors are the labels
 of the final classifier, a logistic regression on the features of the span, fitted to their sums per feature
-pattern (at most 8 * 2^11). A loose candidate is reported if the classifier is sure, some labeler votes for it,
-and no fixed span overlaps it.
+pattern (at most 8 * 2^11). A loose candidate is reported if the classifier is sure, more labelers vote for it
+than against it, and no fixed span overlaps it.
 
 Positions are code points, end exclusive. Matches are marked inside the text by two control characters that
 no pattern can match; where a text has them itself, a third one stands in. Of a text's pieces only lengths,
@@ -338,11 +338,11 @@ def _probability(span: Column, model: Model) -> Column:
 
 
 def _backed(votes: Column) -> Column:
-    """Whether any labeler votes for it."""
-    yes = F.lit(False)
+    """Whether more labelers vote for it than against it."""
+    balance = F.lit(0)
     for i in range(len(LABELERS)):
-        yes = yes | (F.floor(votes / 3**i) % 3 == 2)
-    return yes
+        balance = balance + F.floor(votes / 3**i).cast("int") % 3 - 1
+    return balance > 0
 
 
 def spans(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
