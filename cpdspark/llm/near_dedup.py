@@ -44,7 +44,7 @@ REGISTERS = BANDS * BAND_ROWS
 B, RATE, TOP = 1.001, 20.0, 65_535
 PERCENT = 80  # least similarity of linked sets
 ERRORS = 6.0  # standard errors that an estimate may fall short
-BLOCK = 256  # classes of a bucket compared at a time
+BLOCK = 2048  # classes of a bucket compared at a time; a block is fetched once for each other block of its bucket
 BITS = 4096  # of the bitmap of a set
 BROADCAST_IDS = 1_000_000  # 8 MB; beyond it the join shuffles
 
@@ -236,19 +236,23 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
     The members of a bucket of g classes are dealt into ``g / BLOCK`` blocks by a hash. Only the numbers of
     blocks are paired by bucket; each pair then fetches its two blocks, so a hot bucket is many tasks.
     """
-    block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("g") / BLOCK)).cast("int")
-    rows = members.withColumn("block", block).groupBy("key", "block")
-    held = cut(
-        rows.agg(
-            F.collect_list(F.struct("rep", "part", "n", "sketch")).alias("rows"), F.min("part").alias("low"), F.max("part").alias("high")
-        )
+    blocks = F.ceil(F.col("g") / BLOCK).cast("int")
+    dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    held = dealt.groupBy("key", "block").agg(
+        F.collect_list(F.struct("rep", "part", "n", "sketch")).alias("rows"),
+        F.min("part").alias("low"),
+        F.max("part").alias("high"),
+        F.first("blocks").alias("blocks"),
     )
-    known = held.select("key", "block", "low", "high")
+    alone = held.filter("low != high").select("rows", F.lit(None).cast(held.schema["rows"].dataType).alias("rows2"))
+    large = held.filter("blocks > 1")
+    known = large.select("key", "block", "low", "high")
     other = known.select("key", *[F.col(c).alias(f"{c}2") for c in ("block", "low", "high")])
     several = (F.col("low") != F.col("high")) | (F.col("low2") != F.col("high2")) | (F.col("low") != F.col("low2"))
-    pairs = known.join(other, "key").filter((F.col("block") <= F.col("block2")) & several).select("key", "block", "block2")
-    met = pairs.join(held.select("key", "block", "rows"), ["key", "block"])
-    met = met.join(held.select("key", F.col("block").alias("block2"), F.col("rows").alias("rows2")), ["key", "block2"])
+    pairs = known.join(other, "key").filter((F.col("block") < F.col("block2")) & several).select("key", "block", "block2")
+    met = pairs.join(large.select("key", "block", "rows"), ["key", "block"])
+    met = met.join(large.select("key", F.col("block").alias("block2"), F.col("rows").alias("rows2")), ["key", "block2"])
+    met = alone.unionByName(met.select("rows", "rows2"))
 
     def arrays(rows) -> tuple:
         return (*(np.array([r[c] for r in rows]) for c in ("rep", "part", "n")), *_parts([r["sketch"] for r in rows]))
@@ -257,7 +261,7 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             for one, two in zip(batch.rows, batch.rows2):
                 rep, part, n, x, x_bits = arrays(one)
-                rep2, part2, n2, y, y_bits = arrays(two)
+                rep2, part2, n2, y, y_bits = arrays(one if two is None else two)  # a block by itself
                 first, second = [], []
                 for i in range(len(rep)):
                     other = np.flatnonzero((part2 != part[i]) & (np.minimum(n2, n[i]) * 100 >= np.maximum(n2, n[i]) * percent))
