@@ -34,7 +34,7 @@ _SLICE_CELLS = 2_000_000
 _ROUND = 12
 CELL = 512  # values of a cell, about
 MAX_PIVOTS = 4096  # of an attribute; with vectors of 100 numbers these are 3 MB
-FIRST_DEPTH, DEEPER = 2, 4
+FIRST_DEPTH, DEEPER = 4, 4
 _MARGIN = 1e-6  # of angles, above the error of an arc cosine
 
 
@@ -151,9 +151,11 @@ def _in_rounds(q: DataFrame, c: DataFrame, keys: list[str], attrs: list[str], *h
     asked, listed = cut(_values_of(q, attrs)), cut(_values_of(c, attrs))
     by_value = c.withColumn("_v", F.explode(_pairs_of_attrs(c, attrs)))
     by_value = by_value.select(*c.columns, F.col("_v.attr").alias("_attr"), F.col("_v.value").alias("_near"))
-    found, undone, before, depth = None, q, 0, FIRST_DEPTH
+    found, undone, before, depth, known = None, q, 0, FIRST_DEPTH, 0
     while True:
-        lists = cut(nearest_values(asked, listed, depth + 1))
+        if known <= depth:  # lists for this round and the next
+            known = depth * DEEPER + 1
+            lists = cut(nearest_values(asked, listed, known))
         near = lists.filter((F.col("rank") > before) & (F.col("rank") <= depth))
         near = near.select(F.col("attr").alias("_attr"), F.col("value").alias("_value"), F.col("neighbour").alias("_near"))
         each = undone.withColumn("_v", F.explode(_pairs_of_attrs(undone, attrs)))
