@@ -9,11 +9,11 @@ The renderer keeps a stack of boxes instead of recursing, so depth is no limit:
 - blocks stand on lines of their own; paragraphs, headings, lists and tables have a blank line around them;
 - list items are marked (``-``, or their number) and indented by depth;
 - table cells are aligned: columns are as wide as their widest cell up to ``CELL`` characters (wider
-  cells keep all their text and only push their own line), cells over several columns count.
+  cells keep all their text and only push their own line), cells over several columns or rows count.
 
 Not visible: head, scripts, styles, templates, ``noscript`` and embedded frames, comments, elements with
 ``hidden``, ``display:none`` or ``visibility:hidden`` in their style or by the page's own style sheets, hidden
-inputs, closed ``dialog`` and ``details`` (except the summary). Of style sheets count rules for a tag, classes and an id
+inputs and passwords, closed ``dialog`` and ``details`` (except the summary). Of style sheets count rules for a tag, classes and an id
 of the element itself, by importance, specificity and order, and media rules as on a screen of 1280 pixels; selectors
 with relations, attributes or states do not count. Of ``svg`` the texts and foreign objects are visible, of ``math`` all
 but annotations, of ``object`` what stands in for it.
@@ -84,7 +84,10 @@ _SELECTOR = re.compile(r"(?:[a-zA-Z][\w-]*|\*)?(?:[.#][\w-]+)*")
 _WIDTH = re.compile(r"\(\s*(min|max)-width\s*:\s*([\d.]+)\s*(px|em|rem)?\s*\)")
 _SCREEN = 1280
 _SPACES = re.compile(r"[ \t\n\r\f\v ]+")
-_STYLE = re.compile(r"<style([^>]*)>(.*?)</style", re.S | re.I)
+MOST_ROWS = 65_534  # that a cell covers
+_VALUES = frozenset(
+    ["", *"text search email url tel number date time datetime-local month week submit button reset".split()]
+)  # input types whose value is seen
 _ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
 
 
@@ -125,11 +128,15 @@ Rules = dict[str, list[tuple[frozenset[str], str, tuple[bool, int, int, int, int
 
 
 def _rules(page: str) -> Rules:
-    """What the page's style sheets say on display and visibility, by one name of each selector."""
+    """What the page's style sheets say on display and visibility, by one name of each selector.
+
+    A style sheet is what the tree builder calls so: not the like in comments, scripts, templates or ``noscript``.
+    """
     out: Rules = {}
     order = 0
-    for attributes, sheet in _STYLE.findall(page):
-        attributes = _attributes(attributes)
+    for kind, sheet, attributes in events(page):
+        if kind != "style":
+            continue
         if not _on_screen(attributes.get("media", "")) or attributes.get("type", "text/css").lower() not in ("", "text/css"):
             continue
         blocks: list[bool] = []  # whether each open at-rule holds
@@ -165,13 +172,16 @@ def _rules(page: str) -> Rules:
                     blocks.append(False)
                 else:
                     selectors, body = [x.strip() for x in text.split(",")], ""
-    return out if any(hides for rules in out.values() for *_, hides in rules) else {}
+    return out
 
 
-def _is_hidden(tag: str, attributes: dict[str, str], rules: Rules) -> bool:
-    if tag in UNSEEN or "hidden" in attributes or tag == "dialog" and "open" not in attributes:
-        return True
+def _shown(tag: str, attributes: dict[str, str], rules: Rules) -> tuple[bool, bool | None]:
+    """Whether an element has a box, and whether its visibility is set to hidden (None: as around it)."""
+    if tag in UNSEEN or tag == "dialog" and "open" not in attributes:
+        return False, None
     best: dict[str, tuple[tuple, bool]] = {}
+    if "hidden" in attributes:  # gives way to any rule on display
+        best["display"] = (False, -1), True
     if rules:
         names = {tag, "#" + attributes.get("id", ""), *("." + c for c in attributes.get("class", "").split())}
         for name in (*names, "*"):
@@ -181,11 +191,11 @@ def _is_hidden(tag: str, attributes: dict[str, str], rules: Rules) -> bool:
     for prop, hides, important in _declared(attributes.get("style", "")):
         if prop not in best or best[prop][0] <= (important, 1 << 30):
             best[prop] = (important, 1 << 30), hides
-    return any(hides for _, hides in best.values())
+    return not best.get("display", (0, False))[1], best["visibility"][1] if "visibility" in best else None
 
 
 def events(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
-    """Balanced ``open``, ``close`` and ``text`` events, with implied tags supplied."""
+    """Balanced ``open``, ``close`` and ``text`` events, with implied tags supplied, and ``style`` events for sheets."""
     stack: list[str] = []
     open_now: Counter[str] = Counter()  # so that a search which must fail costs nothing, however deep the stack
 
@@ -256,6 +266,8 @@ def events(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
             continue
         if tag in RAW:
             end = _ENDS[tag].search(page, at)
+            if tag == "style" and not open_now["template"]:
+                yield "style", page[at : end.start() if end else len(page)], attributes
             if tag == "textarea":
                 yield "text", page[at : end.start() if end else len(page)], {}
             if tag == "xmp":
@@ -324,23 +336,42 @@ class _Box:
         return lines[start:]
 
 
-def aligned(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Lines of a table whose cells are (lines, columns)."""
-    widths: dict[int, int] = {}
+Cell = tuple[list[str], int, int]  # its lines, columns and rows
+
+
+def _placed(rows: list[list[Cell]]) -> Iterator[list[tuple[int, list[str], int]]]:
+    """``(column, lines, columns)`` of the cells of each row; cells from rows above keep their columns taken."""
+    taken: dict[int, int] = {}  # column: rows that a cell above still covers
     for row in rows:
-        at = 0
-        for lines, span in row:
+        at, cells, more = 0, [], {}
+        for lines, span, down in row:
+            while at in taken:
+                at += 1
+            cells.append((at, lines, span))
+            if down > 1:
+                more |= dict.fromkeys(range(at, at + span), down - 1)
+            at += span
+        taken = {c: n - 1 for c, n in taken.items() if n > 1} | more
+        yield cells
+
+
+def aligned(rows: list[list[Cell]]) -> list[str]:
+    """Lines of a table."""
+    widths: dict[int, int] = {}
+    placed = list(_placed(rows))
+    for row in placed:
+        for at, lines, span in row:
             if span == 1:
                 widths[at] = max(widths.get(at, 0), min(CELL, max(map(len, lines), default=0)))
-            at += span
     out = []
-    for row in rows:
-        for k in range(max((len(lines) for lines, _ in row), default=0)):
-            line, at = [], 0
-            for lines, span in row:
+    for row in placed:
+        for k in range(max((len(lines) for _, lines, _ in row), default=0)):
+            line, end = [], 0
+            for at, lines, span in row:
+                line += [" " * widths.get(c, 0) for c in range(end, at)]
                 width = sum(widths.get(at + i, 0) for i in range(span)) + 2 * (span - 1)
                 line.append((lines[k] if k < len(lines) else "").ljust(width))
-                at += span
+                end = at + span
             out.append("  ".join(line).rstrip())
     return out
 
@@ -355,15 +386,17 @@ class _Layout:
     def __init__(self, page: str) -> None:
         self.rules = _rules(page) if "<style" in page.lower() else {}
         self.boxes = [_Box()]
-        self.tables: list[list[list[tuple[list[str], int]]]] = []
+        self.tables: list[list[list[Cell]]] = []
         self.lists: list[int | None] = []  # next number, or None for marks
-        self.pre = self.dark = 0  # dark: depth inside what is not seen
+        self.pre = self.dark = 0  # dark: depth inside what has no box
+        self.veiled = False  # visibility is hidden: there are boxes, but nothing in them
         self.svg = self.math = self.shapes = 0  # shapes: inside svg, outside its texts
         self.details: list[bool] = []
         self.undo: list = []  # what to do when each open element closes
 
     def open(self, tag: str, attributes: dict[str, str]) -> None:
-        if self.dark or self._unseen(tag) or _is_hidden(tag, attributes, self.rules):
+        boxed, hides = (False, None) if self.dark or self._unseen(tag) else _shown(tag, attributes, self.rules)
+        if not boxed:
             if tag not in VOID:
                 self.dark += 1
                 self.undo.append(self._lighter)
@@ -375,13 +408,20 @@ class _Layout:
             box.block(True)
             box.add("---")
             box.block(True)
-        elif tag == "input" and attributes.get("type", "").lower() in ("submit", "button", "reset"):
+        elif tag == "input" and attributes.get("type", "").lower() in _VALUES and not (self.veiled if hides is None else hides):
             box.text(attributes.get("value", ""))
         if tag in VOID:
             return
         if tag in BLOCKS:
             box.block(tag in SPACED and not (tag in ("ul", "ol") and self.lists))
-        self.undo.append(self._opened(tag, attributes))
+        before, self.veiled = self.veiled, self.veiled if hides is None else hides
+        close = self._opened(tag, attributes)
+        self.undo.append(close if before == self.veiled else lambda: self._unveiled(before, close))
+
+    def _unveiled(self, before: bool, close) -> None:
+        self.veiled = before
+        if close:
+            close()
 
     def _unseen(self, tag: str) -> bool:
         return bool(self.svg) and tag in _UNSEEN_SVG or bool(self.math) and tag in _UNSEEN_MATH
@@ -421,7 +461,8 @@ class _Layout:
         elif tag in ("td", "th") and self.tables and self.tables[-1]:
             self.boxes.append(_Box())
             span = min(1000, max(1, _number(attributes.get("colspan"), 1)))
-            return lambda: self._after_cell(span)
+            down = _number(attributes.get("rowspan"), 1) or MOST_ROWS
+            return lambda: self._after_cell(span, max(1, min(MOST_ROWS, down)))
         elif tag == "details" and "open" not in attributes:
             return self._closed_details()
         elif tag == "summary" and self.details and self.details[-1]:
@@ -459,8 +500,8 @@ class _Layout:
 
         return after
 
-    def _after_cell(self, span: int) -> None:
-        self.tables[-1][-1].append((self.boxes.pop().done(), span))
+    def _after_cell(self, span: int, down: int) -> None:
+        self.tables[-1][-1].append((self.boxes.pop().done(), span, down))
 
     def _after_table(self) -> None:
         box = self.boxes[-1]
@@ -495,7 +536,7 @@ class _Layout:
             action()
 
     def text(self, s: str) -> None:
-        if self.dark or self.shapes:
+        if self.dark or self.shapes or self.veiled:
             return
         s = html.unescape(s) if "&" in s else s
         if self.pre:
@@ -510,6 +551,8 @@ def render(page: str) -> str:
     for kind, value, attributes in events(page):
         if kind == "text":
             layout.text(value)
+        elif kind == "style":
+            continue
         elif kind == "open":
             layout.open(value, attributes)
             if value == "br":

@@ -126,6 +126,17 @@ PAGES = [
     ("<textarea>t\n u</textarea><input type=submit value=Go><title>no</title>", "t\n uGo"),
     ("x<hr>y<img src=a alt=no>", "x\n\n---\n\ny"),
     ("<a href='>'>q</a><p", "q<p"),
+    ("<noscript><style>.js{display:none}</style></noscript><div class=js>X</div>", "X"),
+    ("<!-- <style>.m{display:none}</style> --><script>'<style>.m{display:none}</style>'</script><p class=m>X", "X"),
+    ("<template><style>p{display:none}</style></template><p>X<style>b{display:none}</style><b>no</b>", "X"),
+    ("<p>a<style>i{display:none}", "a"),
+    ("<div style='visibility:hidden'>no<p style='visibility:visible'>yes</p>no</div>z", "yes\n\nz"),
+    ("<style>.b{display:block}</style><p hidden class=b>yes<p hidden>no", "yes"),
+    ("<div hidden>no<p style='display:block;visibility:visible'>no</p></div>yes", "yes"),
+    ("<input value=typed><input type=password value=no><input type=hidden value=no>", "typed"),
+    ("<table><tr><td rowspan=2>aa<td>bb<tr><td>cc</table>", "aa  bb\n    cc"),
+    ("<table><tr><td>a<td rowspan=0>b<td>c<tr><td>d<td>e<tr><td>f<td>g</table>", "a  b  c\nd     e\nf     g"),
+    ("<table><tr><td rowspan=2 colspan=2>ab<td>c<tr><td>d<tr><td>x<td>y<td>z</table>", "ab    c\n      d\nx  y  z"),
     ("", ""),
 ]
 
