@@ -172,7 +172,8 @@ def spans(documents: DataFrame, rule: EntropyRule = EntropyRule()) -> DataFrame:
         F.array_sort(F.collect_list(F.when(F.col("match").isNotNull(), span))).alias("_all")
     )
     base = F.filter("_all", lambda s: s["kind"] != "entropy")
-    apart = lambda s: ~F.exists(F.col("_base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    # a run that only overlaps base spans, as a key with hex digits inside, is reported whole beside them
+    apart = lambda s: ~F.exists(F.col("_base"), lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
     chosen = grouped.withColumn("_base", base).select(
         "doc_id",
         F.filter(
@@ -213,19 +214,27 @@ def _masked(text: Column, pattern: str, bad) -> Column:
 
 
 def mask(documents: DataFrame, rule: EntropyRule = EntropyRule()) -> DataFrame:
-    """Every row, its secrets replaced by ``[masked]`` kind by kind; ``n_chars`` follows. No shuffle.
+    """Every row, its secrets replaced by ``[masked]``; ``n_chars`` follows. No shuffle.
+
+    Assignments go first, then runs of high entropy as wholes, then what access keys and hex digits are left.
 
     Texts without a secret stay as they are, to the byte. Where secrets are masked, the two marking
     characters, if a text has them, become another control character.
     """
     out, columns = documents, documents.columns
-    for k in KINDS:
+
+    def base(out: DataFrame, k: _Kind) -> DataFrame:
         longer = F.col("text").rlike(_least(k.pattern, k.least))
-        masked = _masked(_plain(F.col("text")), k.pattern, lambda _, body, n=k.least: F.length(body) >= n)
-        out = out.withColumn("text", F.when(longer, masked).otherwise(F.col("text")))
+        masked = _masked(_plain(F.col("text")), k.pattern, lambda _, body: F.length(body) >= k.least)
+        return out.withColumn("text", F.when(longer, masked).otherwise(F.col("text")))
+
+    out = base(out, KINDS[0])
+    # before access keys and hex digits, which may lie inside a longer key
     longer = F.col("text").rlike(_least(CANDIDATE, rule.window))
     found = _masked(_plain(F.col("text")), CANDIDATE, lambda head, body: (head == "") & _suspicious(body, rule))
     out = out.withColumn("text", F.when(longer & F.contains(found, F.lit(MASK)), found).otherwise(F.col("text")))
+    for k in KINDS[1:]:
+        out = base(out, k)
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*[F.col(f"`{c}`") for c in columns])

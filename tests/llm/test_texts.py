@@ -59,6 +59,14 @@ def test_sliding_entropy(spark):
     assert got == {r: pytest.approx(best(r)) for r in runs}
 
 
+def test_a_key_around_hex_digits_is_masked_whole(spark):
+    key = "Zq9xWvTrYp0123456789abcdef01234567KpXm7LmVt8RwQs"
+    df = spark.createDataFrame([(1, f"see {key} here"), (2, "hex 0123456789abcdef01234567 only"), (3, f'token = "{key}"')], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in secrets.mask(df).collect()} == {1: "see [masked] here", 2: "hex [masked] only", 3: '[masked]"'}
+    got = {r.doc_id: r.spans for r in secrets.find(df).collect()}
+    assert got[1] == f"entropy:4:{4 + len(key)},hex:14:38" and got[2] == "hex:4:28" and "entropy" not in got[3]
+
+
 def test_random_keys_are_found(documents):
     import random
     import string
