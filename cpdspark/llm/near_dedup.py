@@ -236,23 +236,18 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
     The members of a bucket of g classes are dealt into ``g / BLOCK`` blocks by a hash. Only the numbers of
     blocks are paired by bucket; each pair then fetches its two blocks, so a hot bucket is many tasks.
     """
-    blocks = F.ceil(F.col("g") / BLOCK).cast("int")
-    dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    held = dealt.groupBy("key", "block").agg(
-        F.collect_list(F.struct("rep", "part", "n", "sketch")).alias("rows"),
-        F.min("part").alias("low"),
-        F.max("part").alias("high"),
-        F.first("blocks").alias("blocks"),
-    )
-    alone = held.filter("low != high").select("rows", F.lit(None).cast(held.schema["rows"].dataType).alias("rows2"))
-    large = held.filter("blocks > 1")
-    known = large.select("key", "block", "low", "high")
+    ends = F.min("part").alias("low"), F.max("part").alias("high")
+    rows = F.collect_list(F.struct("rep", "part", "n", "sketch")).alias("rows")
+    within = members.filter(F.col("g") <= BLOCK).groupBy("key").agg(rows, *ends).filter("low != high").select("rows")
+    block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("g") / BLOCK)).cast("int")
+    held = members.filter(F.col("g") > BLOCK).withColumn("block", block).groupBy("key", "block").agg(rows, *ends)
+    known = held.select("key", "block", "low", "high")
     other = known.select("key", *[F.col(c).alias(f"{c}2") for c in ("block", "low", "high")])
     several = (F.col("low") != F.col("high")) | (F.col("low2") != F.col("high2")) | (F.col("low") != F.col("low2"))
-    pairs = known.join(other, "key").filter((F.col("block") < F.col("block2")) & several).select("key", "block", "block2")
-    met = pairs.join(large.select("key", "block", "rows"), ["key", "block"])
-    met = met.join(large.select("key", F.col("block").alias("block2"), F.col("rows").alias("rows2")), ["key", "block2"])
-    met = alone.unionByName(met.select("rows", "rows2"))
+    pairs = known.join(other, "key").filter((F.col("block") <= F.col("block2")) & several).select("key", "block", "block2")
+    met = pairs.join(held.select("key", "block", "rows"), ["key", "block"])
+    met = met.join(held.select("key", F.col("block").alias("block2"), F.col("rows").alias("rows2")), ["key", "block2"])
+    met = within.withColumn("rows2", F.lit(None).cast(within.schema["rows"].dataType)).unionByName(met.select("rows", "rows2"))
 
     def arrays(rows) -> tuple:
         return (*(np.array([r[c] for r in rows]) for c in ("rep", "part", "n")), *_parts([r["sketch"] for r in rows]))
