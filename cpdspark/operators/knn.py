@@ -364,6 +364,10 @@ def nearest_values(asked: DataFrame, values: DataFrame, k: int, exclude_equal: b
         return pd.DataFrame({"cell": cell, "angle": angle})
 
     v = vector_column("value")
+    q = asked.select(F.to_json(F.struct("attr", "value")).alias("qid"), "attr", "value", F.col("vec").alias(v), F.lit(k).cast("long").alias("_need"))
+    if all(len(p.vectors) == 1 for p in pivots.values()):  # one cell an attribute: nothing to leave out
+        one = values.select(F.col("value").alias("cid"), "attr", "value", F.col("vec").alias(v))
+        return _by_value(_best(_compared(q, one, ["attr"], ["value"], None, 0, exclude_equal, False, [])))
     in_cells = cut(values.withColumn("_p", placed("attr", "vec")).select("attr", "value", "vec", F.col("_p.cell").alias("_cell"), "_p.angle"))
     rings = in_cells.groupBy("attr", "_cell").agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.count(F.lit(1)).alias("n"))
     for r in rings.collect():  # a row for each pivot
@@ -398,13 +402,15 @@ def nearest_values(asked: DataFrame, values: DataFrame, k: int, exclude_equal: b
             out.append([int(i) for i in np.flatnonzero((bounds <= reach) & (bounds < np.inf)) if i not in done])
         return pd.Series(out, dtype=object)
 
-    q = asked.select(F.to_json(F.struct("attr", "value")).alias("qid"), "attr", "value", F.col("vec").alias(v), F.lit(k).cast("long").alias("_need"))
     c = in_cells.select(F.col("value").alias("cid"), "attr", "value", F.col("vec").alias(v), "_cell")
     how = (["attr", "_cell"], ["value"], None, 0, exclude_equal, False, [])
     near = cut(_best(_compared(q.withColumn("_cell", F.explode(cells_at_first("attr", v))), c, *how)).drop("rank"))
     worst = near.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.max("dist")).alias("_worst"))
     more = q.join(worst, "qid", "left").withColumn("_cell", F.explode(cells_left("attr", v, F.col("_worst"))))
-    found = _best(near.unionByName(_compared(more.drop("_worst"), c, *how)))
+    return _by_value(_best(near.unionByName(_compared(more.drop("_worst"), c, *how))))
+
+
+def _by_value(found: DataFrame) -> DataFrame:
     key = F.from_json("qid", "attr string, value string")
     return found.select(key["attr"].alias("attr"), key["value"].alias("value"), F.col("cid").alias("neighbour"), "dist", "rank")
 
