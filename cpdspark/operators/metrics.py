@@ -83,15 +83,21 @@ def precision_at_k(
 ) -> DataFrame:
     """Share of labelled rows among the k lowest scores, and their recall.
 
-    Without ``k`` it is the number of labelled rows, so that precision equals recall. Works from
+    Without ``k`` it is the number of labelled rows, so that precision equals recall; where there is no such
+    row, it is 0 and the shares are null. Works from
     ranks, not from a sorted list in one task, as k may be a fixed share of a large table.
     """
     points = pr_roc(scored, label, id_col, by, chunks)
     depth = F.col("tp") + F.col("fp")
     # recall = tp / P, so P is known in every row that has a hit so far.
-    wanted = F.round(F.col("tp") / F.when(F.col("recall") > 0, F.col("recall"))).cast("long") if k is None else F.lit(k)
+    wanted = F.round(F.col("tp") / F.when(F.col("tp") > 0, F.col("recall"))).cast("long") if k is None else F.lit(k)
     at = F.struct(depth.alias("k"), F.col("precision"), F.col("recall"))
-    best = points.groupBy(*by).agg(F.max(F.when(depth == wanted, at)).alias("_at"))
+    best = F.max(F.when(depth == wanted, at))
+    if k is None:
+        unknown = F.lit(None).cast("double")
+        none = F.struct(F.lit(0).cast("long").alias("k"), unknown.alias("precision"), unknown.alias("recall"))
+        best = F.coalesce(best, F.when(F.max("tp") == 0, none))
+    best = points.groupBy(*by).agg(best.alias("_at"))
     return best.select(*by, "_at.*")
 
 

@@ -77,6 +77,18 @@ def test_detection_beats_chance(spark):
     assert got["k"] == 30 and got["precision"] == got["recall"] and got["precision"] > 0.6
 
 
+def test_precision_without_a_labelled_row(spark):
+    """Every state occurs with every city, so that no copy is harmed and no row is labelled."""
+    df = spark.createDataFrame([(i, f"c{i % 4}", f"s{i // 4 % 3}", float(i % 7)) for i in range(84)], "id int, city string, state string, rent double")
+    bad = inject.inject_errors(df, "id", "city", ["state"], 0.5, 2, share=0.1)
+    spec = ModelSpec((uniform("city"), cat("state", "city"), num("rent", "state")))
+    scored = score(bad, spec, "id", keep=["negative_sample"])
+    got = precision_at_k(scored, "negative_sample", "id").collect()
+    assert [tuple(r) for r in got] == [(0, None, None)]
+    by = precision_at_k(scored.withColumn("part", F.col("id") % 2), "negative_sample", "id", by=["part"])
+    assert {r["k"] for r in by.collect()} == {0}
+
+
 def test_sampled_repair_tends_to_exact(spark):
     df = make(200)
     df.loc[3, ["state", "city", "rent"]] = ["A", "B1", 900.0]
