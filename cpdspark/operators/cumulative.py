@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from cpdspark.functions.lineage import cut
+
 POINTS_PER_CHUNK = 250_000
 _SAMPLE_PER_CHUNK = 16
 _COARSE = 128  # borders looked at per step of the two-step search
@@ -18,7 +20,11 @@ _AGG = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
 def _split_points(points: DataFrame, keys: list[str], pos: str, chunks: int) -> Column:
-    """The sorted inner borders of the chunks, and every 128th of them; the size is fixed by ``chunks``."""
+    """The sorted inner borders of the chunks, and every 128th of them; the size is fixed by ``chunks``.
+
+    They are found once, so that all readers of the chunks use the same, and ``points`` that came out of
+    chunks themselves leave no subquery inside a subquery, which the optimizer fails to compare.
+    """
     if isinstance(points.schema[pos].dataType, T.NumericType):
         shares = [i / chunks for i in range(1, chunks)]
         borders = points.agg(F.percentile_approx(pos, shares, 20 * max(chunks, 64)).alias("fine"))
@@ -32,7 +38,7 @@ def _split_points(points: DataFrame, keys: list[str], pos: str, chunks: int) ->
         every = F.filter(F.col("_sample"), lambda _, i: i % _SAMPLE_PER_CHUNK == _SAMPLE_PER_CHUNK - 1)
         borders = sample.select(every.alias("fine"))
     coarse = F.filter("fine", lambda _, i: i % _COARSE == _COARSE - 1)
-    return borders.select(F.struct("fine", coarse.alias("coarse"))).scalar()
+    return cut(borders.select(F.struct("fine", coarse.alias("coarse")).alias("_splits"))).scalar()
 
 
 def with_chunk(df: DataFrame, points: DataFrame, keys: list[str], pos: str, chunks: int) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from cpdspark.functions import distributions as dist
-from cpdspark.operators import beta, cpd, fuzzy, inject, repair, synth, vocabulary
+from cpdspark.operators import beta, cpd, cumulative, fuzzy, inject, repair, synth, vocabulary
 from cpdspark.operators.metrics import precision_at_k
 from cpdspark.operators.score import most_improbable, score
 from cpdspark.plans.catalogue import CATALOGUE
@@ -176,6 +176,15 @@ def test_banded_embedded_draws_borrow_neighbours(spark):
     _shares_against_score(spark, obs, spec, places, "v", emb)
 
 
+def test_simulate_in_bands_of_several_chunks(spark, monkeypatch):
+    r = np.random.RandomState(5)
+    df = spark.createDataFrame(pd.DataFrame(dict(id=np.arange(300), a=r.choice(list("xyz"), 300), size=r.randint(1, 30, 300), b=r.choice([f"b{i:02d}" for i in range(40)], 300))))
+    spec = ModelSpec((uniform("a"), freq("size"), cat("b", "a", band("size", 2))))
+    one = synth.simulate(df, spec, 80, 3, "id").orderBy("id").collect()
+    monkeypatch.setattr(cumulative, "POINTS_PER_CHUNK", 60)
+    assert synth.simulate(df, spec, 80, 3, "id").orderBy("id").collect() == one and len(one) == 80
+
+
 def test_simulate_with_neighbours(spark):
     df = make(120)
     _, emb = vectors(spark, df, ["state", "city"])
