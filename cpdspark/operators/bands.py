@@ -4,17 +4,18 @@ A band is evaluated on a whole-number grid (``digits`` decimals), so its inclusi
 exact. Data is first reduced to distinct (keys, grid) points. Counts are differences of running
 totals (exact, integers). Moments are never subtracted: the axis is cut into blocks as wide as
 the radius, and a band is the tail of the block before, the block itself, and the head of the
-block after.
+block after. Keys that fit a task are shuffled once for that.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cpdspark.operators.cumulative import totals_at, with_previous
+from cpdspark.operators.cumulative import chunks_for, totals_at, with_previous
 
 DIGITS = 6
 MOMENTS = {"n": "sum", "s1": "sum", "s2": "sum", "lo": "min", "hi": "max"}
+_AGG = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
 def grid(x: Column, digits: int = DIGITS) -> Column:
@@ -87,10 +88,72 @@ def moment_points(df: DataFrame, keys: list[str], pos: str, target: str, centre:
 
 
 def band_moments(
-    points: DataFrame, queries: DataFrame, keys: list[str], pos: str, radius: int, chunks: int | None = None
+    points: DataFrame, queries: DataFrame | None, keys: list[str], pos: str, radius: int, chunks: int | None = None
+) -> DataFrame:
+    """``queries`` (distinct keys, pos) with the :data:`MOMENTS` of all points within the radius.
+
+    Without queries the points ask about themselves. No key has more points than there are positions: if
+    these fit one chunk, a key is answered in one task. Otherwise the positions are cut into chunks too.
+    """
+    if chunks_for(points.select(pos).distinct()) <= 1:
+        return _moments_by_key(points, queries, keys, pos, radius)
+    queries = points.select(*keys, pos) if queries is None else queries
+    return _moments_by_chunk(points, queries, keys, pos, radius, chunks_for(points) if chunks is None else chunks)
+
+
+def _block(pos: str, radius: int) -> Column:
+    return F.floor(F.col(pos) / F.lit(radius)).cast("long")
+
+
+def _moments_by_key(points: DataFrame, queries: DataFrame | None, keys: list[str], pos: str, radius: int) -> DataFrame:
+    """One shuffle by key; the blocks' heads and tails are running values, found again at the ends of the band."""
+    rows = points.select(*keys, pos, *MOMENTS, F.lit(queries is None).alias("_asked"))
+    if queries is not None:
+        empty = [F.lit(None).cast(points.schema[m].dataType).alias(m) for m in MOMENTS]
+        rows = rows.unionByName(queries.select(*keys, pos, *empty, F.lit(True).alias("_asked")))
+    rows = (rows.repartition(*keys) if keys else rows).withColumn("_block", _block(pos, radius))
+    block, key, start = Window.partitionBy(*keys, "_block"), Window.partitionBy(*keys), Window.unboundedPreceding
+    over = lambda w: F.struct("_block", *[_AGG[kind](m).over(w).alias(m) for m, kind in MOMENTS.items()])
+    rows = rows.select(
+        *keys,
+        pos,
+        "_asked",
+        "_block",
+        over(block).alias("_whole"),
+        over(block.orderBy(pos).rangeBetween(start, 0)).alias("_head"),
+        over(block.orderBy(F.desc(pos)).rangeBetween(start, 0)).alias("_tail"),
+    )
+    rows = rows.select(
+        *keys,
+        pos,
+        "_asked",
+        "_block",
+        "_whole",
+        F.last("_head").over(key.orderBy(pos).rangeBetween(start, radius)).alias("_head"),
+        F.last("_tail").over(key.orderBy(F.desc(pos)).rangeBetween(start, radius)).alias("_tail"),
+    )
+    # a null key has no middle, and a null position is its own head and tail, as joins and running totals have it
+    nowhere, known = F.col("_block").isNull(), F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    parts = [
+        F.when(nowhere, F.col("_whole")).when(F.col("_head._block") == F.col("_block") + 1, F.col("_head")),
+        F.when(nowhere, F.col("_whole")).when(F.col("_tail._block") == F.col("_block") - 1, F.col("_tail")),
+        F.when(known & ~nowhere, F.col("_whole")),
+    ]
+    fns = {
+        "sum": lambda x: F.coalesce(x[0], F.lit(0)) + F.coalesce(x[1], F.lit(0)) + F.coalesce(x[2], F.lit(0)),
+        "min": lambda x: F.least(*x),
+        "max": lambda x: F.greatest(*x),
+    }
+    merged = [fns[kind]([p[m] for p in parts]).alias(m) for m, kind in MOMENTS.items()]
+    return rows.filter("_asked").select(*keys, pos, *merged)
+
+
+def _moments_by_chunk(
+    points: DataFrame, queries: DataFrame, keys: list[str], pos: str, radius: int, chunks: int
 ) -> DataFrame:
-    """``queries`` (distinct keys, pos) with the :data:`MOMENTS` of all points within the radius."""
-    block = F.floor(F.col(pos) / F.lit(radius)).cast("long")
+    block = _block(pos, radius)
     bkeys = [*keys, "_block"]
     p = points.withColumn("_block", block)
     q = queries.select(*keys, F.col(pos).alias("_origin"), block.alias("_b"))
@@ -127,5 +190,4 @@ def mean_std(centre: Column) -> tuple[Column, Column]:
 
 
 def merge_moments() -> list[Column]:
-    fns = {"sum": F.sum, "min": F.min, "max": F.max}
-    return [fns[k](m).alias(m) for m, k in MOMENTS.items()]
+    return [_AGG[kind](m).alias(m) for m, kind in MOMENTS.items()]

@@ -148,8 +148,7 @@ def numerical_matches(obs: DataFrame, node: Node, left: list[str], asked: DataFr
     points = cut(moment_points(placed, left, POS, node.attr, F.col("_g.m")))
     places = None if asked is None else asked.select(*left, POS).distinct()
     radius = grid_radius(node.band.radius)
-    places = points.select(*left, POS) if places is None else places
-    merged = band_moments(points, places, left, POS, radius, chunks_for(points))
+    merged = band_moments(points, places, left, POS, radius)
     merged = merged.withColumn("_g", centre)
     mean, std = mean_std(F.col("_g.m"))
     return merged.select(*left, POS, "n", mean.alias("mean"), std.alias("std"))

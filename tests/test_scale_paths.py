@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cpdspark.functions.lineage import cut
-from cpdspark.operators import cpd, cumulative, knn
+from cpdspark.operators import bands, cpd, cumulative, knn
 from cpdspark.operators.counts import domain, never_together
 from cpdspark.operators.metrics import pr_roc, roc_auc
 from cpdspark.plans.spec import band, cat, num
@@ -74,6 +74,29 @@ def test_bands_against_plain_sums(spark, monkeypatch, per_chunk):
             assert abs(near.y.mean() - row["mean"]) < 1e-9 and abs(near.y.std() - row["std"]) < 1e-9
 
 
+def test_band_moments_by_key_and_by_chunk(spark):
+    """Both ways agree, also on null keys and positions, and where others than the points are asked for."""
+    r = np.random.RandomState(7)
+    rows = [(str(k) if k else None, int(x) if x > -40 else None, float(y)) for k, x, y in zip(r.randint(0, 4, 300), r.randint(-45, 40, 300), r.normal(0, 3, 300))]
+    points = cut(bands.moment_points(spark.createDataFrame(rows, "k string, pos long, y double"), ["k"], "pos", "y", F.lit(0.5)))
+    mine = points.select("k", "pos")
+    other = spark.createDataFrame([(str(k), x) for k in range(1, 6) for x in range(-60, 60)], "k string, pos long")
+    rounded = lambda df: sorted(map(str, df.select("k", "pos", "n", *[F.round(c, 9) + 0.0 for c in ("s1", "s2", "lo", "hi")]).collect()))
+    for radius in (1, 7, 100):
+        for asked in (mine, other):
+            want = rounded(bands._moments_by_chunk(points, asked, ["k"], "pos", radius, 1))
+            assert rounded(bands._moments_by_key(points, asked, ["k"], "pos", radius)) == want
+        assert rounded(bands._moments_by_key(points, None, ["k"], "pos", radius)) == rounded(bands._moments_by_chunk(points, mine, ["k"], "pos", radius, 1))
+
+
+def test_bands_of_few_positions_are_shuffled_once(spark):
+    """Beyond the points themselves the plan has a single exchange."""
+    df = spark.range(500).select((F.col("id") % 7).alias("k"), (F.col("id") % 11).alias("pos"), F.col("id").cast("double").alias("y"))
+    points = cut(bands.moment_points(df, ["k"], "pos", "y", F.lit(0.0)))
+    plan = bands.band_moments(points, None, ["k"], "pos", 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
 def test_nearest_does_not_depend_on_chunks(spark, monkeypatch):
     r = np.random.RandomState(2)
     vals = [("a", f"v{i}", r.normal(size=6).tolist()) for i in range(40)]
