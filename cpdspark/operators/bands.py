@@ -11,7 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cpdspark.operators.cumulative import chunks_for, totals_at, with_previous
+from cpdspark.functions.lineage import cut
+from cpdspark.operators.cumulative import chunks_for, chunks_of, totals_at, with_previous
 
 DIGITS = 6
 MOMENTS = {"n": "sum", "s1": "sum", "s2": "sum", "lo": "min", "hi": "max"}
@@ -88,15 +89,25 @@ def moment_points(df: DataFrame, keys: list[str], pos: str, target: str, centre:
 
 
 def band_moments(
-    points: DataFrame, queries: DataFrame | None, keys: list[str], pos: str, radius: int, chunks: int | None = None
+    points: DataFrame,
+    queries: DataFrame | None,
+    keys: list[str],
+    pos: str,
+    radius: int,
+    chunks: int | None = None,
+    n_places: int | None = None,
 ) -> DataFrame:
     """``queries`` (distinct keys, pos) with the :data:`MOMENTS` of all points within the radius.
 
     Without queries the points ask about themselves. No key has more points than there are positions: if
     these fit one chunk, a key is answered in one task. Otherwise the positions are cut into chunks too.
+    ``n_places`` says about how many positions there are; ``points`` are then read once for a key, and
+    checkpointed here if they are cut into chunks.
     """
-    if chunks_for(points.select(pos).distinct()) <= 1:
+    n_chunks = chunks_for(points.select(pos).distinct()) if n_places is None else chunks_of(n_places)
+    if n_chunks <= 1:
         return _moments_by_key(points, queries, keys, pos, radius)
+    points = points if n_places is None else cut(points)
     queries = points.select(*keys, pos) if queries is None else queries
     return _moments_by_chunk(points, queries, keys, pos, radius, chunks_for(points) if chunks is None else chunks)
 

@@ -33,13 +33,20 @@ def row_count(obs: DataFrame) -> Column:
     return F.sum(WEIGHT) if WEIGHT in obs.columns else F.count(F.lit(1))
 
 
-def reduced(obs: DataFrame, attrs: list[str], share: float = 0.1) -> DataFrame | None:
+def sketch(obs: DataFrame, groups: list[list]) -> tuple[int, list[int]]:
+    """Rows, and about how many distinct tuples each group of columns has: one pass without a shuffle."""
+    if not groups:
+        return 0, []
+    n, *distinct = obs.agg(F.count(F.lit(1)), *[F.approx_count_distinct(F.struct(*g), 0.05) for g in groups]).first()
+    return n, distinct
+
+
+def reduced(obs: DataFrame, attrs: list[str], n_tuples: int, n_rows: int, share: float = 0.1) -> DataFrame | None:
     """Distinct tuples of ``attrs`` with their rows, from which several nodes can be counted.
 
-    None if a distinct-count sketch says that there are more than ``share`` as many as rows.
+    None if, by :func:`sketch`, there are more than ``share`` as many as rows.
     """
-    n, d = obs.agg(F.count(F.lit(1)), F.approx_count_distinct(F.struct(*attrs), 0.05)).first()
-    if d > share * n:
+    if n_tuples > share * n_rows:
         return None
     return cut(obs.groupBy(*attrs).agg(F.count(F.lit(1)).alias(WEIGHT)))
 
@@ -145,10 +152,12 @@ def numerical_matches(obs: DataFrame, node: Node, left: list[str], asked: DataFr
         return local if asked is None else asked.join(local, left, "left")
     centre = global_moments(obs, node.attr)
     placed = with_position(obs, node).withColumn("_g", centre)
-    points = cut(moment_points(placed, left, POS, node.attr, F.col("_g.m")))
-    places = None if asked is None else asked.select(*left, POS).distinct()
+    points = moment_points(placed, left, POS, node.attr, F.col("_g.m"))
     radius = grid_radius(node.band.radius)
-    merged = band_moments(points, places, left, POS, radius)
+    if asked is None:
+        merged = band_moments(points, None, left, POS, radius, n_places=sketch(placed, [[POS]])[1][0])
+    else:
+        merged = band_moments(cut(points), asked.select(*left, POS).distinct(), left, POS, radius)
     merged = merged.withColumn("_g", centre)
     mean, std = mean_std(F.col("_g.m"))
     return merged.select(*left, POS, "n", mean.alias("mean"), std.alias("std"))

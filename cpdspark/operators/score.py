@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cpdspark.functions import distributions as dist
-from cpdspark.functions.lineage import VECTOR_ROWS, sized
+from cpdspark.functions.lineage import BROADCAST_ROWS, VECTOR_ROWS, sized
 from cpdspark.operators import cpd, cpd_embedding, relaxed
+from cpdspark.operators.bands import grid
 from cpdspark.operators.cpd import POS, lookup_keys, with_position
 from cpdspark.plans.spec import EMBEDDED, Kind, ModelSpec, Node, ROOTS
 
@@ -52,11 +53,16 @@ def score(
     asking = None if rows is None else source.dropna(subset=list(spec.attrs))
     counted = [n for n in nodes if _counts_only(n)]
     attrs = sorted({a for n in counted for a in (n.attr, *[p.attr for p in n.parents])})
-    tuples = cpd.reduced(observed, attrs) if len(counted) >= SHARED_NODES else None
-    scored = source
+    shared = [attrs] if len(counted) >= SHARED_NODES else []
+    own = [n for n in nodes if asking is None and n.kind in (Kind.CAT, Kind.NUM)]
+    n_rows, sizes = cpd.sketch(observed, [*shared, *[_tuple(n) for n in own]])
+    tuples = cpd.reduced(observed, attrs, sizes.pop(0), n_rows) if shared else None
+    base = {n.attr: tuples if tuples is not None and n in counted else observed for n in nodes}
+    large = [n for n, size in zip(own, sizes) if size > BROADCAST_ROWS]
+    scored = _attach_large(source, base, large, id_col, point_mass)
     for node in nodes:
-        base = tuples if tuples is not None and node in counted else observed
-        scored = attach(scored, base, node, id_col, emb, asking, point_mass)
+        if node not in large:
+            scored = attach(scored, base[node.attr], node, id_col, emb, asking, point_mass)
     present = _all_present(spec.attrs)
     lps = [F.when(present, F.col(lp(n.attr))).alias(lp(n.attr)) for n in nodes]
     total = sum((F.col(lp(n.attr)) for n in nodes[1:]), F.col(lp(nodes[0].attr)))
@@ -93,27 +99,68 @@ def attach(
     name = lp(node.attr)
     if node.kind in ROOTS:
         return _attach_root(rows, obs, node, asking is None)
-    placed = with_position(rows, node)
-    keys = lookup_keys(node)
+    keys = lookup_keys(node) + ([] if node.numeric else [node.attr])
+    asked = None if asking is None else with_position(asking, node).select(*keys).distinct()
+    found = with_position(rows, node).join(sized(_lookup(obs, node, asked, emb, id_col)), keys, "left").drop(POS)
+    return _with_density(found, obs, node, point_mass) if node.numeric else found
+
+
+def _lookup(obs: DataFrame, node: Node, asked: DataFrame | None, emb: DataFrame | None, id_col: str) -> DataFrame:
+    """What rows look up: the log probability of their tuple, or the moments of a number."""
+    found = _estimate(obs, node, asked, emb, id_col)
     if node.numeric:
-        asked = None if asking is None else with_position(asking, node).select(*keys).distinct()
-        stats = sized(
-            _estimate(obs, node, asked, emb, id_col).select(
-                *keys, F.col("mean").alias("_mean"), F.col("std").alias("_std")
-            )
+        return found.select(
+            *lookup_keys(node), F.col("mean").alias(f"_mean_{node.attr}"), F.col("std").alias(f"_std_{node.attr}")
         )
-        found = placed.join(stats, keys, "left")
-        x, mean = F.col(node.attr).cast("double"), F.col("_mean")
-        density = cpd.numeric_density(node, x, mean, F.col("_std"))
-        if point_mass:
-            found = found.withColumn("_g", cpd.global_moments(obs, node.attr))
-            at_mean = cpd.numeric_density(node, mean, mean, F.col("_g.s"))
-            point = F.when(x == mean, at_mean).otherwise(dist.neg_inf())
-            density = F.when(F.col("_std") == 0, point).otherwise(density)
-        return found.withColumn(name, density).drop("_mean", "_std", "_g", POS)
-    asked = None if asking is None else with_position(asking, node).select(*keys, node.attr).distinct()
-    table = sized(_estimate(obs, node, asked, emb, id_col).select(*keys, node.attr, F.col("lp").alias(name)))
-    return placed.join(table, [*keys, node.attr], "left").drop(POS)
+    return found.select(*lookup_keys(node), node.attr, F.col("lp").alias(lp(node.attr)))
+
+
+def _with_density(found: DataFrame, obs: DataFrame, node: Node, point_mass: bool) -> DataFrame:
+    x, mean, std = F.col(node.attr).cast("double"), F.col(f"_mean_{node.attr}"), F.col(f"_std_{node.attr}")
+    density = cpd.numeric_density(node, x, mean, std)
+    if point_mass:
+        found = found.withColumn("_g", cpd.global_moments(obs, node.attr))
+        at_mean = cpd.numeric_density(node, mean, mean, F.col("_g.s"))
+        point = F.when(x == mean, at_mean).otherwise(dist.neg_inf())
+        density = F.when(std == 0, point).otherwise(density)
+    return found.withColumn(lp(node.attr), density).drop(f"_mean_{node.attr}", f"_std_{node.attr}", "_g")
+
+
+def _tuple(node: Node) -> list[Column]:
+    """The columns of ``obs`` by which a node's lookup table has a row each."""
+    place = [grid(F.col(node.band.attr)).alias(POS)] if node.band else []
+    return [*[F.col(k) for k in lookup_keys(node) if k != POS], *place, *([] if node.numeric else [F.col(node.attr)])]
+
+
+def _attach_large(
+    rows: DataFrame, base: dict[str, DataFrame], nodes: list[Node], id_col: str, point_mass: bool
+) -> DataFrame:
+    """Add the ``lp_<attr>`` of nodes whose lookup tables are above the broadcast limit to the observed rows.
+
+    A table whose keys are among another's is joined to that one, which has every observed tuple, so that
+    the rows are shuffled once for both. Each table is read once, and so is not checkpointed.
+    """
+    places = {n.band.attr: f"{POS}_{n.band.attr}" for n in nodes if n.band}
+    tables: list[tuple[list[str], DataFrame]] = []
+    for node in nodes:
+        place = places[node.band.attr] if node.band else POS
+        keys = [place if k == POS else k for k in lookup_keys(node)] + ([] if node.numeric else [node.attr])
+        tables.append((keys, _lookup(base[node.attr], node, None, None, id_col).withColumnRenamed(POS, place)))
+    wide: list[tuple[list[str], DataFrame]] = []
+    for keys, table in sorted(tables, key=lambda t: -len(t[0])):
+        host = next((i for i, (wider, _) in enumerate(wide) if set(keys) <= set(wider)), None)
+        if host is None:
+            wide.append((keys, table))
+        else:
+            wider, finer = wide[host]
+            wide[host] = wider, finer.join(table, [k for k in wider if k in keys], "left")
+    for attr, place in places.items():
+        rows = rows.withColumn(place, grid(F.col(attr)))
+    for keys, table in wide:
+        rows = rows.join(table, keys, "left")
+    for node in nodes:
+        rows = _with_density(rows, base[node.attr], node, point_mass) if node.numeric else rows
+    return rows.drop(*places.values())
 
 
 def _estimate(obs: DataFrame, node: Node, asked: DataFrame | None, emb: DataFrame | None, id_col: str) -> DataFrame:

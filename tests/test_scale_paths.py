@@ -97,6 +97,19 @@ def test_bands_of_few_positions_are_shuffled_once(spark):
     assert plan.count("Exchange") == 1
 
 
+def test_points_that_are_read_once_are_not_checkpointed(spark, monkeypatch):
+    """A band that asks about its own points has no checkpoint of them, unless positions are cut into chunks."""
+    done = []
+    for module in (cpd, bands):
+        monkeypatch.setattr(module, "cut", lambda df: done.append(1) or cut(df), raising=False)
+    df, node = spark.createDataFrame(skewed()), num("y", "key", band("x", 2.5))
+    rows = lambda: sorted((r["key"], r[cpd.POS], r.n, round(r["mean"], 9), round(r.std, 9)) for r in cpd.numerical(df, node).collect())
+    want = rows()
+    assert done == []
+    monkeypatch.setattr(cumulative, "POINTS_PER_CHUNK", 60)
+    assert rows() == want and done
+
+
 def test_nearest_does_not_depend_on_chunks(spark, monkeypatch):
     r = np.random.RandomState(2)
     vals = [("a", f"v{i}", r.normal(size=6).tolist()) for i in range(40)]

@@ -3,6 +3,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from cpdspark.functions.lineage import cut
+from cpdspark.operators import score as scoring
 from cpdspark.operators.score import explain, most_improbable, score, score_row
 from cpdspark.plans.spec import (
     ModelSpec,
@@ -116,6 +118,44 @@ def test_partitioning_does_not_matter(spark, parts):
     check(got, brute.score(df, PLAIN, "id"))
 
 
+def test_lookups_above_the_broadcast_limit(spark, monkeypatch):
+    """Tables that are joined to finer ones first give the same scores, with rows that lack a value."""
+    df = make(80)
+    spec = ModelSpec((
+        uniform("state"), cat("city", "state"), num("space", "city", "state"), cat("year", "city", band("space", 10)),
+        num("rent", band("space", 10), "state", "city", "year"),
+    ))
+    sdf = spark.createDataFrame(df).withColumn("state", F.when(F.col("id") != 5, F.col("state")))
+    monkeypatch.setattr(scoring, "BROADCAST_ROWS", 0)
+    got = score(sdf, spec, "id").toPandas().set_index("id")
+    want = brute.score(df[df.id != 5], spec, "id").set_index("id")
+    assert len(got) == len(df) and got.loc[5, "skipped"] and np.isnan(got.loc[5, "score"])
+    for c in want.columns:
+        np.testing.assert_allclose(got.loc[want.index, c].astype(float), want[c].astype(float), rtol=1e-9, atol=1e-9)
+
+
+def test_rows_are_shuffled_once_for_nested_lookups(spark, monkeypatch, tmp_path):
+    """However many tables are too large for a broadcast, and none of them is checkpointed."""
+    spark.createDataFrame(make()).write.parquet(str(tmp_path / "t"))
+    spec = ModelSpec((uniform("state"), cat("city", "state"), num("space", "city", "state"), num("rent", "state", "city", band("space", 10))))
+    monkeypatch.setattr(scoring, "sized", cut)
+    monkeypatch.setattr(scoring, "BROADCAST_ROWS", 0, raising=False)
+    for key in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold"):
+        spark.conf.set(key, {"spark.sql.adaptive.enabled": "false"}.get(key, "-1"))
+    try:
+        scored = score(spark.read.parquet(str(tmp_path / "t")), spec, "id")
+        todo, exchanges = [scored._jdf.queryExecution().executedPlan()], 0
+        while todo:
+            plan = todo.pop()
+            out = plan.output().mkString(" ")
+            exchanges += plan.nodeName() == "Exchange" and any(c.split("#")[0] == "id" for c in out.split(" "))
+            todo += [plan.children().apply(i) for i in range(plan.children().size())]
+        assert exchanges == 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_top_and_explain(spark):
     df = make()
     df.loc[7, "rent"] = 9000.0
